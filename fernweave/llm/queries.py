@@ -32,7 +32,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = token_store.store(_table(spark, sf_dir, "documents"))
-    return token_store.checksums(token_store.read_documents(spark, target))
+    return token_store.read_checksums(spark, target)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -61,7 +62,7 @@ class WordEncoder:
     to the library's model; any other part goes through the whole library.
     """
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,20 +73,26 @@ class WordEncoder:
         self.pattern = regex.compile(WORDS)
         # characters that NFC leaves alone and that have one plain lower-case form
         self.simple = regex.compile(r"[!-~¡-¬®-ÿĀ-įıĲ-ſ]+")
-        self.by_piece = Memo(self._piece, memo)
+        self.by_piece = Memo(self._piece, 20_000)
         self.by_part = Memo(self._part, memo)
 
-    def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u2").tobytes()
-
     def _piece(self, piece: str) -> bytes:
-        return self._ids([t.id for t in self.model.tokenize("".join(map(self.letter.__getitem__, piece.encode())))])
+        letters = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letter.__getitem__, piece.encode()))
+        return array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _part(self, part: bytes) -> bytes:
         text = part.decode()
-        if self.simple.fullmatch(text) and "İ" not in text and not any(s in text for s in self.special):
-            return b"".join(map(self.by_piece.__getitem__, self.pattern.findall(text.lower())))
-        return self._ids(self.whole.encode(text, add_special_tokens=False).ids)
+        if (text.isascii() and text.isprintable()) or (self.simple.fullmatch(text) and "İ" not in text):
+            # a word, or a word and a sign, are their own pieces
+            if text.isalpha():
+                low = text.lower()
+                return self._piece(low) if low == text else self.by_part[low.encode()]
+            last = text[-1]
+            if text[:-1].isalpha() and not last.isalnum():
+                return self.by_part[text[:-1].lower().encode()] + self.by_piece[last]
+            if not any(s in text for s in self.special):
+                return b"".join(map(self.by_piece.__getitem__, self.pattern.findall(text.lower())))
+        return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian 16-bit ids."""
@@ -281,8 +288,8 @@ def read_blocks(spark: SparkSession, target: str) -> DataFrame:
     return blocks.join(before, ["part", "block"])
 
 
-def read_documents(spark: SparkSession, target: str) -> DataFrame:
-    """doc_id, start (ids of all documents before) and ids, decoded from the store's files."""
+def _decoded(spark: SparkSession, target: str, emit: Callable, schema: str) -> DataFrame:
+    """What ``emit`` makes of each block's doc_ids, starts, sizes and ids."""
     shared = spark.sparkContext.broadcast(read_code(spark, target))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,22 +298,29 @@ def read_documents(spark: SparkSession, target: str) -> DataFrame:
                 sizes = batch.column("sizes")[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
                 ids = shared.value.unpack(batch.column("payload")[k].as_py(), batch.column("checkpoints")[k].values.to_numpy(zero_copy_only=False).astype(np.int64), sizes)
                 start = batch.column("before")[k].as_py() + np.cumsum(sizes) - sizes
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, pa.array(start), list_array(ids.view(np.int32), sizes, pa.int32())], ["doc_id", "start", "ids"])
+                yield emit(batch.column("doc_ids")[k].values, start, sizes, ids)
 
-    return read_blocks(spark, target).select("before", "doc_ids", "sizes", "payload", "checkpoints").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return read_blocks(spark, target).select("before", "doc_ids", "sizes", "payload", "checkpoints").mapInArrow(run, schema)
 
 
-def checksums(documents: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of the ids as little-endian 32-bit integers."""
+def read_documents(spark: SparkSession, target: str) -> DataFrame:
+    """doc_id, start (ids of all documents before) and ids, decoded from the store's files."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    def emit(doc_ids: pa.Array, start: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(start), list_array(ids.view(np.int32), sizes, pa.int32())], ["doc_id", "start", "ids"])
+
+    return _decoded(spark, target, emit, "doc_id long, start long, ids array<int>")
+
+
+def read_checksums(spark: SparkSession, target: str) -> DataFrame:
+    """doc_id, start, n_tokens and the CRC-32 of the decoded ids as little-endian 32-bit integers."""
+
+    def emit(doc_ids: pa.Array, start: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        ends, raw = np.cumsum(sizes), ids.astype("<u4")
+        crc = [zlib.crc32(raw[b - n : b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(start), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return documents.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _decoded(spark, target, emit, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store(docs: DataFrame) -> str:

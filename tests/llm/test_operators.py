@@ -123,6 +123,8 @@ def test_op4(spark, odd):
     single = [(d, t) for d, t in pairs(spark, odd) if d not in (6, None)]
     found = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in Q["op4_token_store"](spark, odd).collect()}
     assert all(found[d] == (n, crc) for d, _, n, crc in brute.op4(single))
+    target = token_store.store(spark.read.parquet(f"{odd}/documents.parquet"))
+    assert sorted(len(r.ids) for r in token_store.read_documents(spark, target).collect()) == sorted(r.n_tokens for r in Q["op4_token_store"](spark, odd).collect())
     rows = sorted(Q["op4_token_store"](spark, odd).collect(), key=lambda r: r.start)
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
 
