@@ -65,7 +65,7 @@ class MergeAutomaton:
                 row = row.setdefault(byte, [-1, {}])[1]
             row.setdefault(label[-1], [-1, {}])[0] = t
         self.reach = max(map(len, self.arcs))
-        self.arc = Memo(lambda pair: self._has_arc(*pair), 400_000)
+        self.arc = Memo(lambda pair: self._has_arc(pair >> 32, pair & 0xFFFFFFFF), 200_000)
 
     def _gadget(self, time: int, u: int, v: int, t: int) -> None:
         """Splice rule ``u v -> t``: void where no state lets ``v`` follow ``u`` any more."""
@@ -121,7 +121,7 @@ class MergeAutomaton:
             while True:
                 while fits:
                     t = fits.pop()
-                    if (state < 0 or arc[state, t]) and at + len(self.labels[t]) not in blind:
+                    if (state < 0 or arc[state << 32 | t]) and at + len(self.labels[t]) not in blind:
                         break
                 else:
                     if not path:
@@ -142,7 +142,7 @@ class MergeAutomaton:
 class ByteBpe:
     """Encoder and decoder of a byte-level BPE file: pieces, automaton, special strings."""
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 450_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -159,12 +159,25 @@ class ByteBpe:
         self.decimal = [str(i) for i in range(size)]
         self.pieces = regex.compile(PIECES)
         self.uneven = regex.compile(r"\s\s|^\s|\s$")
-        self.by_piece = Memo(lambda p: array("i", self.automaton.encode(p.encode())).tobytes(), memo)
-        self.by_chunk = Memo(self._chunk, memo)
+        self.by_piece = Memo(self._piece, 20_000)
+        self.by_chunk = Memo(self._spaced, memo)
+
+    def _piece(self, piece: str) -> bytes:
+        return array("i", self.automaton.encode(piece.encode())).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.by_piece.__getitem__, self.pieces.findall(chunk)))
 
+    def _spaced(self, chunk: str) -> bytes:
+        """A chunk that begins with a space: a word, or a word and a sign, are their own pieces."""
+        word, last = chunk[1:-1], chunk[-1]
+        if word.isalpha():
+            if last.isalpha():
+                return self._piece(chunk)
+            if not last.isalnum() and not last.isspace() and last.isprintable():
+                return self.by_chunk[chunk[:-1]] + self.by_piece[last]
+        return self._chunk(chunk)
+
     def _plain(self, text: str) -> bytes:
         """No piece reaches over a single space between two other characters, so such chunks are encoded by themselves."""
         if len(text) < 64 or self.uneven.search(text):
