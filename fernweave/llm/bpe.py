@@ -142,7 +142,7 @@ class MergeAutomaton:
 class ByteBpe:
     """Encoder and decoder of a byte-level BPE file: pieces, automaton, special strings."""
 
-    def __init__(self, path: str, memo: int = 450_000):
+    def __init__(self, path: str, memo: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()

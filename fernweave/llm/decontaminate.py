@@ -32,7 +32,7 @@ from .common import LOWER, byte_view, cut, small_batches, span_hashes, spans_of
 WINDOW = 10
 #: Text of the benchmark that is searched in one pass.
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 SAMPLE = 16
 #: Bytes of words after lower-casing: digits, a-z, and all of a character beyond ASCII.
 WORD = np.zeros(256, bool)

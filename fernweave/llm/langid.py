@@ -75,7 +75,7 @@ def identify(docs: DataFrame, model: Classifier, keep: list[str] | None = None)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "__text", 4 << 20):
+        for batch in small_batches(batches, "__text", 1 << 20):
             langs, score, rejected = predict(batch.column("__text"), shared.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=[*names, *added])
 

@@ -101,7 +101,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     """place (doc_id, null last), line_no, h (the line's hash) and, for long lines, the keys of its halves; lines without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", 2 << 20):
             lines = Lines(batch.column("text"))
             k = np.flatnonzero(lines.n)
             place = np.array(batch.column("place"), np.int64)[lines.text_of[k]]
@@ -121,7 +121,7 @@ def _neighbourhood(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     by_text = wanted.groupBy("place").agg(F.collect_set("line_no").alias("line_nos"))  # of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", 2 << 20):
             chosen, of = [], []
             for k, (text, numbers) in enumerate(zip(batch.column("text").cast(pa.binary()), batch.column("line_nos").to_pylist(), strict=True)):
                 split = (text.as_py() or b"").split(b"\n")
@@ -197,7 +197,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(*names, _place().alias("__place")).join(removals(docs).withColumnRenamed("place", "__place").withColumnRenamed("gone", "__gone"), "__place", "left").select(*names, "__gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", 2 << 20):
             texts, sizes, lost = batch.column("text").to_pylist(), [], []
             for k, gone in enumerate(batch.column("__gone").to_pylist()):
                 lines = (texts[k] or "").split("\n")

@@ -41,7 +41,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", 1 << 20):
             model = shared.value
             raw, offsets = byte_view(batch.column("text"))
             n = len(offsets) - 1

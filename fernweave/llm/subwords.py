@@ -115,7 +115,7 @@ def collect_features(rows: DataFrame, features: Callable[[], Features], label: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = features()
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", 1 << 20):
             ids, counts = [], []
             for k in range(batch.num_rows):
                 raw, offsets = byte_view(batch.column("text").slice(k, 1))
