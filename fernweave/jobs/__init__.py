@@ -1,0 +1 @@
+from . import indexing, queries  # noqa: F401  (both register queries)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -191,14 +192,15 @@ def _candidates(spark, sf_dir) -> DataFrame:
     return fusion.assemble(best, near)
 
 
-_HYBRID = f"""WITH {_CORPUS}, {_tf_sql(TERMS)}, lex AS (SELECT doc_id, {_score_sql(TERMS)} AS lexical FROM rows_, stats WHERE {_any(TERMS)} ORDER BY 2 DESC, 1 LIMIT 300),
-sem AS (SELECT v.vec_id AS doc_id, greatest(round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6), 0.0) AS semantic, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS raw FROM embeddings q, embeddings v WHERE q.vec_id = 0 ORDER BY raw DESC, 1 LIMIT 300),
+_POOLS = f"""WITH {_CORPUS}, {_tf_sql(TERMS)}, lex AS (SELECT doc_id, {_score_sql(TERMS)} AS lexical FROM rows_, stats WHERE {_any(TERMS)} ORDER BY 2 DESC, 1 LIMIT 300),
+sem AS (SELECT v.vec_id AS doc_id, greatest(round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6), 0.0) AS semantic, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS raw FROM embeddings q, embeddings v WHERE q.vec_id = 0 ORDER BY raw DESC, 1 LIMIT 300),"""
+_HYBRID = _POOLS + """
 c AS (SELECT doc_id, lexical, semantic FROM lex FULL JOIN sem USING (doc_id)),
 r AS (SELECT *, CASE WHEN lexical IS NOT NULL THEN row_number() OVER (ORDER BY lexical DESC NULLS LAST, doc_id) END AS lexical_rank, CASE WHEN semantic IS NOT NULL THEN row_number() OVER (ORDER BY semantic DESC NULLS LAST, doc_id) END AS semantic_rank,
  coalesce(CASE WHEN max(lexical) OVER () = min(lexical) OVER () THEN CASE WHEN lexical IS NOT NULL THEN 1.0 END ELSE (lexical - min(lexical) OVER ()) / (max(lexical) OVER () - min(lexical) OVER ()) END, 0) AS l,
  coalesce((semantic - min(semantic) OVER ()) / (max(semantic) OVER () - min(semantic) OVER ()), 0) AS s FROM c),
 h AS (SELECT doc_id, lexical, semantic, lexical_rank::INT AS lexical_rank, semantic_rank::INT AS semantic_rank, round(0.6 * s + 0.4 * l, 6) AS convex,
- round((coalesce(0.6 / (60 + semantic_rank), 0) + coalesce(0.4 / (60 + lexical_rank), 0)) / (1.0 / 61), 6) AS rrf,
+ round((coalesce(0.6 / (60 + semantic_rank), 0) + coalesce(0.4 / (60 + lexical_rank), 0)) / (1.2 / 61), 6) AS rrf,
  CASE WHEN lexical IS NOT NULL AND semantic IS NOT NULL THEN 'both' WHEN semantic IS NOT NULL THEN 'semantic' ELSE 'lexical' END AS match_type FROM r)"""
 
 
@@ -230,7 +232,10 @@ def document_titles(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", T.file_extension(F.col("filename")).alias("ext"), T.human_stem(F.col("filename")).alias("title"))
 
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in T.SECRET_RULES) + " END AS rule FROM documents")
+_RE2 = {"jwt": "eyJ[A-Za-z0-9_-]{20,}\\.eyJ[A-Za-z0-9_-]{20,}\\.[A-Za-z0-9_-]{20,}"}
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{_RE2.get(n, p).replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in T.SECRET_RULES) + " END AS rule FROM documents")
 def secret_screen(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.suspected_secret(F.col("text")).alias("rule"))
 
@@ -361,18 +366,20 @@ def line_offsets(spark, sf_dir):
     return lines.select("doc_id", "line_no", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("start"), F.length("line").alias("size"))
 
 
-@query("""WITH m AS (SELECT item_id, doc_id, length(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text))
-SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM m GROUP BY item_id""")
-def labels_by_containment(spark, sf_dir):
-    """Which documents hold a query's text word for word: the labels of a known-item evaluation.
+def known_items(spark, sf_dir) -> DataFrame:
+    """(item_id, doc_id) where a document holds an item's text word for word.
 
     A stated query set against all rows: the items come in blocks of a checked
     size, and a document is held against them where it is.
     """
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
     n = max(1, -(-(items.agg(F.sum(F.octet_length("needle"))).first()[0] or 0) // (4 << 20)))
-    parts = [docs.join(F.broadcast(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)), F.contains("text", "needle")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")) for k in range(n)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [docs.join(F.broadcast(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)), F.contains("text", "needle")).select("item_id", "doc_id") for k in range(n)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""WITH m AS (SELECT item_id, doc_id, length(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM m GROUP BY item_id""")
+def labels_by_containment(spark, sf_dir):
+    """Which documents hold a query's text word for word: the labels of a known-item evaluation."""
+    return known_items(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))

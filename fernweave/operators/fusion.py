@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEMANTIC, LEXICAL, RRF_K = 0.6, 0.4, 60
+#: A file name's part of the lexical weight in reciprocal ranks, and what a partial match adds to the convex score.
+NAME, NAME_GAIN = 0.5, 0.25
 
 
 def assemble(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
@@ -23,13 +25,35 @@ def _scaled(c: str) -> Column:
 
 
 def fuse(candidates: DataFrame) -> DataFrame:
-    """Adds ranks by component, the convex score, the reciprocal-rank score and what kind of match it is."""
+    """Adds ranks by component, the convex score, the reciprocal-rank score and what kind of match it is.
+
+    A column ``filename`` (0 to 1, or null) lifts both scores: a name that holds
+    all terms goes to 0.9 at least, one that holds some gains a share.
+    """
+    name = F.coalesce("filename", F.lit(0.0)) if "filename" in candidates.columns else F.lit(0.0)
     rank = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.orderBy(F.desc_nulls_last(c), "doc_id")))
     ranked = candidates.withColumns({"lexical_rank": rank("lexical"), "semantic_rank": rank("semantic")})
     part = lambda w, c: F.coalesce(F.lit(w) / (RRF_K + F.col(c)), F.lit(0.0))
-    rrf = (part(SEMANTIC, "semantic_rank") + part(LEXICAL, "lexical_rank")) / ((SEMANTIC + LEXICAL) / (RRF_K + 1))
-    kind = F.when(F.col("lexical").isNotNull() & F.col("semantic").isNotNull(), "both").when(F.col("semantic").isNotNull(), "semantic").otherwise("lexical")
-    return ranked.withColumns({"convex": F.round(SEMANTIC * _scaled("semantic") + LEXICAL * _scaled("lexical"), 6), "rrf": F.round(rrf, 6), "match_type": kind})
+    rrf = (part(SEMANTIC, "semantic_rank") + part(LEXICAL, "lexical_rank") + name * (NAME * LEXICAL / (RRF_K + 1))) / ((SEMANTIC + LEXICAL + NAME * LEXICAL) / (RRF_K + 1))
+    named = F.when(name > 0, "filename").otherwise("lexical")
+    kind = F.when(F.col("lexical").isNotNull() & F.col("semantic").isNotNull(), "both").when(F.col("semantic").isNotNull(), "semantic")
+    kind = kind.when(F.col("scored"), "lexical").otherwise(named) if "scored" in candidates.columns else kind.otherwise("lexical")
+    convex = SEMANTIC * _scaled("semantic") + LEXICAL * _scaled("lexical")
+    lifted = F.when(name >= 1, F.greatest(convex, 0.9 + 0.1 * _scaled("lexical"))).when(name > 0, convex + NAME_GAIN * LEXICAL * name).otherwise(convex)
+    return ranked.withColumns({"convex": F.round(F.least(lifted, F.lit(1.0)), 6), "rrf": F.round(rrf, 6), "match_type": kind})
+
+
+def with_names(best: DataFrame, names: DataFrame, semantic: DataFrame) -> DataFrame:
+    """Candidates of three components: BM25 scores as shares of the best, name fractions (which vouch for half their value as lexical), cosines.
+
+    ``scored`` is whether the text itself matched.
+    """
+    share = F.col("score") / F.max("score").over(Window.partitionBy())  # of candidates, a bounded pool
+    none = F.lit(None).cast("double")
+    a = best.select("doc_id", share.alias("lexical"), none.alias("filename"), none.alias("semantic"), F.lit(True).alias("scored"))
+    b = names.select("doc_id", (F.col("fraction") * 0.5).alias("lexical"), F.col("fraction").alias("filename"), none.alias("semantic"), F.lit(False).alias("scored"))
+    c = semantic.select("doc_id", none.alias("lexical"), none.alias("filename"), F.col("score").alias("semantic"), F.lit(False).alias("scored"))
+    return a.unionByName(b).unionByName(c).groupBy("doc_id").agg(*(F.max(x).alias(x) for x in ("lexical", "filename", "semantic", "scored")))
 
 
 def collapse(hits: DataFrame, key: str) -> DataFrame:

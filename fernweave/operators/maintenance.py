@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRACE_SECONDS = 600.0
@@ -47,3 +47,27 @@ def newest(rows: DataFrame, key: str, order: str, keep: int) -> DataFrame:
     """The newest ``keep`` rows of each key."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), "event_id"))
     return rows.withColumn("__n", place).filter(F.col("__n") <= keep).drop("__n")
+
+
+def outcomes(old: DataFrame, new: DataFrame, rejected: Column, secret: Column, blank: Column, most_size: int) -> DataFrame:
+    """path and result of an index pass over inventory ``new``, given the index ``old`` (also status).
+
+    A file that is not read has a result by its place, size or times; one that
+    is read by its content. Paths of ``old`` that are gone are ``missing``.
+    """
+    was = old.select("path", F.col("size").alias("s0"), F.col("mtime").alias("m0"), F.col("content_hash").alias("h0"), F.col("status").alias("was"))
+    moved = moves(old, new).select(F.col("new_path").alias("path"), "old_path")
+    same = (F.col("s0") == F.col("size")) & (F.abs(F.col("m0") - F.col("mtime")) < MTIME_TOLERANCE)
+    result = (
+        F.when(rejected, "rejected")
+        .when(F.col("size") > most_size, "too_large")
+        .when(same & (F.col("was") == "missing"), "restored")
+        .when(same, "unchanged")
+        .when(F.col("h0") == F.col("content_hash"), "touched")
+        .when(F.col("old_path").isNotNull(), "moved")
+        .when(secret, "secret_suspected")
+        .when(blank, "empty")
+        .otherwise("indexed")
+    )
+    found = new.join(was, "path", "left").join(moved, "path", "left").select("path", result.alias("result"))
+    return found.unionByName(old.join(new, "path", "left_anti").select("path", F.lit("missing").alias("result")))

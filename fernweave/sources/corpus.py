@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,3 +21,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumns({"extension": ext, "root": F.concat(F.lit("/corpus/"), "source"), "size": F.col("n_chars"), "mtime": F.lit(1.7e9) + F.col("doc_id")})
     docs = docs.withColumn("filename", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), "extension"))
     return docs.withColumn("path", F.concat_ws("/", "root", "lang", "filename"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local one, for tests, only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or "file://" + tempfile.mkdtemp(prefix="fernweave-")
