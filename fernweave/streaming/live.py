@@ -19,7 +19,7 @@ def settled_stream(spark: SparkSession, events_path: str, shared: str, late: str
     """
     place = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
     schema = spark.read.parquet(events_path).schema
-    events = changes.watch_events(spark.readStream.schema(schema).parquet(events_path))
+    events = changes.watch_events(spark.readStream.schema(schema).parquet(f"{events_path}*"))  # a pattern may name a single file, too
     events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)  # a watermark needs a time with a zone
     bursts = changes.settled(events, quiet)
     run = bursts.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").option("path", f"{place}/bursts").format("parquet").start()
