@@ -25,7 +25,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(doc_id, dl, term, tf). A ``vocabulary`` (term) drops all other terms before anything is shuffled."""
-    words = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl"), F.explode(tokens(F.col("text"))).alias("term"))
+    split = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), "t")
+    words = split.select("doc_id", "dl", F.explode("t").alias("term"))  # dl stands in a step of its own: beside explode it would be counted again for each word
     if vocabulary is not None:
         words = words.join(vocabulary, "term", "left_semi")
     return words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
