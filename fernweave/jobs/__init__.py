@@ -1 +1 @@
-from . import indexing, queries  # noqa: F401  (both register queries)
+from . import indexing, keeping, queries  # noqa: F401  (all register queries)

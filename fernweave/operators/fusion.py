@@ -56,6 +56,20 @@ def with_names(best: DataFrame, names: DataFrame, semantic: DataFrame) -> DataFr
     return a.unionByName(b).unionByName(c).groupBy("doc_id").agg(*(F.max(x).alias(x) for x in ("lexical", "filename", "semantic", "scored")))
 
 
+def literal(best: DataFrame, names: DataFrame, external: DataFrame) -> DataFrame:
+    """doc_id and score of a search without vectors: the best of BM25's share, half the name's fraction and 0.8 of an outside rank (0 to 1000).
+
+    A name that matches gives 0.6 and up to 0.4 more by its fraction.
+    """
+    share = F.col("score") / F.max("score").over(Window.partitionBy())  # of candidates, a bounded pool
+    none = F.lit(None).cast("double")
+    rows = best.select("doc_id", share.alias("lexical"), none.alias("filename"))
+    rows = rows.unionByName(names.select("doc_id", (F.col("fraction") * 0.5).alias("lexical"), F.col("fraction").alias("filename")))
+    rows = rows.unionByName(external.select("doc_id", (F.col("rank") / 1000.0 * 0.8).alias("lexical"), none.alias("filename")))
+    score = F.greatest(F.max("lexical"), F.max(0.6 + 0.4 * F.col("filename")))
+    return rows.groupBy("doc_id").agg(F.round(F.least(score, F.lit(1.0)), 4).alias("score"))
+
+
 def collapse(hits: DataFrame, key: str) -> DataFrame:
     """The best hit of each non-empty key stays, with the number of the others; hits without a key stay."""
     same = F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("row "), F.col("doc_id").cast("string")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,9 +29,9 @@ class Statistics:
         return idf if idf > 0 else 1e-6
 
 
-def counted(docs: DataFrame, terms: list[str]) -> DataFrame:
+def counted(docs: DataFrame, terms: list[str], words: Callable[[Column], Column] = tokens) -> DataFrame:
     """All columns with dl, the document's tokens, and tf, how often it has each term."""
-    docs = docs.withColumn("__t", tokens(F.col("text")))
+    docs = docs.withColumn("__t", words(F.col("text")))
     unique = list(dict.fromkeys(terms))
     hits = F.filter("__t", lambda x: x.isin(unique))
     docs = docs.select(*[c for c in docs.columns if c != "__t"], F.size("__t").alias("dl"), hits.alias("__h"))
@@ -85,12 +86,13 @@ def top(rows: DataFrame, k: int) -> DataFrame:
     return rows.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def search(docs: DataFrame, terms: list[str], mode: str = "or", k: int = 10, where: Column | None = None, large: int = LARGE) -> DataFrame:
+def search(docs: DataFrame, terms: list[str], mode: str = "or", k: int = 10, where: Column | None = None, large: int = LARGE, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """The k best (doc_id, score). ``mode``: or, and, or auto (and, but or if nothing has all terms).
 
     Statistics are those of all documents; ``where`` narrows what is ranked, before the cut to k.
+    ``words`` makes a text's tokens, the plain ones if not given.
     """
-    rows = counted(docs, terms)
+    rows = counted(docs, terms, words)
     stats = statistics(rows, terms)
     every = mode == "and" or (mode == "auto" and len(terms) > 1 and stats.all_terms > 0)
     used = terms if every else kept_terms(stats, terms, large)
@@ -100,15 +102,26 @@ def search(docs: DataFrame, terms: list[str], mode: str = "or", k: int = 10, whe
     return top(rows.select("doc_id", score(stats, used).alias("score")), k)
 
 
+def occurrences(t: Column, words: list[str]) -> Column:
+    """How often the words stand next to each other in the tokens."""
+    if len(words) == 1:
+        return F.size(F.filter(t, _same(words[0])))
+    begins = F.filter(F.transform(t, lambda x, i: F.when(x == words[0], i + 1)), lambda i: i.isNotNull())
+    return F.size(F.filter(begins, lambda i: F.slice(t, i, len(words)) == F.array(*(F.lit(w) for w in words))))
+
+
+def phrases(docs: DataFrame, wanted: list[list[str]], k: int = 10) -> DataFrame:
+    """The k best documents by BM25 of any of the phrases; a phrase has its own frequencies, one word is a phrase too."""
+    names = [f"p{i}" for i in range(len(wanted))]
+    docs = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    rows = docs.select("doc_id", F.size("t").alias("dl"), F.struct(*(occurrences(F.col("t"), w).alias(n) for w, n in zip(wanted, names, strict=True))).alias("tf"))
+    stats = statistics(rows, names)
+    return top(rows.filter(matches(names, False)).select("doc_id", score(stats, names).alias("score")), k)
+
+
 def phrase(docs: DataFrame, words: list[str], k: int = 10) -> DataFrame:
     """The k best documents by BM25 of the words next to each other."""
-    docs = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    n = len(words)
-    begins = F.filter(F.transform("t", lambda x, i: F.when(x == words[0], i + 1)), lambda i: i.isNotNull())
-    tf = F.size(F.filter(begins, lambda i: F.slice("t", i, n) == F.array(*(F.lit(w) for w in words))))
-    rows = docs.select("doc_id", F.size("t").alias("dl"), F.struct(tf.alias("phrase")).alias("tf"))
-    stats = statistics(rows, ["phrase"])
-    return top(rows.filter(F.col("tf.phrase") > 0).select("doc_id", score(stats, ["phrase"]).alias("score")), k)
+    return phrases(docs, [words], k)
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:

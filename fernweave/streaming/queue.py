@@ -1,0 +1,115 @@
+"""The job of a path as a state machine: as one sorted pass, and as a stream with state.
+
+A request makes a pending job, or changes the one that is there: the newest
+operation, the least priority, the first time, no attempts. A job that is
+running stays so and is marked dirty. A start makes it running and counts an
+attempt; done ends it, or makes a dirty one pending again; a failure makes it
+pending until its attempts are used up, then failed. Steps that don't fit the
+state change nothing.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+from dataclasses import astuple, dataclass, replace
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MOST_ATTEMPTS = 3
+STEPS = "path string, ts timestamp, event_id long, step string, op string, priority int"
+JOB = "op string, priority int, state string, attempts int, dirty boolean, enqueued_at timestamp"
+COLUMNS = ["op", "priority", "state", "attempts", "dirty", "enqueued_at"]
+
+
+@dataclass(frozen=True)
+class Job:
+    op: str
+    priority: int
+    state: str
+    attempts: int
+    dirty: bool
+    enqueued_at: object
+
+
+def advance(job: Job | None, step: str, op: str, priority: int, at: object, most: int = MOST_ATTEMPTS) -> Job | None:
+    """The job after one step; None where there is none."""
+    if step == "request":
+        if job is None:
+            return Job(op, priority, "pending", 0, False, at)
+        running = job.state == "running"
+        return replace(job, op=op, priority=min(priority, job.priority), attempts=0, dirty=running, state="running" if running else "pending")
+    if job is None:
+        return None
+    if step == "start" and job.state == "pending":
+        return replace(job, state="running", attempts=job.attempts + 1)
+    if step == "done" and job.state == "running":
+        return replace(job, state="pending", attempts=0, dirty=False) if job.dirty else None
+    if step == "fail" and job.state == "running":
+        return replace(job, state="failed" if job.attempts >= most else "pending", dirty=False)
+    return job
+
+
+def steps_of(watched: DataFrame) -> DataFrame:
+    """Watched events as steps: an addition starts its path's job, a rename ends it, and every seventh other event fails it."""
+    action = F.col("action")
+    step = F.when(action == "added", "start").when(action == "renamed", "done").when(F.pmod("event_id", F.lit(7)) == 0, "fail").otherwise("request")
+    removed = action == "removed"
+    return watched.select("path", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"), step.alias("step"), F.when(removed, "vanish").otherwise("index").alias("op"), F.when(removed, 1).otherwise(2).alias("priority"))
+
+
+def final_jobs(steps: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:
+    """Per path the job that is left after all steps, by time and then event_id.
+
+    Rows reach the fold sorted, so a task holds one job and one batch of rows,
+    however many steps a path has.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, job = None, None
+        for batch in batches:
+            left = []
+            for p, ts, _, step, op, priority in batch.itertuples(index=False):
+                if p != path:
+                    if job is not None:
+                        left.append((path, *astuple(job)))
+                    path, job = p, None
+                job = advance(job, step, op, priority, ts, most)
+            yield pd.DataFrame(left, columns=["path", *COLUMNS])
+        if job is not None:
+            yield pd.DataFrame([(path, *astuple(job))], columns=["path", *COLUMNS])
+
+    columns = [c.split()[0] for c in STEPS.split(", ")]
+    ordered = steps.filter("path is not null").select(*columns).repartition("path").sortWithinPartitions("path", "ts", "event_id")
+    return ordered.mapInPandas(run, f"path string, {JOB}")
+
+
+def jobs_stream(spark: SparkSession, steps: DataFrame, shared: str, most: int = MOST_ATTEMPTS) -> DataFrame:
+    """``final_jobs`` of a stream of steps, by one run over all that is there now.
+
+    A path's job is kept in the state store between batches. Steps of a batch
+    are taken in order of time; a step that comes in a later batch is taken then.
+    """
+    place = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    out = f"path string, {JOB}, n long"
+
+    def run(key, batches, state):
+        job, n = None, 0
+        if state.exists:
+            *fields, n = state.get
+            job = Job(*fields) if fields[2] is not None else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # one path's steps of one batch
+        for r in rows.itertuples(index=False):
+            job, n = advance(job, r.step, r.op, r.priority, r.ts, most), n + 1
+        fields = astuple(job) if job is not None else (None,) * len(COLUMNS)
+        state.update((*fields, n))
+        yield pd.DataFrame([(key[0], *fields, n)], columns=["path", *COLUMNS, "n"])
+
+    jobs = steps.groupBy("path").applyInPandasWithState(run, out, f"{JOB}, n long", "append", "NoTimeout")
+    writing = jobs.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").option("path", f"{place}/jobs").format("parquet").start()
+    writing.awaitTermination()
+    written = spark.read.schema(out).parquet(f"{place}/jobs")
+    latest = written.groupBy("path").agg(F.max_by(F.struct(*COLUMNS), "n").alias("job"))
+    return latest.filter("job.state is not null").select("path", "job.*")
