@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import stem
 from ..functions import text as T
-from ..operators import filters, fusion, lexical, scope
+from ..operators import batch_search, filters, fusion, lexical, maintenance, scope
 from ..sources.corpus import corpus, shared_dir, table
 from ..streaming import changes, queue
-from .indexing import MOST_SIZE, NAMES
-from .queries import _CORPUS, _POOLS, _SNAPSHOTS, _WATCH, EXTENSIONS, PAIR, ROOTS, TERMS, _score_sql, _snapshots, query
+from .indexing import _ASKED, MOST_SIZE, NAMES, _items
+from .queries import _CORPUS, _HYBRID, _POOLS, _SNAPSHOTS, _WATCH, EXTENSIONS, PAIR, ROOTS, TERMS, _candidates, _score_sql, _snapshots, known_items, query
 
 ASKED = ["licensing", "generations", "related"]
 OLD_LIMITS, NEW_LIMITS = (8000, 8, 3, [".json"]), (2, [".json", ".csv"])
@@ -217,3 +217,52 @@ def stemmed_terms(spark, sf_dir):
 def bm25_stemmed(spark, sf_dir):
     """The ten best documents by stemmed words; tested against a full-text index."""
     return lexical.search(corpus(spark, sf_dir), [stem.stem(w) for w in ASKED], words=stem.index_words)
+
+
+@query(_HYBRID + """, p AS (SELECT *, floor(semantic * 1000 + 0.5)::BIGINT AS s, floor(lexical * 1000 + 0.5)::BIGINT AS x FROM h)
+SELECT doc_id, concat_ws('; ', 'semantic: best chunk cosine ' || (s // 1000) || '.' || lpad((s % 1000)::VARCHAR, 3, '0') || ' (rank ' || semantic_rank || ')', 'lexical: bm25 ' || (x // 1000) || '.' || lpad((x % 1000)::VARCHAR, 3, '0') || ' (rank ' || lexical_rank || ')') AS why FROM p""")
+def hit_reasons(spark, sf_dir):
+    hits = fusion.fuse(_candidates(spark, sf_dir))
+    why = fusion.reasons(F.col("semantic"), F.col("semantic_rank"), F.col("lexical"), F.col("lexical_rank"))
+    return hits.select("doc_id", F.array_join(why, "; ").alias("why"))
+
+
+@query(f"""WITH {_ASKED}, label AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+SELECT query_id, count(DISTINCT doc_id) AS n_relevant FROM ranked JOIN label USING (query_id, doc_id) WHERE rank <= 5 GROUP BY query_id""")
+def relevant_in_first_five(spark, sf_dir):
+    first = batch_search.search_all(table(spark, sf_dir, "documents"), _items(spark, sf_dir), 5)
+    return first.join(known_items(spark, sf_dir).withColumnRenamed("item_id", "query_id"), ["query_id", "doc_id"]).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_relevant"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, string_split(text, chr(10)) AS lines FROM documents),
+c AS (SELECT doc_id, i, lines[i] AS line, CASE WHEN doc_id % 3 = 0 AND i = 2 THEN lines[i] || '!' ELSE lines[i] END AS now FROM l WHERE true)
+SELECT doc_id, count(*) AS n_vectors FROM c GROUP BY doc_id HAVING bool_and(line = now)""")
+def fresh_vectors(spark, sf_dir):
+    """Vectors that may be stored when the second line of every third document changed while they were computed."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line"))
+    now = F.when((F.col("doc_id") % 3 == 0) & (F.col("ordinal") == 1), F.concat("line", F.lit("!"))).otherwise(F.col("line"))
+    hashed = lambda c: lines.select("doc_id", "ordinal", F.md5(c.cast("binary")).alias("text_hash"))
+    return maintenance.fresh_vectors(hashed(F.col("line")), hashed(now)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_vectors"))
+
+
+@query(f"WITH {_CORPUS} SELECT doc_id, CASE WHEN {_SECRET} THEN NULL ELSE length(text) END AS n_kept, CASE WHEN {_SECRET} THEN 'secret_suspected' ELSE 'ok' END AS status FROM corpus")
+def quarantine(spark, sf_dir):
+    docs = corpus(spark, sf_dir).withColumns({"status": F.lit("ok"), "content_hash": F.md5(F.col("text").cast("binary"))})
+    return maintenance.quarantined(docs, T.suspected_secret(F.col("text")).isNotNull()).select("doc_id", F.length("text").cast("long").alias("n_kept"), "status")
+
+
+@query(f"WITH {_CORPUS} SELECT doc_id FROM corpus WHERE NOT starts_with(path, '/corpus/src1/')")
+def subtree_removed(spark, sf_dir):
+    return corpus(spark, sf_dir).filter(~filters.under(F.col("path"), "/corpus/src1")).select("doc_id")
+
+
+@query(f"WITH {_CORPUS} SELECT doc_id, to_json({{'path': path, 'file_type': ltrim(extension, '.'), 'size': size}})::VARCHAR AS hit FROM corpus")
+def hits_as_json(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc_id", F.to_json(F.struct("path", F.ltrim("extension", F.lit(".")).alias("file_type"), "size")).alias("hit"))
+
+
+@query(f"WITH {_CORPUS} SELECT source, string_agg(DISTINCT extension, ',' ORDER BY extension) AS extensions, md5(string_agg(DISTINCT extension, ',' ORDER BY extension)) AS policy_id FROM corpus GROUP BY source")
+def policy_ids(spark, sf_dir):
+    """What identifies each source's list of extensions, in any order it is given."""
+    listed = F.array_join(F.array_sort(F.collect_set("extension")), ",")
+    return corpus(spark, sf_dir).groupBy("source").agg(listed.alias("extensions")).withColumn("policy_id", F.md5(F.col("extensions").cast("binary")))

@@ -70,6 +70,18 @@ def literal(best: DataFrame, names: DataFrame, external: DataFrame) -> DataFrame
     return rows.groupBy("doc_id").agg(F.round(F.least(score, F.lit(1.0)), 4).alias("score"))
 
 
+def three_places(x: Column) -> Column:
+    n = F.floor(x * 1000 + 0.5)
+    return F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+
+
+def reasons(semantic: Column, semantic_rank: Column, lexical: Column, lexical_rank: Column) -> Column:
+    """Why a document was found, one sentence a component."""
+    s = F.concat(F.lit("semantic: best chunk cosine "), three_places(semantic), F.lit(" (rank "), semantic_rank.cast("string"), F.lit(")"))
+    x = F.concat(F.lit("lexical: bm25 "), three_places(lexical), F.lit(" (rank "), lexical_rank.cast("string"), F.lit(")"))
+    return F.array_compact(F.array(s, x))
+
+
 def collapse(hits: DataFrame, key: str) -> DataFrame:
     """The best hit of each non-empty key stays, with the number of the others; hits without a key stay."""
     same = F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("row "), F.col("doc_id").cast("string")))

@@ -71,3 +71,22 @@ def outcomes(old: DataFrame, new: DataFrame, rejected: Column, secret: Column, b
     )
     found = new.join(was, "path", "left").join(moved, "path", "left").select("path", result.alias("result"))
     return found.unionByName(old.join(new, "path", "left_anti").select("path", F.lit("missing").alias("result")))
+
+
+def fresh_vectors(computed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Of vectors computed for (doc_id, ordinal, text_hash) those of documents whose chunks are still the same.
+
+    One chunk that is gone or has another text makes all of its document's vectors stale.
+    """
+    now = chunks.select("doc_id", "ordinal", F.col("text_hash").alias("__now"))
+    met = computed.join(now, ["doc_id", "ordinal"], "left")
+    stale = met.filter(~F.col("text_hash").eqNullSafe(F.col("__now"))).select("doc_id").distinct()
+    return computed.join(stale, "doc_id", "left_anti")
+
+
+def quarantined(docs: DataFrame, secret: Column) -> DataFrame:
+    """The documents with text and content hash of those under suspicion taken out, and their status set."""
+    taken = docs.withColumn("__secret", F.coalesce(secret, F.lit(False)))
+    none = F.lit(None).cast("string")
+    taken = taken.withColumns({"text": F.when(~F.col("__secret"), F.col("text")).otherwise(none), "content_hash": F.when(~F.col("__secret"), F.col("content_hash")).otherwise(none), "status": F.when(F.col("__secret"), "secret_suspected").otherwise(F.col("status"))})
+    return taken.drop("__secret")

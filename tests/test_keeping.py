@@ -12,7 +12,8 @@ from fernweave.functions import stem
 from fernweave.functions import text as T
 from fernweave.jobs.keeping import ASKED
 from fernweave.jobs.queries import QUERIES
-from fernweave.operators import scope
+from fernweave.operators import maintenance, scope
+from fernweave.sources import files
 from fernweave.streaming import queue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -123,3 +124,23 @@ def test_words_and_notes(spark):
     assert [tuple(r) for r in rows] == [("c:/a/b.txt", '"say" AND """x""" AND "it\'s"', "say|it's"), ("/a", '""', ""), ("/", None, None)]
     notes = spark.createDataFrame([(5, 5, False, 10), (1200, 3, True, 1500)], "n int, e int, t boolean, c int").select(T.coverage_note(F.col("n"), F.col("e"), F.col("t"), F.col("c")).alias("note")).collect()
     assert notes[0].note is None and notes[1].note.startswith("semantic search covers the first 3 of 1,200 chunks") and notes[1].note.endswith("text beyond 1,500 characters is not indexed")
+
+
+def test_inventory(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name, size in (("a/x.MD", 3), ("a/b/y.txt", 0), ("a/b/z.json", 7)):
+        (tmp_path / name).write_bytes(b"q" * size)
+    found = files.inventory(spark, f"file://{tmp_path}", ["*.JSON"])
+    assert sorted((r.path.removeprefix(str(tmp_path)), r.filename, r.extension, r.size) for r in found.collect()) == [("/a/b/y.txt", "y.txt", ".txt", 0), ("/a/x.MD", "x.MD", ".md", 3)]
+    assert files.covers(found, f"{tmp_path}/a") and not files.covers(found, f"{tmp_path}/c")
+    assert [bytes(r.content) for r in files.inventory(spark, f"file://{tmp_path}", ["y.txt", "z*"], content=True).collect()] == [b"qqq"]
+    assert files.inventory(spark, f"file://{tmp_path}", since="2100-01-01T00:00:00").count() == 0
+
+
+def test_stale_and_quarantined(spark):
+    made = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (3, 0, "d"), (3, 1, None)], "doc_id long, ordinal int, text_hash string")
+    now = spark.createDataFrame([(1, 0, "a"), (1, 1, "x"), (2, 0, "c"), (2, 1, "e")], "doc_id long, ordinal int, text_hash string")
+    assert [r.doc_id for r in maintenance.fresh_vectors(made, now).collect()] == [2]
+    docs = spark.createDataFrame([(1, "s", "h", "ok"), (2, None, "h", "ok"), (3, "t", None, "missing")], "doc_id long, text string, content_hash string, status string")
+    rows = maintenance.quarantined(docs, F.col("text") == "s").orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(1, None, None, "secret_suspected"), (2, None, "h", "ok"), (3, "t", None, "missing")]
