@@ -13,8 +13,8 @@ def inventory(spark: SparkSession, root: str, globs: list[str] | None = None, si
     """path, filename, extension, size and mtime (epoch seconds) of all files below the root that no glob excludes.
 
     ``since`` (a timestamp, UTC in a UTC session) leaves out older files while
-    the folder is listed. Without ``content`` no file is opened. Hidden files
-    and, on object stores, links are as the file system lists them.
+    the folder is listed. Without ``content`` no file is read. The source doesn't
+    list empty files, nor hidden ones (names that begin with a dot or underscore).
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if since:

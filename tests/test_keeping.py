@@ -128,10 +128,10 @@ def test_words_and_notes(spark):
 
 def test_inventory(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
-    for name, size in (("a/x.MD", 3), ("a/b/y.txt", 0), ("a/b/z.json", 7)):
+    for name, size in (("a/x.MD", 3), ("a/b/y.txt", 1), ("a/b/z.json", 7), ("a/empty.txt", 0), ("a/_hidden.txt", 2)):
         (tmp_path / name).write_bytes(b"q" * size)
     found = files.inventory(spark, f"file://{tmp_path}", ["*.JSON"])
-    assert sorted((r.path.removeprefix(str(tmp_path)), r.filename, r.extension, r.size) for r in found.collect()) == [("/a/b/y.txt", "y.txt", ".txt", 0), ("/a/x.MD", "x.MD", ".md", 3)]
+    assert sorted((r.path.removeprefix(str(tmp_path)), r.filename, r.extension, r.size) for r in found.collect()) == [("/a/b/y.txt", "y.txt", ".txt", 1), ("/a/x.MD", "x.MD", ".md", 3)]
     assert files.covers(found, f"{tmp_path}/a") and not files.covers(found, f"{tmp_path}/c")
     assert [bytes(r.content) for r in files.inventory(spark, f"file://{tmp_path}", ["y.txt", "z*"], content=True).collect()] == [b"qqq"]
     assert files.inventory(spark, f"file://{tmp_path}", since="2100-01-01T00:00:00").count() == 0
