@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, decontaminate, langid, line_dedup, simhash
+from fernweave.llm import bpe, decontaminate, langid, line_dedup, near_sets
 from fernweave.llm.common import cut
 
 #: SQL has neither the trained classifier nor BPE; the stages are tested against brute force.
 ORACLE_SQL = None
-#: Words of a shingle, and bits of 64 in which near duplicates may differ (a similarity of over 0.95 of the bits).
+#: Words of a shingle, and bits of 64 in which SimHash candidates may differ; all are verified, as are those by min-hashes.
 SHINGLE_WORDS = 5
 MOST_BITS = 3
 
@@ -32,9 +32,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    found = simhash.near_dedup(docs, SHINGLE_WORDS, MOST_BITS).filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    """One row of each group of near duplicates (Jaccard similarity of 0.8 and more): that with the smallest doc_id."""
+    return near_sets.one_of_each(docs, SHINGLE_WORDS, MOST_BITS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

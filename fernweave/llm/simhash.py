@@ -42,22 +42,31 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.
 BYTE_AT = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of the text's shingles of so many words, as an unsigned integer."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the text's shingles of so many words, as often as they occur."""
     tokens = text.lower().split()  # of bytes: A-Z and ASCII white space alone
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(tokens))
     spans = zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], np.uint64)
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes, as an unsigned integer."""
     # how often each byte value occurs at each of the 8 places, then each bit's count
     seen = np.bincount((hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + BYTE_AT).ravel(), minlength=2048).reshape(8, 256)
     return int.from_bytes(np.packbits((seen @ BITS) * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, words: int) -> int:
+    """SimHash of the text's shingles of so many words, as an unsigned integer."""
+    return fingerprint_of(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and its fingerprint (the 64 bits as a long)."""
 
