@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_free(df: DataFrame) -> DataFrame:
+    """``cut``, after which the driver drops the shuffles that made the table; else they take disk until it happens to collect its garbage."""
+    out = cut(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 class Memo(dict):
     """A dict that computes missing values and holds at most two generations of ``limit`` entries."""
 

@@ -14,10 +14,14 @@ line that equals another's variant by a word put in. Each key needs only its
 earliest line, so a group of n lines gives n candidates and no pairs. The edit
 distance of each candidate and its earlier line is verified on their words.
 
+Rows are told apart by doc_id and, where a doc_id is null or repeated, by a hash
+of the text as well, which any scan of the table gives again. Of rows that are
+equal in both one is the first, and the others lose all lines with words.
+
 Results for odd input: null and empty texts have no lines to lose and stay;
-rows of one doc_id are judged alike (both keep a line that stands earliest in
-both); a null doc_id comes after all others; other columns pass through, and
-those that the operator adds are replaced.
+rows of one doc_id are in the order of their texts' hashes; a null doc_id comes
+after all others; other columns pass through, and those that the operator adds
+are replaced.
 """
 
 from __future__ import annotations
@@ -26,13 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_view, cut, list_array, mix, small_batches, span_hashes, spans_of
+from .common import LOWER, byte_view, cut, cut_free, list_array, mix, small_batches, span_hashes, spans_of
 
 NEAR_WORDS = 8
 LAST = (1 << 63) - 1
+#: Repeated ids up to this number are told to every task; with more, all rows count as repeated.
+MOST_AGAIN = 10_000
+BLANK = " \t\n\v\f\r"
 SPACE = np.zeros(256, bool)
 SPACE[9:14] = SPACE[32] = True
 BASE = 0x5851F42D4C957F2D
@@ -98,27 +105,36 @@ class Lines:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """place (doc_id, null last), line_no, h (the line's hash) and, for long lines, the keys of its halves; lines without words are left out."""
+    """place, part (see keyed), line_no, h (the line's hash) and, for long lines, the keys of its halves; lines without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2 << 20):
             lines = Lines(batch.column("text"))
             k = np.flatnonzero(lines.n)
-            place = np.array(batch.column("place"), np.int64)[lines.text_of[k]]
+            place, part = (np.array(batch.column(c), np.int64)[lines.text_of[k]] for c in ("place", "part"))
             long = k[lines.n[k] >= NEAR_WORDS]
             keys = list_array(lines.halves(long).view(np.int64).ravel(), np.where(lines.n[k] >= NEAR_WORDS, 4, 0), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(lines.line_no[k], pa.int32()), pa.array(lines.hashes(k).view(np.int64)), keys], ["place", "line_no", "h", "halves"])
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(part), pa.array(lines.line_no[k], pa.int32()), pa.array(lines.hashes(k).view(np.int64)), keys], ["place", "part", "line_no", "h", "halves"])
 
-    return docs.select(_place(), F.col("text").cast("string").alias("text")).mapInArrow(run, "place long, line_no int, h long, halves array<long>")
+    return docs.select("__place", "__part", F.col("text").cast("string").alias("text")).toDF("place", "part", "text").mapInArrow(run, "place long, part long, line_no int, h long, halves array<long>")
 
 
-def _place():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place")
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows with __place (doc_id, null last), __again (whether the place is repeated) and __part (then the text's hash, else 0); and whether any is."""
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    again = cut(docs.select(place.alias("__place")).groupBy("__place").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__place"))
+    n = again.count()
+    rows = docs.withColumn("__place", place)
+    if n == 0 or n > MOST_AGAIN:
+        rows = rows.withColumn("__again", F.lit(n > 0))
+    else:
+        rows = rows.join(F.broadcast(again.withColumn("__again", F.lit(True))), "__place", "left").withColumn("__again", F.coalesce("__again", F.lit(False)))
+    return rows.withColumn("__part", F.when(F.col("__again"), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0).cast("long"))), n > 0
 
 
 def _neighbourhood(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, words and variants of the wanted lines (place, line_no)."""
-    by_text = wanted.groupBy("place").agg(F.collect_set("line_no").alias("line_nos"))  # of one document
+    """h, words and variants of the wanted lines (place, part, line_no)."""
+    by_text = wanted.groupBy("place", "part").agg(F.collect_set("line_no").alias("line_nos"))  # of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2 << 20):
@@ -133,13 +149,13 @@ def _neighbourhood(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             good = np.flatnonzero(lines.n >= NEAR_WORDS)
             if not len(good):
                 continue
-            place = np.array(batch.column("place"), np.int64)
+            place, part = (np.array(batch.column(c), np.int64) for c in ("place", "part"))
             words = list_array(np.concatenate([lines.words[lines.first[k] : lines.first[k] + lines.n[k]] for k in good]).view(np.int64), lines.n[good], pa.int64())
             variants = list_array(np.concatenate([lines.variants(k) for k in good]).view(np.int64), lines.n[good], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([place[of[k][0]] for k in good], pa.int64()), pa.array([of[k][1] for k in good], pa.int32()), pa.array(lines.hashes(good).view(np.int64)), words, variants], ["place", "line_no", "h", "words", "variants"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[of[k][0]] for k in good], pa.int64()) for x in (place, part)), pa.array([of[k][1] for k in good], pa.int32()), pa.array(lines.hashes(good).view(np.int64)), words, variants], ["place", "part", "line_no", "h", "words", "variants"])
 
-    texts = docs.select(_place(), F.col("text").cast("string").alias("text"))
-    return texts.join(by_text, "place").mapInArrow(run, "place long, line_no int, h long, words array<long>, variants array<long>")
+    texts = docs.select("__place", "__part", F.col("text").cast("string").alias("text")).toDF("place", "part", "text")
+    return texts.join(by_text, ["place", "part"]).mapInArrow(run, "place long, part long, line_no int, h long, words array<long>, variants array<long>")
 
 
 def within_one(a: np.ndarray, b: np.ndarray) -> bool:
@@ -166,41 +182,51 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """h of the distinct lines (h, first = struct(place, line_no), halves) that have an earlier line within one edit."""
+    """h of the distinct lines (h, first = struct(place, part, line_no), halves) that have an earlier line within one edit."""
     keys = distinct.select("h", F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("key")
     going_on = keys.join(shared, "key").select("h").distinct()
-    wanted = distinct.join(going_on, "h").select("first.place", "first.line_no")
-    found = cut(_neighbourhood(docs, wanted).dropDuplicates(["h"]))
-    variants = found.select(F.struct("place", "line_no", "h").alias("me"), F.posexplode("variants").alias("at", "key"))
+    wanted = distinct.join(going_on, "h").select("first.place", "first.part", "first.line_no")
+    found = cut_free(_neighbourhood(docs, wanted).dropDuplicates(["h"]))
+    variants = found.select(F.struct("place", "part", "line_no", "h").alias("me"), F.posexplode("variants").alias("at", "key"))
     groups = variants.groupBy("key", "at").agg(F.min("me").alias("first"), F.max("me").alias("last")).filter("first <> last").select("key", "at", "first")
     exchanged = variants.join(groups, ["key", "at"]).filter("me <> first").select("me.h", F.col("first.h").alias("other"))
-    lines = found.select(F.col("h").alias("key"), F.struct("place", "line_no", "h").alias("line"))
+    lines = found.select(F.col("h").alias("key"), F.struct("place", "part", "line_no", "h").alias("line"))
     put_in = variants.join(lines, "key").filter("me.h <> line.h").select(F.greatest("me", "line").alias("a"), F.least("me", "line").alias("b")).select("a.h", F.col("b.h").alias("other"))
     return _verified(exchanged.unionByName(put_in).distinct(), found.select("h", "words"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """place and the numbers of the lines that go, one row a document that loses any."""
+    """place, part and the numbers of the lines that go, one row a text of keyed rows that loses any."""
     lines = cut(line_table(docs))
-    distinct = cut(lines.groupBy("h").agg(F.min(F.struct("place", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves")))
+    distinct = cut_free(lines.groupBy("h").agg(F.min(F.struct("place", "part", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves")))
     near = near_lines(docs, distinct.filter(F.size("halves") > 0).select("h", "first", "halves"))
     judged = distinct.join(near.withColumn("near", F.lit(True)), "h", "left").filter("near or n > 1").select("h", "first", "near")
-    gone = lines.select("place", "line_no", "h").join(judged, "h").filter(F.coalesce("near", F.lit(False)) | (F.col("place") != F.col("first.place")) | (F.col("line_no") != F.col("first.line_no")))
-    return gone.groupBy("place").agg(F.collect_set("line_no").alias("gone"))
+    gone = lines.select("place", "part", "line_no", "h").join(judged, "h").filter(F.expr("coalesce(near, false) or place <> first.place or part <> first.part or line_no <> first.line_no"))
+    return gone.groupBy("place", "part").agg(F.collect_set("line_no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with their duplicate lines left out of ``text``, and n_lines, n_removed (long). n_chars follows the text."""
     added = {"n_lines": "long", "n_removed": "long"}
     names = [c for c in docs.columns if c not in added]
-    rows = docs.select(*names, _place().alias("__place")).join(removals(docs).withColumnRenamed("place", "__place").withColumnRenamed("gone", "__gone"), "__place", "left").select(*names, "__gone")
+    source, some_again = keyed(docs.select(*names))
+    gone = removals(source).toDF("__place", "__part", "__gone")
+    rows = source.join(gone, ["__place", "__part"], "left").withColumn("__copy", F.lit(False))
+    if some_again:
+        once, again = rows.filter("not __again"), rows.filter("__again")
+        # equal rows stand together; all but one are copies
+        order = Window.partitionBy("__place", "__part").orderBy(F.col("doc_id").isNull())
+        rows = once.unionByName(again.withColumn("__copy", F.row_number().over(order) > 1))
+    rows = rows.select(*names, "__gone", "__copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2 << 20):
             texts, sizes, lost = batch.column("text").to_pylist(), [], []
-            for k, gone in enumerate(batch.column("__gone").to_pylist()):
+            for k, (gone, copy) in enumerate(zip(batch.column("__gone").to_pylist(), batch.column("__copy").to_pylist(), strict=True)):
                 lines = (texts[k] or "").split("\n")
+                if copy:
+                    gone = [j for j, x in enumerate(lines) if x.strip(BLANK)]
                 sizes.append(len(lines) if texts[k] else 0)
                 lost.append(len(gone or ()))
                 if gone:
@@ -212,7 +238,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 cols["n_chars"] = pa.array([len(t) if m and t is not None and n is not None else n for t, m, n in zip(texts, lost, batch.column("n_chars").to_pylist(), strict=True)], batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(sizes, pa.int64()), pa.array(lost, pa.int64())], names=[*cols, *added])
 
-    schema = rows.drop("__gone").schema
+    schema = rows.drop("__gone", "__copy").schema
     for name, kind in added.items():
         schema = schema.add(name, kind)
     return rows.mapInArrow(run, schema)
