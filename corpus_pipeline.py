@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fernweave.llm import bpe, decontaminate, langid, line_dedup, near_sets
 from fernweave.llm.common import cut
 
-#: SQL has neither the trained classifier nor BPE; the stages are tested against brute force.
+#: SQL has neither the trained classifier nor BPE; tests/llm/test_pipeline.py holds the stages and their chain against plain loops.
 ORACLE_SQL = None
 #: Words of a shingle, and bits of 64 in which SimHash candidates may differ; all are verified, as are those by min-hashes.
 SHINGLE_WORDS = 5
