@@ -313,18 +313,21 @@ def scrub(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with the removal spans cut out of their texts; one of which no word is left goes. n_chars follows the text."""
     blocks = _blocks(benchmark)
     if len(blocks) > 1:
-        rows = cut(docs.withColumn("row", F.monotonically_increasing_id()))
+        rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
         merge = F.udf(_merged, SPAN)
-        slim = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+        slim = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         found = [_search(slim, b).filter(F.size("items") > 0).select("row", "spans") for b in blocks]
         union = found[0]
         for f in found[1:]:
             union = union.unionByName(f)
-        cuts = union.groupBy("row").agg(merge(F.flatten(F.collect_list("spans"))).alias("spans"))
+        cuts = union.groupBy("row").agg(merge(F.flatten(F.collect_list("spans"))).alias("__spans")).withColumnRenamed("row", "__row")
         clean = F.udf(lambda t, s: _without(t, s) if s else t, "string")
-        out = rows.join(cuts, "row", "left").withColumn("text", clean("text", "spans"))
-        out = out.filter(F.col("spans").isNull() | F.col("text").rlike("[a-zA-Z0-9\\x{80}-\\x{10FFFF}]")).drop("row", "spans")
-        return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))) if "n_chars" in docs.columns else out
+        out = rows.join(cuts, "__row", "left").withColumn("text", clean("text", "__spans"))
+        out = out.filter(F.col("__spans").isNull() | F.col("text").rlike("[a-zA-Z0-9\\x{80}-\\x{10FFFF}]"))
+        if "n_chars" in docs.columns:
+            cut_size = F.col("__spans").isNotNull() & F.col("n_chars").isNotNull()
+            out = out.withColumn("n_chars", F.when(cut_size, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        return out.select(*docs.columns)
     phrases = _phrases(blocks[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +345,7 @@ def scrub(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if "n_chars" in cols:
                 sizes = cols["n_chars"].to_pylist()
                 for k in found.items:
-                    sizes[k] = sizes[k] and len(texts[k])
+                    sizes[k] = None if sizes[k] is None else len(texts[k])
                 cols["n_chars"] = pa.array(sizes, batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols)).filter(pa.array(stay))
 
