@@ -4,8 +4,9 @@ A linear softmax over the mean of hashed letter n-gram vectors is trained by
 stochastic gradient descent on a bounded sample of labelled rows, calibrated by
 a temperature on a fifth of them, and rejects what it isn't sure of.
 
-The sample takes rows by a hash of doc_id and text, about ROWS_PER_LANGUAGE of
-each language and at most MOST_ROWS in all; each row counts with its whole text.
+The sample takes of each language the rows whose hashes of doc_id and text are
+smallest: ROWS_PER_LANGUAGE, or fewer if MOST_ROWS shared over all languages are
+fewer, but one at least. Equal rows count once, each with its whole text.
 
 Results for odd input: a null text and one without a letter are ``und`` with
 score 0 and rejected; without any labelled row everything is ``und``; a null
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_view, small_batches
+from .common import byte_view, cut, small_batches
 from .subwords import Classifier, collect_features, fit, letter_features
 
 BUCKETS = 1 << 16
@@ -43,12 +44,19 @@ def train(docs: DataFrame, held_out: int = 2, folds: int = 4, rows_per_language:
     """Fit on rows with a language and a text whose fold isn't the held-out one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()  # of labels, not of rows
-    if not counts:
+    rows = rows.withColumn("__hash", F.xxhash64("doc_id", "text", F.lit("language")))
+    hashes = rows.select("lang", "__hash").distinct()
+    counts = cut(hashes.groupBy("lang").count())  # of labels, not of rows
+    n = counts.count()
+    if not n:
         return fit([], BUCKETS)
-    chance = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, rows_per_language / r["count"]))))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < F.element_at(chance, F.col("lang")) * (1 << 20)
-    return fit(collect_features(rows.filter(drawn).limit(most_rows), lambda: letter_features(BUCKETS), "lang"), BUCKETS)
+    each = max(1, min(rows_per_language, most_rows // n))
+    # over twice as many as are wanted are ranked, so that no language's hashes all meet in one task
+    ranked = hashes.join(F.broadcast(counts), "lang").filter(F.pmod("__hash", F.lit(1 << 40)) < F.lit(2 * each + 64) / F.col("count") * (1 << 40))
+    order = Window.partitionBy("lang").orderBy(F.pmod("__hash", F.lit(1 << 40)), "__hash")
+    drawn = cut(ranked.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each).select("lang", "__hash"))
+    sample = rows.join(F.broadcast(drawn), ["lang", "__hash"], "left_semi").dropDuplicates(["lang", "__hash"])
+    return fit(collect_features(sample, lambda: letter_features(BUCKETS), "lang"), BUCKETS)
 
 
 def predict(column: pa.Array, model: Classifier) -> tuple[list[str], np.ndarray, np.ndarray]:
