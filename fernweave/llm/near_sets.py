@@ -6,14 +6,18 @@ keys of ROWS min-hashes; a pair of similarity 0.8 shares one with a probability
 of 1 - (1 - 0.8**4)**20, over 0.9999. Every candidate is verified on the sets
 of both, and groups are the components of the verified links.
 
-Skew: a key that more than HOT nodes share is not paired out. Its nodes get
-HOT_BANDS keys of HOT_ROWS min-hashes, which text that many documents share
-doesn't meet as easily (over 0.9999 at 0.8 again). Where more than HOT nodes
-share such a key too, each is verified against the key's representatives, one
-for each of SALTS orders, and then the key's nodes outside its largest component
-(HOT of them at most) against all. That is linear in the group, and whole where
-no more than HOT are left outside; beyond that a pair both of which are outside
-and aren't taken is found only through other keys.
+Skew: a key that more than HOT nodes share is not paired out. The nodes of such
+keys are joined by their rarest shingles instead, which is exact: two sets of
+that similarity share one of the first n - ceil(0.8 n) + 1 shingles of both when
+these are ordered by how many of the nodes hold them, and the places of the
+first shared one bound how many they can share at all. What a copy has alone
+comes first in that order, so copies that are too far from all others drop out
+at once, however large their group is. Where more than HOT nodes share a rare
+shingle too, each is verified against the key's two heads; then the nodes that
+aren't in the key's largest component go against all others of the key, under
+the same bounds. Pairs within one component add nothing and are the only ones
+left out, so no link between components is lost, and no number of partners is
+capped.
 
 Results for odd input: null, empty and blank texts have the empty set and are
 equal; fewer words than a shingle are one shingle; every row is judged by
@@ -26,20 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import cut, mix
+from .common import cut, mix, small_batches
 from .simhash import components, fingerprint_of, links, shingle_hashes
 
 #: Least Jaccard similarity, in hundredths.
 PERCENT = 80
 ROWS, BANDS = 4, 20
-HOT_ROWS, HOT_BANDS = 8, 64
 #: A key with more nodes than this is not paired out.
-HOT = 64
-SALTS = 8
+HOT = 16
 BLOCK = 4096
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,7 +65,7 @@ def signatures(rows: DataFrame, words: int) -> DataFrame:
     """row, doc_id, fp, digest of the set, its size n and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text", 4 << 20):
             fps, digests, sizes, keys = [], [], [], []
             for x in batch.column("text").cast(pa.binary()):
                 hashes = shingle_hashes(x.as_py() or b"", words)
@@ -77,49 +79,65 @@ def signatures(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, fp long, digest binary, n int, bands array<long>")
 
 
-def _sets(rows: DataFrame, nodes: DataFrame, words: int, bands: bool) -> DataFrame:
-    """node and its shingles, or its keys for hot bands."""
+def _sets(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node and its set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = (np.unique(shingle_hashes(x.as_py() or b"", words)) for x in batch.column("text").cast(pa.binary()))
-            values = [band_keys(s, HOT_ROWS, HOT_BANDS) if bands else s.view(np.int64) for s in found]
+        for batch in small_batches(batches, "text", 2 << 20):
+            values = [np.unique(shingle_hashes(x.as_py() or b"", words)).view(np.int64) for x in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(values, pa.list_(pa.int64()))], ["node", "of"])
 
     return rows.join(nodes, rows["row"] == nodes["node"], "left_semi").select("row", "text").mapInArrow(run, "node long, of array<long>")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """node, n, key and the number of nodes with the key, for keys of two and more."""
+    """The rows whose key two and more nodes have, with that number."""
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     return cut(keyed.join(counts, "key"))
 
 
+def _fits() -> Column:
+    """Whether nodes (n_a, after_a) and (n_b, after_b) can share enough: ``after`` shingles follow a first shared one."""
+    return (100 + PERCENT) * (1 + F.least("after_a", "after_b")) >= PERCENT * (F.col("n_a") + F.col("n_b"))
+
+
+def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+    return rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "after", *more)))
+
+
 def _paired(shared: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes of each key that isn't hot whose sizes allow the similarity."""
+    """The pairs (a, b) of nodes of each key that isn't hot, under the bound."""
     cold = shared.filter(F.col("many") <= HOT)
-    a, b = (cold.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    return a.join(b, "key").filter((F.col("a") < F.col("b")) & fits).select("a", "b")
+    return _side(cold, "a").join(_side(cold, "b"), "key").filter((F.col("node_a") < F.col("node_b")) & _fits()).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def _rare(sets: DataFrame) -> DataFrame:
+    """node, n, key, after: the shingles one of which a partner shares, rarest first; those of one node alone only move the others' places."""
+    each = sets.select("node", F.size("of").alias("n"), F.explode("of").alias("key"))
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    node = Window.partitionBy("node")
+    after = F.count(F.lit(1)).over(node) - F.row_number().over(node.orderBy("df", "key"))
+    return each.join(counts, "key").select("node", "n", "key", after.alias("after")).filter(F.expr(f"after >= ({PERCENT} * n + 99) div 100 - 1"))
 
 
-def _starred(hot: DataFrame) -> DataFrame:
-    """Each node of a hot key with the key's representatives."""
-    salted = hot.withColumn("salt", F.pmod("key", F.lit(SALTS)))
-    heads = salted.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "salt").alias("order"), "node")).alias("head")).select("key", F.col("head.node").alias("head"))
+def _starred(crowded: DataFrame) -> DataFrame:
+    """Each node of a hot key with the key's heads: the node with the fewest shingles before the key, and one by hash."""
+    me = F.struct("node", "n", "after")
+    heads = crowded.groupBy("key").agg(F.array(F.min_by(me, F.struct(F.col("n") - F.col("after"), "node")), F.min_by(me, F.struct(F.xxhash64("node", "key"), "node"))).alias("heads"))
+    heads = heads.select("key", F.explode(F.array_distinct("heads")).alias("h")).select("key", "h.*")
     # the pairs of a node's keys are mostly the same ones
-    return salted.join(heads, "key").filter("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    return _side(crowded, "a").join(_side(heads, "b"), "key").filter(F.expr("node_a <> node_b") & _fits()).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def _outside(hot: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of up to HOT nodes of each hot key that aren't in its largest component with its nodes of other components."""
-    known = cut(hot.join(components(found), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
-    core = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "root")).alias("core")).select("key", F.col("core.root").alias("core"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-    taken = known.join(core, "key").filter("root <> core").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= HOT)
-    taken = taken.select("key", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("root").alias("root_other"))
-    fits = 100 * F.least("n", "n_other") >= PERCENT * F.greatest("n", "n_other")
-    return known.join(taken, "key").filter(F.expr("root <> root_other") & fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def _outside(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of the nodes of each hot key that aren't in its largest component with its nodes of other components."""
+    known = cut(crowded.join(components(found), "node", "left").select("key", "node", "n", "after", F.coalesce("root", "node").alias("root")))
+    sizes = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"))
+    core = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("core"), F.min("least").alias("least")).select("key", F.col("core.root").alias("core"), "least")
+    able = (100 + PERCENT) * (1 + F.col("after")) >= PERCENT * (F.col("n") + F.col("least"))
+    others = cut(known.join(core, "key").filter(F.expr("root <> core") & able).select("key", "node", "n", "after", "root"))
+    pairs = _side(known, "a", "root").join(_side(others, "b", "root"), "key").filter(F.expr("root_a <> root_b") & _fits())
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _near_fingerprints(nodes: DataFrame, most: int) -> DataFrame:
@@ -135,7 +153,7 @@ def _near_fingerprints(nodes: DataFrame, most: int) -> DataFrame:
 def verified(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(_sets(rows, nodes, words, False))
+    sets = cut(_sets(rows, nodes, words))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.withColumn("common", common).filter(100 * F.col("common") >= PERCENT * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
@@ -145,14 +163,15 @@ def groups(rows: DataFrame, words: int, most: int) -> DataFrame:
     """row, doc_id and head (the row of the group with the smallest doc_id, null last) of a table of row, doc_id and text that doesn't change."""
     signed = cut(signatures(rows, words))
     nodes = cut(signed.groupBy("digest").agg(F.min("row").alias("node"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    shared = _shared(nodes.select("node", "n", F.explode("bands").alias("key")))
+    # a band says nothing about places: all shingles may follow
+    shared = _shared(nodes.select("node", "n", (F.col("n") - 1).alias("after"), F.explode("bands").alias("key")))
     pairs = _near_fingerprints(nodes.select("node", "fp"), most).unionByName(_paired(shared))
-    hot = cut(shared.filter(F.col("many") > HOT).select("node", "n").distinct())
+    hot = cut(shared.filter(F.col("many") > HOT).select("node").distinct())
     crowded = None
     if not hot.isEmpty():
-        again = _shared(_sets(rows, hot, words, True).join(hot, "node").select("node", "n", F.explode("of").alias("key")))
-        crowded = again.filter(F.col("many") > HOT)
-        pairs = pairs.unionByName(_paired(again)).unionByName(_starred(crowded))
+        rare = _shared(_rare(cut(_sets(rows, hot, words))))
+        crowded = rare.filter(F.col("many") > HOT)
+        pairs = pairs.unionByName(_paired(rare)).unionByName(_starred(crowded))
     found = cut(verified(rows, cut(pairs.distinct()), words))
     if crowded is not None and not crowded.isEmpty():
         found = found.unionByName(verified(rows, cut(_outside(crowded, found)), words))
