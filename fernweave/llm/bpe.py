@@ -9,6 +9,13 @@ moment. Copies are kept as (original, time of copying), so the automaton takes
 memory in proportion to the merge list. Each byte string is spelled by exactly
 one path, which is its BPE encoding; decoding emits the labels of the arcs.
 
+Encoding reads all pieces of a batch side by side, once, byte by byte, over
+tables compiled from that automaton: ``step`` (a row a prefix of a label, a column
+a byte) leads on, ``longest`` and ``shorter`` name the arcs that end here, and
+``follows`` is the automaton's transition from the state at an arc's beginning.
+Just one arc ends at each byte whose beginning lets it follow, as the path of
+every prefix is unique, so nothing is tried twice and nothing is taken back.
+
 Results for odd input: a null or empty text has no tokens and decodes to "";
 special strings of the tokenizer file become their own ids as in the library;
 rows with equal doc_id are encoded row by row; other columns are ignored.
@@ -18,22 +25,28 @@ from __future__ import annotations
 
 import hashlib
 import json
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, id_text_columns, list_array, small_batches, texts_of
+from .common import Memo, coded_parts, id_text_columns, list_array, mix, small_batches, stretches
 
 #: Fixed value: how byte-level BPE cuts a text into pieces before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Transitions that are held at once, and bytes of pieces that are read side by side.
+SLOTS, CELLS = 1 << 20, 1 << 20
+#: Two characters of white space in a row, as RE2 has it.
+SPACES = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]{2}"
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary file: printable Latin-1 for itself, the rest from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,14 +71,7 @@ class MergeAutomaton:
         self.arcs = {labels[t]: t for t in labels if t not in made_of}
         for time, (u, v, t) in enumerate(merges):
             self._gadget(time, u, v, t)
-        self.table: dict = {}
-        for label, t in self.arcs.items():
-            row = self.table
-            for byte in label[:-1]:
-                row = row.setdefault(byte, [-1, {}])[1]
-            row.setdefault(label[-1], [-1, {}])[0] = t
-        self.reach = max(map(len, self.arcs))
-        self.arc = Memo(lambda pair: self._has_arc(pair >> 32, pair & 0xFFFFFFFF), 200_000)
+        self._compile()
 
     def _gadget(self, time: int, u: int, v: int, t: int) -> None:
         """Splice rule ``u v -> t``: void where no state lets ``v`` follow ``u`` any more."""
@@ -98,45 +104,110 @@ class MergeAutomaton:
             arc = self.left[arc]
         return False
 
-    def encode(self, piece: bytes) -> list[int]:
-        """The arcs of the only path that spells the piece: longest arcs first, backing up from positions without a way on."""
-        whole = self.arcs.get(piece)
-        if whole is not None:
-            return [whole]
-        arc, table, reach, n = self.arc, self.table, self.reach, len(piece)
-        path: list[int] = []
-        untried: list[list[int]] = []
-        blind: set[int] = set()
-        at, state = 0, -1
-        while at < n:
-            fits = []
-            row = table
-            for byte in piece[at : at + reach]:
-                hit = row.get(byte)
-                if hit is None:
-                    break
-                t, row = hit
-                if t >= 0:
-                    fits.append(t)
-            while True:
-                while fits:
-                    t = fits.pop()
-                    if (state < 0 or arc[state << 32 | t]) and at + len(self.labels[t]) not in blind:
-                        break
-                else:
-                    if not path:
-                        raise ValueError(f"no path spells {piece!r}")
-                    blind.add(at)
-                    fits = untried.pop()
-                    at -= len(self.labels[path.pop()])
-                    state = path[-1] if path else -1
-                    continue
-                break
-            path.append(t)
-            untried.append(fits)
-            at += len(self.labels[t])
-            state = t
-        return path
+    def _compile(self) -> None:
+        """Tables over bytes. ``step`` is complete: where no label goes on, it leads to the longest suffix that does."""
+        children: list[dict[int, int]] = [{}]
+        home: dict[int, int] = {}
+        for label, t in self.arcs.items():
+            node = 0
+            for byte in label:
+                if byte not in children[node]:
+                    children[node][byte] = len(children)
+                    children.append({})
+                node = children[node][byte]
+            home[t] = node
+        top = max(self.arcs.values()) + 1
+        self.step = np.zeros((len(children), 256), np.int32)
+        self.longest, back = np.full(len(children), -1, np.int32), np.zeros(len(children), np.int32)
+        for t, node in home.items():
+            self.longest[node] = t
+        level = [0]
+        while level:
+            below = []
+            for node in level:
+                row = self.step[back[node]].copy() if node else self.step[0]
+                for byte, child in children[node].items():
+                    back[child] = row[byte] if node else 0
+                    row[byte] = child
+                    below.append(child)
+                self.step[node] = row
+            for node in below:
+                if self.longest[node] < 0:
+                    self.longest[node] = self.longest[back[node]]
+            level = below
+        self.shorter, self.size = np.full(top, -1, np.int32), np.zeros(top, np.int32)
+        for label, t in self.arcs.items():
+            self.shorter[t] = self.longest[back[home[t]]]
+            self.size[t] = len(label)
+        self.known = np.full(SLOTS, -1, np.int64)
+        self.holds = np.zeros(SLOTS, bool)
+
+    def follows(self, states: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+        """Whether each state has the arc; transitions are worked out when they are first met and kept in a table of fixed size."""
+        pairs = states.astype(np.int64) << 32 | arcs
+        slot = (mix(pairs.view(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
+        out = self.holds[slot]
+        new = np.flatnonzero(self.known[slot] != pairs)
+        if len(new):
+            some, back = np.unique(pairs[new], return_inverse=True)
+            found = np.array([self._has_arc(p >> 32, p & 0xFFFFFFFF) for p in some.tolist()], bool)[back]
+            out[new] = found
+            # of pairs that share a slot one is kept
+            _, last = np.unique(slot[new], return_index=True)
+            self.known[slot[new[last]]], self.holds[slot[new[last]]] = pairs[new[last]], found[last]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """For each piece the arcs of the only path that spells it, as 32-bit integers."""
+        out: list[bytes] = [b""] * len(pieces)
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        order = order[lengths[order] > 0]
+        # pieces of about one length go together, so that the table of states stays small
+        at = 0
+        while at < len(order):
+            room = max(1, CELLS // int(lengths[order[at]]))
+            some = order[at : at + room]
+            for k, path in zip(some.tolist(), self._paths([pieces[k] for k in some.tolist()], lengths[some]), strict=True):
+                out[k] = path
+            at += room
+        return out
+
+    def _paths(self, pieces: list[bytes], lengths: np.ndarray) -> list[bytes]:
+        """``encode`` of pieces that aren't empty, longest first."""
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        first = np.cumsum(lengths) - lengths
+        states = np.full((int(lengths[0]) + 1, len(pieces)), -1, np.int32)
+        node = np.zeros(len(pieces), np.int32)
+        for end in range(1, len(states)):
+            n = int(np.searchsorted(-lengths, -end, "right"))
+            node[:n] = self.step[node[:n], raw[first[:n] + end - 1]]
+            arc = self.longest[node[:n]]
+            open_ = np.arange(n)
+            while len(open_):
+                if (arc[open_] < 0).any():
+                    raise ValueError(f"no path spells {pieces[int(open_[arc[open_] < 0][0])]!r}")
+                begin = end - self.size[arc[open_]]
+                fits = begin == 0
+                inner = np.flatnonzero(~fits)
+                fits[inner] = self.follows(states[begin[inner], open_[inner]], arc[open_[inner]])
+                open_ = open_[~fits]
+                arc[open_] = self.shorter[arc[open_]]
+            states[end, :n] = arc
+        end, who = lengths.copy(), np.arange(len(pieces))
+        back, whose = [], []
+        while len(who):
+            arc = states[end[who], who]
+            back.append(arc)
+            whose.append(who)
+            end[who] -= self.size[arc]
+            who = who[end[who] > 0]
+        whose, back = np.concatenate(whose), np.concatenate(back)
+        # steps back of one piece stand in order; turned round they are its path
+        turned = np.argsort(whose[::-1], kind="stable")
+        ids = back[::-1][turned].astype(np.int32).tobytes()
+        cuts = (np.cumsum(np.bincount(whose, minlength=len(pieces))) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 class ByteBpe:
@@ -156,40 +227,61 @@ class ByteBpe:
         self.label = [labels.get(i, b"") for i in range(size)]
         for text, i in self.special.items():
             self.label[i] = text.encode()
-        self.decimal = [str(i) for i in range(size)]
+        self.labels, self.decimals = pa.array(self.label, pa.binary()), pa.array([str(i) for i in range(size)], pa.string())
         self.pieces = regex.compile(PIECES)
-        self.uneven = regex.compile(r"\s\s|^\s|\s$")
-        self.by_piece = Memo(self._piece, 20_000)
-        self.by_chunk = Memo(self._spaced, memo)
+        self.chunks = regex.compile(r"\s*\S+|\s+")
+        self.by_chunk = Memo(self._chunk, memo)
 
-    def _piece(self, piece: str) -> bytes:
-        return array("i", self.automaton.encode(piece.encode())).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.by_piece.__getitem__, self.pieces.findall(chunk)))
-
-    def _spaced(self, chunk: str) -> bytes:
-        """A chunk that begins with a space: a word, or a word and a sign, are their own pieces."""
+    def _cut(self, chunk: str) -> list[str]:
+        """A chunk's pieces. One that begins with a space is mostly a word, or a word and a sign."""
         word, last = chunk[1:-1], chunk[-1]
-        if word.isalpha():
+        if chunk[0] == " " and word.isalpha():
             if last.isalpha():
-                return self._piece(chunk)
+                return [chunk]
             if not last.isalnum() and not last.isspace() and last.isprintable():
-                return self.by_chunk[chunk[:-1]] + self.by_piece[last]
-        return self._chunk(chunk)
+                return [chunk[:-1], last]
+        return self.pieces.findall(chunk)
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(self.automaton.encode([p.encode() for p in self.pieces.findall(chunk)]))
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, those that the memo doesn't hold all together."""
+        new = [c for c in chunks if c not in self.by_chunk and c not in self.by_chunk.old]
+        cuts = [self._cut(c) for c in new]
+        pieces = list({p: None for cut in cuts for p in cut})
+        ids = dict(zip(pieces, self.automaton.encode([p.encode() for p in pieces]), strict=True))
+        fresh = {c: ids[cut[0]] if len(cut) == 1 else b"".join([ids[p] for p in cut]) for c, cut in zip(new, cuts, strict=True)}
+        out = [fresh[c] if c in fresh else self.by_chunk[c] for c in chunks]
+        self.by_chunk.take_in(fresh)
+        return out
 
     def _plain(self, text: str) -> bytes:
-        """No piece reaches over a single space between two other characters, so such chunks are encoded by themselves."""
-        if len(text) < 64 or self.uneven.search(text):
-            return self._chunk(text)
-        first, *rest = text.split(" ")
-        return self._chunk(first) + b"".join(map(self.by_chunk.__getitem__, [" " + x for x in rest]))
+        """No piece reaches from a character that isn't white space to one that is, so such chunks are encoded by themselves."""
+        return b"".join(self.encode_chunks(self.chunks.findall(text)))
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode_text(self, text: str) -> bytes:
+        """A text's ids, any special strings in it included."""
         if self.special_pattern is None or not any(s in text for s in self.special):
-            return np.frombuffer(self._plain(text), np.int32)
+            return self._plain(text)
         parts = self.special_pattern.split(text)
-        return np.frombuffer(b"".join(np.int32(self.special[p]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts)), np.int32)
+        return b"".join(np.int32(self.special[p]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has.
+
+        Where white space never stands twice in a row, a text is cut at its
+        spaces and each distinct chunk of the batch is encoded once.
+        """
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, SPACES)
+        for special in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        parts = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        heads = pc.list_element(parts, 0).to_pylist() if len(parts) else []
+        own = self.encode_chunks([h or "\n" for h in heads])
+        own = [self.encode_text(texts[k].as_py()) if strange else ids if head else b"" for k, (strange, head, ids) in enumerate(zip(odd.to_pylist(), heads, own, strict=True))]
+        return coded_parts(parts, lambda chunks: self.encode_chunks([" " + c for c in chunks]), own, np.int32)
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.label.__getitem__, ids))
@@ -213,18 +305,22 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
-        for batch in small_batches(batches, "text", 8 << 20):
-            ids = [coder.encode(t) for t in texts_of(batch.column("text"))]
-            lengths = np.array([len(x) for x in ids], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(np.concatenate(ids), lengths, pa.int32())], ["doc_id", "token_ids"])
+        for batch in small_batches(batches, "text", 4 << 20):
+            ids, lengths = coder.encode(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(ids, lengths, pa.int32())], ["doc_id", "token_ids"])
 
     return id_text_columns(docs).mapInArrow(run, "doc_id long, token_ids array<int>")
 
 
-def _rows_of(column: pa.ListArray) -> Iterator[list[int]]:
-    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    for a, b in zip(ends, ends[1:], strict=False):
-        yield flat[a:b].tolist()
+def _joined(column: pa.ListArray, names: pa.Array, between: str | bytes) -> Iterator[bytes]:
+    """Per list of ids their names, joined, as bytes; a null list is empty."""
+    column = column.fill_null([])
+    for a, b in stretches(pc.list_value_length(column).to_numpy(), 1 << 20):
+        part = column.slice(a, b - a)
+        offsets = part.offsets.to_numpy()
+        named = pa.LargeListArray.from_arrays(pa.array(offsets - offsets[0], pa.int64()), names.take(part.flatten()))
+        for text in pc.binary_join(named, between):
+            yield text.as_buffer().to_pybytes()
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -234,8 +330,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
         for batch in batches:
-            ids = batch.column("token_ids").fill_null([])
-            texts = [coder.decode_bytes(x).decode("utf-8", "replace") for x in _rows_of(ids)]
+            texts = [x.decode("utf-8", "replace") for x in _joined(batch.column("token_ids"), coder.labels, b"")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
@@ -248,11 +343,10 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
         for batch in batches:
-            sizes, ids_sha, text_sha = [], [], []
-            for ids in _rows_of(batch.column("token_ids").fill_null([])):
-                sizes.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(coder.decimal.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(coder.decode_bytes(ids).decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = batch.column("token_ids")
+            sizes = pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64())
+            ids_sha = [hashlib.sha256(x).hexdigest() for x in _joined(ids, coder.decimals, ",")]
+            text_sha = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in _joined(ids, coder.labels, b"")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.select("doc_id", F.col("token_ids")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,16 +15,22 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where none is named."""
+    """A new place in the shared folder that spark.checkpoint.dir names; only a local master may do without the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fernweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def beside(docs: DataFrame, known: tuple[str, ...], work: Callable[[DataFrame], DataFrame], added: tuple[str, ...] = ()) -> DataFrame:
+    """What ``work`` makes of ``docs`` while all columns but the ``known`` have names that no operator uses; then the columns as they were, and the ``added``."""
+    names = {c: c if c in known else f"__own_{k}" for k, c in enumerate(docs.columns) if c not in added}
+    aside = docs.select(*(F.col(f"`{old}`").alias(new) for old, new in names.items()))
+    return work(aside).select(*(F.col(new).alias(old) for old, new in names.items()), *added)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there and survives lost executors."""
     path = scratch_dir(df.sparkSession)
@@ -56,6 +63,12 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def take_in(self, values: dict) -> None:
+        if len(self) + len(values) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(values)
+
 
 def texts_of(column: pa.Array) -> Iterator[str]:
     """Python strings one after another, null as empty; only one is held at a time."""
@@ -82,6 +95,32 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def coded_parts(parts: pa.ListArray, code: Callable[[list[str]], list[bytes]], own: list[bytes], kind: np.dtype | type) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all lists of strings one after another, and how many each list has; every distinct string is coded once.
+
+    ``code`` gives strings' ids as bytes; the first string of list k is ``own[k]``, coded already.
+    """
+    offsets = parts.offsets.to_numpy().astype(np.int64)
+    flat = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    offsets -= offsets[0]
+    coded = [*code(flat.dictionary.to_numpy(zero_copy_only=False).tolist()), *own]
+    at = flat.indices.to_numpy().astype(np.int64)
+    at[offsets[:-1]] = len(flat.dictionary) + np.arange(len(own))
+    sizes = np.array([len(c) for c in coded], np.int64) // np.dtype(kind).itemsize
+    ids = np.frombuffer(b"".join(coded), kind)
+    n, first = sizes[at], (np.cumsum(sizes) - sizes)[at]
+    ends = np.cumsum(n)
+    take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - n), n)
+    return ids[take], np.diff(np.concatenate((np.zeros(1, np.int64), ends))[offsets])
+
+
+def stretches(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows whose lengths sum to about ``most`` (a longer row is a run of its own)."""
+    group = np.cumsum(lengths) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(lengths)]
+    yield from ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of ``column`` (a longer text is a batch of its own)."""
     for batch in batches:
@@ -89,9 +128,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
         if len(values) == 0:
             continue
         sizes = np.array([0 if x is None else x for x in pc.binary_length(values).to_pylist()], np.int64)
-        group = np.cumsum(sizes) // most_bytes
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(values)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
+        for a, b in stretches(sizes, most_bytes):
             yield batch.slice(a, b - a)
 
 
