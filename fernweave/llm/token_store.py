@@ -13,7 +13,12 @@ canonical, by length and then id, sent from the highest bit on. Folder
 ``blocks``: part (its documents' place in the order of parts), block (within
 the part), doc_ids, sizes (ids a document, with the end id), payload (bits from
 the highest of each byte on; documents begin at whole bytes) and checkpoints
-(bit offsets, one for each started CHECKPOINT ids of each document in turn).
+(64-bit bit offsets, one for each started CHECKPOINT ids of each document in
+turn). Between tasks ids take 16 bits where the vocabulary allows it, else 32.
+
+Skew: parts are ranges of doc_id, the ids' checksum and the row's place in the
+coded table, so a doc_id with very many rows, or none, is dealt over parts too;
+their number follows bytes as well as rows.
 
 Results for odd input: null and empty texts are the end id alone; rows of one
 doc_id follow each other in the order of their ids' checksum; rows with a null doc_id come
@@ -22,6 +27,7 @@ first; an empty table gives an empty store; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -30,20 +36,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import Memo, cut, id_text_columns, list_array, scratch_dir, small_batches
+from .common import Memo, coded_parts, cut, id_text_columns, list_array, scratch_dir, small_batches, stretches
 
 MAX_BITS = 18
 CHECKPOINT = 64
 #: Ids of one block; a longer document is a block of its own.
 BLOCK_IDS = 200_000
-#: Documents of one part (file) on average.
-PART_ROWS = 20_000
+#: Documents and bytes of ids of one part (file) on average, at most.
+PART_ROWS, PART_BYTES = 20_000, 64 << 20
 #: Fixed value: what a word of the vocabulary is, of lower-case text in NFC.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -68,6 +75,7 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.kind = id_kind(path)
         self.letter = {b: c for c, b in byte_letters().items()}
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(WORDS)
@@ -76,27 +84,35 @@ class WordEncoder:
         self.by_piece = Memo(self._piece, 20_000)
         self.by_part = Memo(self._part, memo)
 
+    def _ids(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind == "<u2" else "I", ids).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         letters = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letter.__getitem__, piece.encode()))
-        return array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return self._ids([t.id for t in self.model.tokenize(letters)])
 
-    def _part(self, part: bytes) -> bytes:
-        text = part.decode()
+    def _part(self, text: str) -> bytes:
         if (text.isascii() and text.isprintable()) or (self.simple.fullmatch(text) and "İ" not in text):
             # a word, or a word and a sign, are their own pieces
             if text.isalpha():
                 low = text.lower()
-                return self._piece(low) if low == text else self.by_part[low.encode()]
+                return self._piece(low) if low == text else self.by_part[low]
             last = text[-1]
             if text[:-1].isalpha() and not last.isalnum():
-                return self.by_part[text[:-1].lower().encode()] + self.by_piece[last]
+                return self.by_part[text[:-1].lower()] + self.by_piece[last]
             if not any(s in text for s in self.special):
                 return b"".join(map(self.by_piece.__getitem__, self.pattern.findall(text.lower())))
-        return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return self._ids(self.whole.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, text: bytes) -> bytes:
-        """Little-endian 16-bit ids."""
-        return b"".join(map(self.by_part.__getitem__, text.split()))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has; each distinct part of the batch is encoded once."""
+        # a first part of its own for each text, which has no ids
+        parts = pc.ascii_split_whitespace(pc.binary_join_element_wise("- ", texts.fill_null(""), ""))
+        return coded_parts(parts, self._parts, [b""] * len(texts), np.dtype(self.kind))
+
+    def _parts(self, found: list[str]) -> list[bytes]:
+        held = self.by_part.get
+        return [ids if (ids := held(x)) is not None else self.by_part[x] if x else b"" for x in found]
 
 
 @lru_cache(maxsize=1)
@@ -104,6 +120,15 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+@lru_cache(maxsize=4)
+def id_kind(path: str) -> str:
+    """Unsigned integers that hold every id of the vocabulary and the end id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    most = max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec.get("added_tokens") or [])])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
     """Optimal code lengths of at most ``most`` bits (package-merge); 0 for ids that don't occur."""
     used = np.flatnonzero(counts)
@@ -196,42 +221,54 @@ class Code:
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id and its ids with the end id, as little-endian 16-bit integers."""
-    end = np.array([end_id], "<u2").tobytes()
+    """doc_id and its ids with the end id, as little-endian integers of ``id_kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
-        for batch in small_batches(batches, "text", 8 << 20):
-            ids = [code.encode(x.as_py() or b"") + end for x in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for batch in small_batches(batches, "text", 4 << 20):
+            ids, lengths = code.encode(batch.column("text"))
+            ends = np.cumsum(lengths)
+            raw = memoryview(np.insert(ids, ends, end_id).tobytes())
+            cuts = ((ends + np.arange(1, len(ends) + 1)) * ids.itemsize).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], pa.binary())], ["doc_id", "ids"])
 
     return id_text_columns(docs).mapInArrow(run, "doc_id long, ids binary")
 
 
-def _counts(coded: DataFrame) -> DataFrame:
+def _counts(coded: DataFrame, kind: str) -> DataFrame:
     """(id, n): counted in each task, then summed; at most one row for each id of the vocabulary and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_py(), "<u2"), minlength=1 << 16) if len(x.as_buffer()) > 1 << 14 else 0
-            small = [x.as_py() for x in batch.column("ids") if len(x.as_buffer()) <= 1 << 14]
-            total += np.bincount(np.frombuffer(b"".join(small), "<u2"), minlength=1 << 16)
+            values = batch.column("ids")
+            for a, b in stretches(pc.binary_length(values).to_numpy(), 8 << 20):
+                seen = np.bincount(np.frombuffer(b"".join(values.slice(a, b - a).to_pylist()), kind))
+                if len(seen) > len(total):
+                    total = np.concatenate((total, np.zeros(len(seen) - len(total), np.int64)))
+                total[: len(seen)] += seen
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["id", "n"])
 
     return coded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _by_id(rows: list, value: str) -> np.ndarray:
+    """Values of rows (id, value) as an array by id."""
+    out = np.zeros(max([r["id"] for r in rows], default=0) + 1, np.int64)
+    for r in rows:
+        out[r["id"]] = r[value]
+    return out
+
+
 def write(docs: DataFrame, target: str, path: str | None = None, end_id: int = 1) -> None:
     """Write the store of all ``docs`` to the folder ``target``."""
     spark = docs.sparkSession
-    coded = cut(encode(docs, path or default_path(), end_id))
-    counts = np.zeros(1 << 16, np.int64)
-    for row in _counts(coded).collect():  # one row for each id of the vocabulary
-        counts[row["id"]] = row["n"]
-    lengths = code_lengths(counts)
+    path = path or default_path()
+    kind = id_kind(path)
+    width = np.dtype(kind).itemsize
+    coded = cut(encode(docs, path, end_id))
+    lengths = code_lengths(_by_id(_counts(coded, kind).collect(), "n"))  # one row for each id of the vocabulary
     code = Code(lengths)
     some = np.flatnonzero(lengths).tolist()
     spark.createDataFrame([(i, int(lengths[i])) for i in some], "id int, bits int").coalesce(1).write.parquet(f"{target}/code")
@@ -244,10 +281,10 @@ def write(docs: DataFrame, target: str, path: str | None = None, end_id: int = 1
         state = {"block": 0, "ids": 0}
 
         def flush() -> pa.RecordBatch:
-            sizes = np.array([len(x) // 2 for _, x in held])
-            payload, marks = code.pack(np.frombuffer(b"".join(x for _, x in held), "<u2").astype(np.int64), sizes)
+            sizes = np.array([len(x) // width for _, x in held])
+            payload, marks = code.pack(np.frombuffer(b"".join(x for _, x in held), kind).astype(np.int64), sizes)
             one = lambda x, kind: pa.array([x], kind)
-            out = pa.RecordBatch.from_arrays([one(part, pa.int32()), one(state["block"], pa.int32()), one([d for d, _ in held], pa.list_(pa.int64())), one(sizes, pa.list_(pa.int32())), one(payload, pa.binary()), one(marks, pa.list_(pa.int32()))], names)
+            out = pa.RecordBatch.from_arrays([one(part, pa.int32()), one(state["block"], pa.int32()), one([d for d, _ in held], pa.list_(pa.int64())), one(sizes, pa.list_(pa.int32())), one(payload, pa.binary()), one(marks, pa.list_(pa.int64()))], names)
             held.clear()
             state["block"] += 1
             state["ids"] = 0
@@ -256,25 +293,23 @@ def write(docs: DataFrame, target: str, path: str | None = None, end_id: int = 1
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 ids = ids.as_py()
-                if held and state["ids"] + len(ids) // 2 > BLOCK_IDS:
+                if held and state["ids"] + len(ids) // width > BLOCK_IDS:
                     yield flush()
                 held.append((doc, ids))
-                state["ids"] += len(ids) // 2
+                state["ids"] += len(ids) // width
         if held:
             yield flush()
 
-    # ranges of doc_id, so that parts follow each other
-    parts = max(1, -(-coded.count() // PART_ROWS))
-    by_id = F.col("doc_id").asc_nulls_first()
-    ordered = coded.repartitionByRange(parts, by_id).sortWithinPartitions(by_id, F.crc32("ids"))
-    ordered.mapInArrow(run, "part int, block int, doc_ids array<long>, sizes array<int>, payload binary, checkpoints array<int>").write.option("compression", "none").parquet(f"{target}/blocks")
+    # ranges, so that parts follow each other
+    size = coded.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids"))).first()
+    parts = max(1, -(-size[0] // PART_ROWS), -(-(size[1] or 0) // PART_BYTES))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("sum"), F.col("at"))
+    ordered = coded.withColumns({"sum": F.crc32("ids"), "at": F.monotonically_increasing_id()}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "ids").mapInArrow(run, "part int, block int, doc_ids array<long>, sizes array<int>, payload binary, checkpoints array<long>").write.option("compression", "none").parquet(f"{target}/blocks")
 
 
 def read_code(spark: SparkSession, target: str) -> Code:
-    lengths = np.zeros(1 << 16, np.int64)
-    for row in spark.read.parquet(f"{target}/code").collect():  # one row for each id of the vocabulary
-        lengths[row["id"]] = row["bits"]
-    return Code(lengths)
+    return Code(_by_id(spark.read.parquet(f"{target}/code").collect(), "bits"))  # one row for each id of the vocabulary
 
 
 def read_blocks(spark: SparkSession, target: str) -> DataFrame:
