@@ -1,20 +1,24 @@
 """Operator 2: exact dedup through a minimal perfect hash over historical digests.
 
 Texts are equal when they are identical after lower-casing A-Z. The history is
-a set of distinct digests, each with its group's size and a winner locator (the
-largest doc_id). It is dealt into buckets by digest; each bucket is compiled
-into a minimal perfect hash (levels of bit arrays, rank gives the slot) whose
-slots hold the full digest, the winner and the size. A row's digest goes to its
-bucket, is hashed to a slot, and counts as a member only if all 32 bytes agree.
-Members take the slot's winner; nonmembers are grouped among themselves.
-
-Skew: winners and sizes are pre-aggregated before they are shuffled, a bucket
+a set of distinct digests, each with its winner locator (the largest doc_id so
+far) and its number of rows: what earlier loads held, or, for a table by itself,
+its earlier half by doc_id. The digests are dealt into buckets; each bucket is
+compiled into a minimal perfect hash (levels of bit arrays, rank gives the slot)
+whose slots hold the full digest, the winner and the number. A row's digest goes
+to its bucket, is hashed to a slot, and counts as a member only if all 32 bytes
+agree. New members are counted by slot and may take the slot's place as winner;
+nonmembers are grouped among themselves.
+
+Skew: winners and numbers are pre-aggregated before they are shuffled, a bucket
 holds a bounded number of distinct digests, and a bucket with many rows to look
-up is dealt over several copies of its slots.
+up is dealt over several copies of its slots, each smaller than the rows that it
+answers.
 
 Results for odd input: null counts as the empty text; rows with one doc_id
-count one by one; a null doc_id never wins unless its group has no other; an
-empty table gives an empty result; other columns are ignored.
+count one by one; a null doc_id is part of the earlier half and never wins
+unless its group has no other; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import cut, id_text_columns
 
 #: Distinct digests a bucket holds on average, and rows one copy of a bucket answers.
-BUCKET_DIGESTS = 20_000
-BUCKET_ROWS = 10_000
+BUCKET_DIGESTS = 4_000
+BUCKET_ROWS = 8_000
 GAMMA = 2.0
 
 
@@ -119,54 +123,64 @@ def build_index(history: DataFrame, buckets: int, copies: DataFrame) -> DataFram
 
 
 def look_up(rows: DataFrame, index: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, digest, and the winner and size in its slot (size null where the digest is no member)."""
-    probes = rows.withColumn("bucket", bucket_of(F.col("digest"), buckets)).join(F.broadcast(copies.filter("n_copies > 1")), "bucket", "left")
-    probes = probes.select("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.coalesce("n_copies", F.lit(1))).cast("int").alias("copy"), "doc_id", "digest")
+    """doc_id, digest, fresh, bucket, and the slot with its winner and size (all three null where the digest is no member)."""
+    # no hint: the crowded buckets are broadcast only while Spark finds them small enough
+    probes = rows.withColumn("bucket", bucket_of(F.col("digest"), buckets)).join(copies.filter("n_copies > 1"), "bucket", "left")
+    probes = probes.select("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.coalesce("n_copies", F.lit(1))).cast("int").alias("copy"), "doc_id", "digest", "fresh")
     nulls = {"digests": "binary", "winners": "array<long>", "sizes": "array<long>"}
-    both = probes.select("*", *(F.lit(None).cast(t).alias(k) for k, t in nulls.items())).unionByName(index.select("bucket", "copy", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), *nulls))
+    slots = index.select("bucket", "copy", *(F.lit(None).cast(t).alias(k) for k, t in {"doc_id": "long", "digest": "binary", "fresh": "boolean"}.items()), *nulls)
+    both = probes.select("*", *(F.lit(None).cast(t).alias(k) for k, t in nulls.items())).unionByName(slots)
     both = both.repartition("bucket", "copy").sortWithinPartitions("bucket", "copy", F.col("digests").isNull())
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hash_, slots, winners, sizes = None, None, None, None, None
         for batch in batches:
-            keys = np.array(batch.column("bucket"), np.int64) << 20 | np.array(batch.column("copy"), np.int64)
+            bucket, copy = (np.array(batch.column(c), np.int64) for c in ("bucket", "copy"))
             is_slots = np.array(batch.column("digests").is_valid())
-            edges = np.flatnonzero((np.diff(keys) != 0) | is_slots[1:] | is_slots[:-1]) + 1
-            cuts = [0, *edges.tolist(), len(keys)]
+            edges = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(copy) != 0) | is_slots[1:] | is_slots[:-1]) + 1
+            cuts = [0, *edges.tolist(), len(bucket)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(a, b - a)
                 if is_slots[a]:
-                    held = keys[a]
+                    held = bucket[a], copy[a]
                     slots = np.frombuffer(part.column("digests")[0].as_py(), np.uint8).reshape(-1, 32)
                     hash_, winners, sizes = PerfectHash(slots), part.column("winners")[0].values, part.column("sizes")[0].values
                     continue
-                winner, size = pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int64())
-                if held == keys[a]:
+                slot = pa.nulls(b - a, pa.int64())
+                winner, size = slot, slot
+                if held == (bucket[a], copy[a]):
                     digests = _as_bytes(part.column("digest"))
                     at = hash_.slots(digests)
                     member = (at >= 0) & (slots[at] == digests).all(1)
-                    take = pa.array(at, mask=~member)
-                    winner, size = winners.take(take), sizes.take(take)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), winner, size], ["doc_id", "digest", "winner", "size"])
+                    slot = pa.array(at, mask=~member)
+                    winner, size = winners.take(slot), sizes.take(slot)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "digest", "fresh", "bucket")), slot, winner, size], ["doc_id", "digest", "fresh", "bucket", "slot", "winner", "size"])
 
-    return both.mapInArrow(probe, "doc_id long, digest binary, winner long, size long")
+    return both.mapInArrow(probe, "doc_id long, digest binary, fresh boolean, bucket int, slot long, winner long, size long")
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, digest, keep_id (the row that stays), group_size and kept.
 
-    ``history`` (digest, winner, size) is what earlier loads held; by default it is
-    what the table itself holds more than once, so that nonmembers stand alone.
+    ``history`` (digest, winner, size) is what earlier loads held: its rows count
+    and may win, and all of ``docs`` is new. Without it the rows up to the median
+    doc_id are the history of the others.
     """
     rows = cut(digest_rows(docs))
-    own = history_of(rows)
-    history = own.filter("size > 1") if history is None else history.select("digest", "winner", "size")
+    if history is None:
+        median = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+        rows = rows.withColumn("fresh", F.coalesce(F.col("doc_id") > F.lit(median), F.lit(False)))
+        history = history_of(rows.filter("not fresh"))
+    else:
+        rows = rows.withColumn("fresh", F.lit(True))
+        history = history.select("digest", "winner", "size")
     buckets = max(1, -(-history.count() // BUCKET_DIGESTS))
-    load = own.groupBy(bucket_of(F.col("digest"), buckets).alias("bucket")).agg(F.sum("size").alias("rows"))
-    # one row of two integers for BUCKET_DIGESTS digests, so it stays small enough to broadcast
+    load = rows.groupBy(bucket_of(F.col("digest"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
     copies = cut(load.select("bucket", F.greatest(F.lit(1), F.ceil(F.col("rows") / BUCKET_ROWS)).cast("int").alias("n_copies")))
     found = cut(look_up(rows, build_index(history, buckets, copies), copies, buckets))
-    alone = found.filter("size is null").select("doc_id", "digest")
-    members = found.filter("size is not null").select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("size").alias("group_size"))
+    news = found.filter("slot is not null and fresh").groupBy("bucket", "slot").agg(F.max("doc_id").alias("newest"), F.count(F.lit(1)).alias("more"))
+    members = found.filter("slot is not null").join(news, ["bucket", "slot"], "left")
+    members = members.select("doc_id", "digest", F.greatest("winner", "newest").alias("keep_id"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("group_size"))
+    alone = found.filter("slot is null").select("doc_id", "digest")
     others = alone.join(history_of(alone), "digest").select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("size").alias("group_size"))
     return members.unionByName(others).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()))
