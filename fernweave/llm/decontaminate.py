@@ -8,26 +8,33 @@ position of a run is sampled. All test phrases are searched backwards at once
 through wavelet ranks, their occurrences are located by walking to a sampled
 position, and overlapping spans are merged into removal spans.
 
-Documents never move: the phrases, a stated query set, come to the shards as
-broadcasts of at most BLOCK_BYTES of text; a larger benchmark is searched block
-by block and the blocks' findings are merged per row.
+Documents never move: the phrases, a stated query set, come to the shards as a
+broadcast of at most BLOCK_BYTES of text. A larger benchmark is searched block
+by block, each released before the next is built; only the rows that a block
+hits are written, and the blocks' spans are merged per row. What follows from
+the spans is the same code however many blocks there are.
 
 Results for odd input: null and wordless texts have no words and no hits; an
-item without words has no window; equal items are both reported; rows with one
-doc_id are searched row by row; an empty benchmark hits nothing; other columns
-pass through ``scrub`` and are left out of ``report``.
+item without words has no window; equal texts of different items are both
+reported, rows of one item_id as one item, and an item without id as the empty
+string; rows with one doc_id are searched row by row; an empty benchmark hits
+nothing; other columns pass through ``scrub``, whatever their names, and are
+left out of ``report``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import LOWER, byte_view, cut, small_batches, span_hashes, spans_of
+from .common import LOWER, beside, byte_view, cut, id_text_columns, small_batches, span_hashes, spans_of
 
 WINDOW = 10
 #: Text of the benchmark that is searched in one pass.
@@ -52,7 +59,9 @@ class Phrases:
     """The benchmark's windows as numbers: the alphabet, the windows' symbols, and the items of each window."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
-        self.item_ids = [str(i) for i, _ in items]
+        self.item_ids = sorted({"" if i is None else str(i) for i, _ in items})
+        number = {i: k for k, i in enumerate(self.item_ids)}
+        own = [number["" if i is None else str(i)] for i, _ in items]
         column = pa.array([t for _, t in items], pa.large_string())
         _, offsets, starts, _, hashes = words_of(column)
         self.alphabet, symbols = np.unique(hashes, return_inverse=True)
@@ -61,7 +70,7 @@ class Phrases:
         found: dict[tuple, list[int]] = {}
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             for w in {tuple(symbols[i : min(i + WINDOW, b)]) for i in range(a, max(a + 1, b - WINDOW + 1)) if a < b}:
-                found.setdefault(w, []).append(k)
+                found.setdefault(w, []).append(own[k])
         self.lengths = np.array([len(w) for w in found], np.int64)
         self.windows = np.zeros((len(found), WINDOW), np.int64)  # aligned to the right
         for row, w in zip(self.windows, found, strict=True):
@@ -259,94 +268,74 @@ def _phrases(block: DataFrame):
     return block.sparkSession.sparkContext.broadcast(Phrases([(r["item_id"], r["text"]) for r in block.collect()]))
 
 
-def _search(rows: DataFrame, block: DataFrame) -> DataFrame:
+def _search(rows: DataFrame, block: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """The rows with __n_words, __items (sorted ids) and __spans of what the block's phrases hit in ``text``; and what to release after use."""
     phrases = _phrases(block)
+    names = rows.columns
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("start_word", "end_word", "start", "end")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", SHARD_BYTES):
             found = Findings(batch.column("text"), phrases.value)
-            items = [sorted(found.items.get(k, [])) for k in range(batch.num_rows)]
+            items = [found.items.get(k, []) for k in range(batch.num_rows)]
             spans = [found.spans(k) if items[k] else [] for k in range(batch.num_rows)]
-            cols = [batch.column("row"), batch.column("doc_id"), pa.array(np.diff(found.cuts), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([(c, pa.int32()) for c in ("start_word", "end_word", "start", "end")])))]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_words", "items", "spans"])
+            cols = [pa.array(np.diff(found.cuts), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*names, "__n_words", "__items", "__spans"])
 
-    return rows.mapInArrow(run, f"row long, doc_id long, n_words long, items array<string>, spans {SPAN}")
+    added = StructType.fromDDL(f"__n_words long, __items array<string>, __spans {SPAN}")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *added.fields])), phrases
 
 
-def _merged(spans: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: s["start_word"]):
-        if out and s["start_word"] <= out[-1]["end_word"]:
-            if s["end_word"] > out[-1]["end_word"]:
-                out[-1] |= {"end_word": s["end_word"], "end": s["end"]}
-        else:
-            out.append({k: s[k] for k in ("start_word", "end_word", "start", "end")})
-    return out
+def _joined(spans: Column) -> Column:
+    """Spans of several blocks as disjoint ones, in order."""
+    def add(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start_word"].alias("start_word"), F.greatest(last["end_word"], s["end_word"]).alias("end_word"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        meets = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end_word"] >= s["start_word"])
+        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
 
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPAN), add)
 
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_words, items (ids with an occurring window, sorted as strings) and merged spans."""
-    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+def found_in(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows (a column ``text``, all others apart from it by private names) with __n_words, __items and __spans."""
     blocks = _blocks(benchmark)
     if len(blocks) == 1:
-        return _search(rows, blocks[0]).drop("row")
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    merge = F.udf(_merged, SPAN)
-    found = [_search(rows, b) for b in blocks]
-    union = found[0]
-    for f in found[1:]:
-        union = union.unionByName(f)
-    grouped = union.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return grouped.select("doc_id", "n_words", "items", merge("spans").alias("spans"))
-
-
-def _without(text: str, spans: list) -> str:
+        return _search(rows, blocks[0])[0]
+    rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
+    parts = []
+    for k, block in enumerate(blocks):
+        part, phrases = _search(rows.select("__row", "text"), block)
+        # every row once, for its number of words; then those with hits alone
+        parts.append(cut((part if k == 0 else part.filter(F.size("__items") > 0)).drop("text")))
+        phrases.destroy()
+    union = reduce(DataFrame.unionByName, parts)
+    merged = union.groupBy("__row").agg(F.max("__n_words").alias("__n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"), F.flatten(F.collect_list("__spans")).alias("__spans"))
+    return rows.join(merged.withColumn("__spans", _joined(F.col("__spans"))), "__row").drop("__row")
+
+
+def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_words, items (ids with an occurring window, sorted as strings) and merged spans."""
+    found = found_in(id_text_columns(docs), benchmark)
+    return found.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("n_words", "items", "spans")))
+
+
+def _without(text: Column, spans: Column) -> Column:
     """The text without those spans of characters."""
-    kept, at = [], 0
-    for s in spans:
-        kept.append(text[at : s["start"]])
-        at = s["end"]
-    return "".join([*kept, text[at:]])
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(text)))
+    return F.array_join(F.zip_with(ends, starts, lambda a, b: F.substring(text, a + 1, b - a)), "")
 
 
 def scrub(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents with the removal spans cut out of their texts; one of which no word is left goes. n_chars follows the text."""
-    blocks = _blocks(benchmark)
-    if len(blocks) > 1:
-        rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-        merge = F.udf(_merged, SPAN)
-        slim = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        found = [_search(slim, b).filter(F.size("items") > 0).select("row", "spans") for b in blocks]
-        union = found[0]
-        for f in found[1:]:
-            union = union.unionByName(f)
-        cuts = union.groupBy("row").agg(merge(F.flatten(F.collect_list("spans"))).alias("__spans")).withColumnRenamed("row", "__row")
-        clean = F.udf(lambda t, s: _without(t, s) if s else t, "string")
-        out = rows.join(cuts, "__row", "left").withColumn("text", clean("text", "__spans"))
-        out = out.filter(F.col("__spans").isNull() | F.col("text").rlike("[a-zA-Z0-9\\x{80}-\\x{10FFFF}]"))
-        if "n_chars" in docs.columns:
-            cut_size = F.col("__spans").isNotNull() & F.col("n_chars").isNotNull()
-            out = out.withColumn("n_chars", F.when(cut_size, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-        return out.select(*docs.columns)
-    phrases = _phrases(blocks[0])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", SHARD_BYTES):
-            found = Findings(batch.column("text"), phrases.value)
-            if not found.items:
-                yield batch
-                continue
-            texts, stay = batch.column("text").to_pylist(), np.ones(batch.num_rows, bool)
-            for k in found.items:
-                texts[k] = _without(texts[k], found.spans(k))
-                stay[k] = not found.hit[found.cuts[k] : found.cuts[k + 1]].all()
-            cols = {n: batch.column(n) for n in batch.schema.names}
-            cols["text"] = pa.array(texts, batch.column("text").type)
-            if "n_chars" in cols:
-                sizes = cols["n_chars"].to_pylist()
-                for k in found.items:
-                    sizes[k] = None if sizes[k] is None else len(texts[k])
-                cols["n_chars"] = pa.array(sizes, batch.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols)).filter(pa.array(stay))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The documents with the removal spans cut out of their texts; one of which no word is left goes. n_chars follows the text where it changed."""
+    def work(rows: DataFrame) -> DataFrame:
+        hit = F.size("__spans") > 0
+        changed = {"text": F.when(hit, _without(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))}
+        if "n_chars" in rows.columns:
+            left = F.aggregate("__spans", F.char_length("text"), lambda n, s: n - (s["end"] - s["start"]))
+            changed["n_chars"] = F.when(hit & F.col("n_chars").isNotNull(), left.cast(rows.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        words_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["start_word"])
+        return found_in(rows, benchmark).filter(~hit | (words_hit < F.col("__n_words"))).withColumns(changed)
+
+    return beside(docs.withColumn("text", F.col("text").cast("string")), ("text", "n_chars"), work)
