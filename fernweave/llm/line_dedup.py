@@ -13,6 +13,11 @@ places. Lines that share a variant and its place differ by an exchanged word; a
 line that equals another's variant by a word put in. Each key needs only its
 earliest line, so a group of n lines gives n candidates and no pairs. The edit
 distance of each candidate and its earlier line is verified on their words.
+Equal lines are told by 128 bits of two hashes of their words.
+
+Skew: lines are counted before they are shuffled by their hash, and what is
+joined back to all lines is a written table, so that adaptive execution may
+split the task of a very common line.
 
 Rows are told apart by doc_id and, where a doc_id is null or repeated, by a hash
 of the text as well, which any scan of the table gives again. Of rows that are
@@ -33,16 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_view, cut, cut_free, list_array, mix, small_batches, span_hashes, spans_of
+from .common import LOWER, beside, byte_view, cut, cut_free, list_array, mix, small_batches, span_hashes, spans_of
 
 NEAR_WORDS = 8
 LAST = (1 << 63) - 1
 #: Repeated ids up to this number are told to every task; with more, all rows count as repeated.
 MOST_AGAIN = 10_000
+ADDED = {"n_lines": "long", "n_removed": "long"}
 BLANK = " \t\n\v\f\r"
 SPACE = np.zeros(256, bool)
 SPACE[9:14] = SPACE[32] = True
-BASE = 0x5851F42D4C957F2D
+BASE, OTHER_BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -72,6 +78,7 @@ class Lines:
         inner = np.arange(len(self.words)) - self.first[line] if len(line) else np.zeros(0, np.int64)
         with np.errstate(over="ignore"):
             self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.words * self.up[inner], dtype=np.uint64)))
+            self.other_sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(self.words) * _powers(OTHER_BASE, most)[inner], dtype=np.uint64)))
 
     def head(self, k: np.ndarray, length: np.ndarray) -> np.ndarray:
         return self.sums[self.first[k] + length] - self.sums[self.first[k]]
@@ -85,6 +92,12 @@ class Lines:
         with np.errstate(over="ignore"):
             return mix(self.head(k, self.n[k]) + self.n[k].astype(np.uint64) * LENGTH)
 
+    def identities(self, k: np.ndarray) -> pa.Array:
+        """Each line's hash with a second, independent one: 16 bytes."""
+        second = mix(self.other_sums[self.first[k] + self.n[k]] - self.other_sums[self.first[k]])
+        both = np.ascontiguousarray(np.stack((self.hashes(k), second), 1))
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(k), [None, pa.py_buffer(both)]).cast(pa.binary())
+
     def halves(self, k: np.ndarray) -> np.ndarray:
         """Four keys a line: both halves as it is cut when the shorter of a pair has its length, or one word less."""
         out = []
@@ -105,7 +118,7 @@ class Lines:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """place, part (see keyed), line_no, h (the line's hash) and, for long lines, the keys of its halves; lines without words are left out."""
+    """place, part (see keyed), line_no, id (16 bytes), h (the line's hash) and, for long lines, the keys of its halves; lines without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2 << 20):
@@ -114,9 +127,9 @@ def line_table(docs: DataFrame) -> DataFrame:
             place, part = (np.array(batch.column(c), np.int64)[lines.text_of[k]] for c in ("place", "part"))
             long = k[lines.n[k] >= NEAR_WORDS]
             keys = list_array(lines.halves(long).view(np.int64).ravel(), np.where(lines.n[k] >= NEAR_WORDS, 4, 0), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(part), pa.array(lines.line_no[k], pa.int32()), pa.array(lines.hashes(k).view(np.int64)), keys], ["place", "part", "line_no", "h", "halves"])
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(part), pa.array(lines.line_no[k], pa.int32()), lines.identities(k), pa.array(lines.hashes(k).view(np.int64)), keys], ["place", "part", "line_no", "id", "h", "halves"])
 
-    return docs.select("__place", "__part", F.col("text").cast("string").alias("text")).toDF("place", "part", "text").mapInArrow(run, "place long, part long, line_no int, h long, halves array<long>")
+    return docs.select("__place", "__part", F.col("text").cast("string").alias("text")).toDF("place", "part", "text").mapInArrow(run, "place long, part long, line_no int, id binary, h long, halves array<long>")
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -133,7 +146,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _neighbourhood(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, words and variants of the wanted lines (place, part, line_no)."""
+    """id, h, words and variants of the wanted lines (place, part, line_no)."""
     by_text = wanted.groupBy("place", "part").agg(F.collect_set("line_no").alias("line_nos"))  # of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +165,10 @@ def _neighbourhood(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             place, part = (np.array(batch.column(c), np.int64) for c in ("place", "part"))
             words = list_array(np.concatenate([lines.words[lines.first[k] : lines.first[k] + lines.n[k]] for k in good]).view(np.int64), lines.n[good], pa.int64())
             variants = list_array(np.concatenate([lines.variants(k) for k in good]).view(np.int64), lines.n[good], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array([x[of[k][0]] for k in good], pa.int64()) for x in (place, part)), pa.array([of[k][1] for k in good], pa.int32()), pa.array(lines.hashes(good).view(np.int64)), words, variants], ["place", "part", "line_no", "h", "words", "variants"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[of[k][0]] for k in good], pa.int64()) for x in (place, part)), pa.array([of[k][1] for k in good], pa.int32()), lines.identities(good), pa.array(lines.hashes(good).view(np.int64)), words, variants], ["place", "part", "line_no", "id", "h", "words", "variants"])
 
     texts = docs.select("__place", "__part", F.col("text").cast("string").alias("text")).toDF("place", "part", "text")
-    return texts.join(by_text, ["place", "part"]).mapInArrow(run, "place long, part long, line_no int, h long, words array<long>, variants array<long>")
+    return texts.join(by_text, ["place", "part"]).mapInArrow(run, "place long, part long, line_no int, id binary, h long, words array<long>, variants array<long>")
 
 
 def within_one(a: np.ndarray, b: np.ndarray) -> bool:
@@ -169,48 +182,51 @@ def within_one(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The h of pairs (h, other) whose lines are within one edit."""
+    """The id of pairs (id, other) whose lines are within one edit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("words"), batch.column("other_words")
             keep = [within_one(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("h").filter(pa.array(keep, pa.bool_()))], ["h"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(keep, pa.bool_()))], ["id"])
 
-    both = pairs.join(words, "h").join(words.select(F.col("h").alias("other"), F.col("words").alias("other_words")), "other")
-    return both.select("h", "words", "other_words").mapInArrow(run, "h long").distinct()
+    both = pairs.join(words, "id").join(words.select(F.col("id").alias("other"), F.col("words").alias("other_words")), "other")
+    return both.select("id", "words", "other_words").mapInArrow(run, "id binary").distinct()
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """h of the distinct lines (h, first = struct(place, part, line_no), halves) that have an earlier line within one edit."""
+    """id of the distinct lines (h, first = struct(place, part, line_no), halves) that have an earlier line within one edit."""
     keys = distinct.select("h", F.explode("halves").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("key")
-    going_on = keys.join(shared, "key").select("h").distinct()
+    shared = cut_free(keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("key"))
+    going_on = cut_free(keys.join(shared, "key").select("h").distinct())
     wanted = distinct.join(going_on, "h").select("first.place", "first.part", "first.line_no")
-    found = cut_free(_neighbourhood(docs, wanted).dropDuplicates(["h"]))
-    variants = found.select(F.struct("place", "part", "line_no", "h").alias("me"), F.posexplode("variants").alias("at", "key"))
+    found = cut_free(_neighbourhood(docs, wanted).dropDuplicates(["id"]))
+    variants = found.select(F.struct("place", "part", "line_no", "id").alias("me"), "h", F.posexplode("variants").alias("at", "key"))
     groups = variants.groupBy("key", "at").agg(F.min("me").alias("first"), F.max("me").alias("last")).filter("first <> last").select("key", "at", "first")
-    exchanged = variants.join(groups, ["key", "at"]).filter("me <> first").select("me.h", F.col("first.h").alias("other"))
-    lines = found.select(F.col("h").alias("key"), F.struct("place", "part", "line_no", "h").alias("line"))
-    put_in = variants.join(lines, "key").filter("me.h <> line.h").select(F.greatest("me", "line").alias("a"), F.least("me", "line").alias("b")).select("a.h", F.col("b.h").alias("other"))
-    return _verified(exchanged.unionByName(put_in).distinct(), found.select("h", "words"))
+    exchanged = variants.join(groups, ["key", "at"]).filter("me <> first").select("me.id", F.col("first.id").alias("other"))
+    lines = found.select(F.col("h").alias("key"), F.struct("place", "part", "line_no", "id").alias("line"))
+    put_in = variants.join(lines, "key").filter("me.id <> line.id").select(F.greatest("me", "line").alias("a"), F.least("me", "line").alias("b")).select("a.id", F.col("b.id").alias("other"))
+    return _verified(exchanged.unionByName(put_in).distinct(), found.select("id", "words"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """place, part and the numbers of the lines that go, one row a text of keyed rows that loses any."""
     lines = cut(line_table(docs))
-    distinct = cut_free(lines.groupBy("h").agg(F.min(F.struct("place", "part", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves")))
+    distinct = cut_free(lines.groupBy("id").agg(F.min(F.struct("place", "part", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("h").alias("h"), F.first("halves").alias("halves")))
     near = near_lines(docs, distinct.filter(F.size("halves") > 0).select("h", "first", "halves"))
-    judged = distinct.join(near.withColumn("near", F.lit(True)), "h", "left").filter("near or n > 1").select("h", "first", "near")
-    gone = lines.select("place", "part", "line_no", "h").join(judged, "h").filter(F.expr("coalesce(near, false) or place <> first.place or part <> first.part or line_no <> first.line_no"))
-    return gone.groupBy("place", "part").agg(F.collect_set("line_no").alias("gone"))
+    judged = cut_free(distinct.select("id", "first", "n").join(near.withColumn("near", F.lit(True)), "id", "left").filter("near or n > 1").select("id", "first", "near"))
+    gone = lines.select("place", "part", "line_no", "id").join(judged, "id").filter(F.expr("coalesce(near, false) or place <> first.place or part <> first.part or line_no <> first.line_no"))
+    return cut_free(gone.groupBy("place", "part").agg(F.collect_set("line_no").alias("gone")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with their duplicate lines left out of ``text``, and n_lines, n_removed (long). n_chars follows the text."""
-    added = {"n_lines": "long", "n_removed": "long"}
-    names = [c for c in docs.columns if c not in added]
-    source, some_again = keyed(docs.select(*names))
+    return beside(docs, ("doc_id", "text", "n_chars"), _deduped, tuple(ADDED))
+
+
+def _deduped(docs: DataFrame) -> DataFrame:
+    added, names = ADDED, docs.columns
+    source, some_again = keyed(docs)
     gone = removals(source).toDF("__place", "__part", "__gone")
     rows = source.join(gone, ["__place", "__part"], "left").withColumn("__copy", F.lit(False))
     if some_again:

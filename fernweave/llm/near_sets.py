@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import cut, mix, small_batches
+from .common import beside, cut, mix, small_batches
 from .simhash import components, fingerprint_of, links, shingle_hashes
 
 #: Least Jaccard similarity, in hundredths.
@@ -184,7 +184,10 @@ def groups(rows: DataFrame, words: int, most: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, words: int, most: int) -> DataFrame:
     """The row with the smallest doc_id of each group of near duplicates, with its columns."""
-    kept = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    rows = kept.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    heads = groups(rows, words, most).filter("row = head").select(F.col("row").alias("__row"))
-    return kept.join(heads, "__row", "left_semi").select(*docs.columns)
+    def work(docs: DataFrame) -> DataFrame:
+        kept = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+        rows = kept.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        heads = groups(rows, words, most).filter("row = head").select(F.col("row").alias("__row"))
+        return kept.join(heads, "__row", "left_semi")
+
+    return beside(docs, ("doc_id", "text"), work)
