@@ -6,7 +6,8 @@ a temperature on a fifth of them, and rejects what it isn't sure of.
 
 The sample takes of each language the rows whose hashes of doc_id and text are
 smallest: ROWS_PER_LANGUAGE, or fewer if MOST_ROWS shared over all languages are
-fewer, but one at least. Equal rows count once, each with its whole text.
+fewer, and no more than have a language's share of MOST_BYTES of text together,
+but one at least. Equal rows count once, each with its whole text.
 
 Results for odd input: a null text and one without a letter are ``und`` with
 score 0 and rejected; without any labelled row everything is ``und``; a null
@@ -29,7 +30,7 @@ from .subwords import Classifier, collect_features, fit, letter_features
 
 BUCKETS = 1 << 16
 ROWS_PER_LANGUAGE = 1000
-MOST_ROWS = 8000
+MOST_ROWS, MOST_BYTES = 8000, 64 << 20
 LETTER = regex.compile(r"\p{L}")
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
@@ -40,12 +41,12 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def train(docs: DataFrame, held_out: int = 2, folds: int = 4, rows_per_language: int = ROWS_PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Classifier:
+def train(docs: DataFrame, held_out: int = 2, folds: int = 4, rows_per_language: int = ROWS_PER_LANGUAGE, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Classifier:
     """Fit on rows with a language and a text whose fold isn't the held-out one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     rows = rows.withColumn("__hash", F.xxhash64("doc_id", "text", F.lit("language")))
-    hashes = rows.select("lang", "__hash").distinct()
+    hashes = rows.select("lang", "__hash", F.octet_length("text").alias("bytes")).distinct()
     counts = cut(hashes.groupBy("lang").count())  # of labels, not of rows
     n = counts.count()
     if not n:
@@ -54,7 +55,9 @@ def train(docs: DataFrame, held_out: int = 2, folds: int = 4, rows_per_language:
     # over twice as many as are wanted are ranked, so that no language's hashes all meet in one task
     ranked = hashes.join(F.broadcast(counts), "lang").filter(F.pmod("__hash", F.lit(1 << 40)) < F.lit(2 * each + 64) / F.col("count") * (1 << 40))
     order = Window.partitionBy("lang").orderBy(F.pmod("__hash", F.lit(1 << 40)), "__hash")
-    drawn = cut(ranked.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each).select("lang", "__hash"))
+    upto = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = ranked.withColumns({"nth": F.row_number().over(order), "upto": upto}).filter((F.col("nth") == 1) | (F.col("nth") <= each) & (F.col("upto") <= most_bytes // n))
+    drawn = cut(ranked.select("lang", "__hash"))
     sample = rows.join(F.broadcast(drawn), ["lang", "__hash"], "left_semi").dropDuplicates(["lang", "__hash"])
     return fit(collect_features(sample, lambda: letter_features(BUCKETS), "lang"), BUCKETS)
 
