@@ -29,9 +29,9 @@ KINDS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, "secret", True),
     ("access", r"AKIA[A-Z0-9]+", 0, 18, "identifier", True),
     ("hex", r"[0-9a-f]{16,}", 0, 16, "secret", True),
-    ("account", r"""(?i:\b(?:user_?name|user|login|client_?id|account_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,64}""", 0, 0, "identifier", False),
+    ("account", r"""(?i:\b(?:user_?name|user|login|client_?id|account_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,}+""", 0, 0, "identifier", False),
     ("key", r"(?<![A-Za-z0-9/+])(?=[A-Za-z0-9/+]{0,39}[A-Z])(?=[A-Za-z0-9/+]{0,39}[0-9])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])", 0, 0, "secret", False),
-    ("endpoint", r"""https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?(?:/[^\s"'<>]{0,200})?""", 0, 0, "endpoint", False),
+    ("endpoint", r"""https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?(?:/[^\s"'<>]*+)?""", 0, 0, "endpoint", False),
 ]
 
 
