@@ -80,9 +80,18 @@ def edits(a, b):
     return row[-1]
 
 
+def signed_hash(text):
+    """What xxhash64 of a string column gives; 42 for null."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42) if text is not None else 42
+    return h - (1 << 64) if h >> 63 else h
+
+
 def op6(docs, near=8):
-    """Texts after line dedup, with lines and removed lines."""
-    order = [((d if d is not None else 1 << 62, j), low(x).encode().split()) for d, text in docs for j, x in enumerate((text or "").split("\n"))]
+    """Texts after line dedup, with lines and removed lines, by row: of rows with one doc_id and one text the first has its lines."""
+    numbered = list(enumerate(docs))
+    again = Counter(d if d is not None else 1 << 62 for d, _ in docs)
+    place = {k: (d if d is not None else 1 << 62, signed_hash(text) if again[d if d is not None else 1 << 62] > 1 else 0, k) for k, (d, text) in numbered}
+    order = [((*place[k], j), low(x).encode().split()) for k, (_, text) in numbered for j, x in enumerate((text or "").split("\n"))]
     gone = set()
     by_size = {}
     for at, w in order:
@@ -93,9 +102,9 @@ def op6(docs, near=8):
                 if other < at and (v == w or min(len(w), n) >= near and len(w) >= near and abs(len(v) - len(w)) <= 1 and sum(x != y for x, y in zip(v, w)) <= (1 if n == len(w) else 10**9) and edits(v, w) <= 1):
                     gone.add(at)
     out = []
-    for d, text in docs:
+    for k, (d, text) in numbered:
         lines = (text or "").split("\n")
-        kept = [x for j, x in enumerate(lines) if (d if d is not None else 1 << 62, j) not in gone]
+        kept = [x for j, x in enumerate(lines) if (*place[k], j) not in gone]
         out.append((d, len(lines) if text else 0, len(lines) - len(kept) if text else 0, sha("\n".join(kept))))
     return out
 
@@ -113,6 +122,22 @@ def op8(docs):
     return out
 
 
+def op9(docs, templates, anchors, window_of):
+    """Licenses by every window that holds an anchor word, without min-hashes."""
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    known = [(name, shingles(w), window_of(len(w))) for name, w in ((n, re.findall("[a-z0-9]+", t.lower())) for n, t in templates.items())]
+    out = []
+    for d, text in docs:
+        words, found = re.findall("[a-z0-9]+", (text or "").lower()), set()
+        for size in {size for _, _, size in known} if set(words) & set(anchors) else ():
+            for a in range(0, len(words), size // 2):
+                if set(window := words[a : a + size]) & set(anchors):
+                    has = shingles(window)
+                    found |= {name for name, s, n in known if n == size and len(s & has) >= 0.8 * len(s)}
+        out.append((d, tuple(sorted(found))))
+    return out
+
+
 def fingerprint(text, words=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", low(text))
     if not w:

@@ -54,14 +54,14 @@ def test_automaton_of_other_merges():
             merges.append((u, v, t))
             tokens.append(t)
         machine = bpe.MergeAutomaton(labels, merges)
-        for _ in range(30):
-            word = bytes(rng.choices(b"abc", k=rng.randint(1, 12)))
+        words = [bytes(rng.choices(b"abc", k=rng.randint(0, 12))) for _ in range(30)]
+        for word, path in zip(words, machine.encode(words), strict=True):
             ids = [b"abc".index(x) for x in word]
             rank = {(u, v): (k, t) for k, (u, v, t) in enumerate(merges)}
             while found := [(rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]:
                 _, i = min(found)
                 ids[i : i + 2] = [rank[ids[i], ids[i + 1]][1]]
-            assert machine.encode(word) == ids, (merges, word)
+            assert np.frombuffer(path, np.int32).tolist() == ids, (merges, word)
 
 
 def test_op2(spark, folder):
@@ -73,9 +73,18 @@ def test_op2(spark, folder):
 def test_op2_external_history(spark):
     old = spark.createDataFrame([(1, "Abc"), (2, "x"), (3, "abc")], "doc_id long, text string")
     history = exact_dedup.history_of(exact_dedup.digest_rows(old))
-    new = spark.createDataFrame([(10, "ABC"), (11, "new"), (12, "NEW"), (13, None), (14, "x")], "doc_id long, text string")
-    rows = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(new, history).collect()}
-    assert rows == {10: (3, 2, False), 11: (12, 2, False), 12: (12, 2, True), 13: (13, 1, True), 14: (2, 1, False)}
+    new = spark.createDataFrame([(10, "ABC"), (11, "new"), (12, "NEW"), (13, None), (14, "x"), (15, "abc"), (1, "X")], "doc_id long, text string")
+    rows = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(new, history).collect()}
+    assert rows == {(10, 15, 4, False), (15, 15, 4, True), (11, 12, 2, False), (12, 12, 2, True), (13, 13, 1, True), (14, 14, 3, True), (1, 14, 3, False)}
+    newer = history.selectExpr("digest", "winner + 100 as winner", "size")
+    assert {(r.keep_id, r.kept) for r in exact_dedup.exact_dedup(new, newer).filter("doc_id in (10, 14, 15, 1)").collect()} == {(103, False), (102, False)}
+
+
+def test_op2_copies_of_buckets(spark, monkeypatch):
+    """Buckets and copies of a few rows each give the same."""
+    monkeypatch.setattr(exact_dedup, "BUCKET_DIGESTS", 5)
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 3)
+    assert got(spark, "op2_exact_dedup", SMALL, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == Counter(brute.op2(pairs(spark, SMALL)))
 
 
 def test_perfect_hash():
@@ -96,8 +105,13 @@ def test_op3_in_blocks(spark, odd, monkeypatch):
     clean = Counter(tuple(r) for r in decontaminate.scrub(docs, bench).collect())
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
     assert got(spark, "op3_decontamination", odd, "*") == whole
-    blockwise = Counter(tuple(r) for r in decontaminate.scrub(docs, bench).drop("row").collect())
-    assert Counter(r[:4] for r in blockwise) == Counter(r[:4] for r in clean)
+    assert Counter(tuple(r) for r in decontaminate.scrub(docs, bench).collect()) == clean
+
+
+def test_op3_repeated_items(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    bench = spark.createDataFrame([("1", "one two"), ("1", "two three"), ("10", "two"), (None, "three")], "item_id string, text string")
+    assert [(r["items"], r.n_words) for r in decontaminate.report(docs, bench).collect()] == [(["", "1", "10"], 3)]
 
 
 def test_op3_scrub(spark):
@@ -226,7 +240,22 @@ def test_op9_containment(spark):
     cut = " ".join(words[: int(len(words) * 0.9)])
     docs = [(1, "intro " * 333 + text + " outro" * 77), (2, cut), (3, " ".join(words[: len(words) // 2])), (4, None), (5, "license " * 5000), (6, text.upper())]
     rows = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert rows == {1: ["mit-text"], 2: ["mit-text"], 3: [], 4: [], 5: [], 6: ["mit-text"]}
+    assert rows == {1: ["mit-terms", "mit-text"], 2: ["mit-terms", "mit-text"], 3: ["mit-terms"], 4: [], 5: [], 6: ["mit-terms", "mit-text"]}
+
+
+def test_op9_against_brute_force(spark):
+    rng = random.Random(9)
+    filler = [w for _, t in pairs(spark, SMALL) if t for w in t.split()][:5000]
+    docs = []
+    for name, text in licenses.TEMPLATES.items():
+        words = text.split()
+        for share in (0, 0.05, 0.12, 0.3):
+            kept = [w if rng.random() >= share / 5 else rng.choice(filler) for w in words]
+            head, tail = rng.randint(0, 900), rng.randint(0, 500)
+            docs.append((len(docs), " ".join([*rng.choices(filler, k=head), *kept, *rng.choices(filler, k=tail)])))
+    docs += pairs(spark, SMALL)
+    found = Counter((r.doc_id, tuple(r.licenses)) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert found == Counter(brute.op9(docs, licenses.TEMPLATES, licenses.ANCHORS, licenses.window_of))
 
 
 def test_op10(spark, folder):
