@@ -12,13 +12,11 @@ token_ids and n_tokens alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.llm import bpe, decontaminate, langid, line_dedup, near_sets
-from fernweave.llm.common import cut
+from fernweave.llm.common import beside, cut
 
 #: SQL has neither the trained classifier nor BPE; tests/llm/test_pipeline.py holds the stages and their chain against plain loops.
 ORACLE_SQL = None
@@ -27,35 +25,25 @@ SHINGLE_WORDS = 5
 MOST_BITS = 3
 
 
-#: Columns that stages read or change; all others are the table's own.
-KNOWN = ("doc_id", "text", "lang", "n_chars")
-
-
-def _beside(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What the stage makes of ``docs`` while the table's own columns have names that no operator uses."""
-    names = {c: c if c in KNOWN else f"__own_{k}" for k, c in enumerate(docs.columns)}
-    return stage(docs.toDF(*names.values())).select(*(F.col(new).alias(old) for old, new in names.items()))
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier is sure of."""
-    return _beside(docs, lambda rows: langid.identify(rows, langid.train(rows)).filter("not rejected"))
+    return beside(docs, ("doc_id", "text", "lang"), lambda rows: langid.identify(rows, langid.train(rows)).filter("not rejected"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier; one that loses all its words goes."""
     some_left = (F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")
-    return _beside(docs, lambda rows: line_dedup.dedup_lines(rows).filter(some_left))
+    return beside(docs, ("doc_id", "text", "n_chars"), lambda rows: line_dedup.dedup_lines(rows).filter(some_left))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (Jaccard similarity of 0.8 and more): that with the smallest doc_id."""
-    return _beside(docs, lambda rows: near_sets.one_of_each(rows, SHINGLE_WORDS, MOST_BITS))
+    return near_sets.one_of_each(docs, SHINGLE_WORDS, MOST_BITS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the benchmark's passages cut out."""
-    return _beside(docs, lambda rows: decontaminate.scrub(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return decontaminate.scrub(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
