@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import decode
 from ..functions import text as T
-from ..operators import batch_search, chunking, filters, fusion, lexical, maintenance, vectors
+from ..operators import batch_search, filters, fusion, lexical, maintenance, vectors
 from ..sources.corpus import corpus, shared_dir, table
-from ..streaming import changes, live
+from ..streaming import live
+from .store import chunk_index, chunk_texts, document_index
 from .queries import _CORPUS, _POOLS, _SNAPSHOTS, _WATCH, TERMS, _snapshots, known_items, query
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -19,19 +22,13 @@ MOST_SIZE = 20_000
 @query()
 def chunk_table(spark, sf_dir):
     """All chunks of the corpus; tested against the rules' properties, which SQL can't fold."""
-    chunks = chunking.chunked(corpus(spark, sf_dir).select("doc_id", "text", "extension"))
-    return chunks.withColumn("text", F.md5(F.col("text").cast("binary"))).withColumnRenamed("text", "text_md5")
+    return chunk_texts(spark, sf_dir).withColumn("text", F.md5(F.col("text").cast("binary"))).withColumnRenamed("text", "text_md5")
 
 
 @query()
 def bm25_best_chunk(spark, sf_dir):
     """The ten documents with the best chunk: BM25 over chunks, statistics of all chunks, the earliest of equal chunks."""
-    chunks = chunking.chunked(corpus(spark, sf_dir).select("doc_id", "text", "extension"))
-    rows = lexical.counted(chunks.select("doc_id", "ordinal", "text"), TERMS)
-    stats = lexical.statistics(rows, TERMS)
-    scored = rows.filter(lexical.matches(TERMS, False)).select("doc_id", "ordinal", lexical.score(stats, TERMS).alias("score"))
-    best = scored.groupBy("doc_id").agg(F.max_by(F.struct("ordinal", "score"), F.struct("score", -F.col("ordinal"))).alias("b"))
-    return lexical.top(best.select("doc_id", "b.*"), 10)
+    return lexical.top(lexical.best_units(chunk_index(spark, sf_dir), TERMS), 10)
 
 
 _ASKED = f"""w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark),
@@ -52,7 +49,7 @@ def _items(spark, sf_dir):
 @query(f"WITH {_ASKED} SELECT * FROM ranked")
 def bm25_batch(spark, sf_dir):
     """The ten best documents of every benchmark text as a query."""
-    return batch_search.search_all(table(spark, sf_dir, "documents"), _items(spark, sf_dir))
+    return batch_search.search_all(document_index(spark, sf_dir), _items(spark, sf_dir))
 
 
 @query(f"""WITH {_ASKED}, label AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
@@ -63,7 +60,7 @@ def retrieval_evaluation(spark, sf_dir):
     items = _items(spark, sf_dir)
     labels = known_items(spark, sf_dir).withColumnRenamed("item_id", "query_id")
     kinds = items.select("query_id", F.when(F.size(T.tokens(F.col("text"))) < 20, "short").otherwise("long").alias("kind"))
-    return batch_search.evaluate(batch_search.search_all(table(spark, sf_dir, "documents"), items), labels, kinds)
+    return batch_search.evaluate(batch_search.search_all(document_index(spark, sf_dir), items), labels, kinds)
 
 
 @query("SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+(?:[-''][\\p{L}\\p{N}_]+)*'), ' ') AS words FROM benchmark")
@@ -93,8 +90,8 @@ def hybrid_with_names(spark, sf_dir):
     docs, vecs = corpus(spark, sf_dir), table(spark, sf_dir, "embeddings")
     share = sum((filters.name_contains(F.col("filename"), t).cast("double") for t in NAMES), F.lit(0.0)) / len(NAMES)
     names = docs.select("doc_id", share.alias("fraction")).filter("fraction >= 0.5").orderBy(F.desc("fraction"), "doc_id").limit(500)
-    near = vectors.nearest(vecs, vecs.filter("vec_id = 0"), 300).select(F.col("vec_id").alias("doc_id"), F.greatest(F.col("similarity"), F.lit(0.0)).alias("score"))
-    return fusion.fuse(fusion.with_names(lexical.search(docs, TERMS, k=300), names, near)).select("doc_id", "convex", "rrf", "match_type")
+    near = vectors.nearest(vecs, vecs.filter("vec_id = 0"), 300).select(F.col("vec_id").alias("doc_id"), fusion.clamped(F.col("similarity")).alias("score"))
+    return fusion.fuse(fusion.with_names(lexical.search(document_index(spark, sf_dir), TERMS, k=300), names, near)).select("doc_id", "convex", "rrf", "match_type")
 
 
 @query(_SNAPSHOTS + f""", o AS (SELECT *, CASE WHEN doc_id % 17 = 0 THEN 'missing' ELSE 'ok' END AS status FROM old),
@@ -115,8 +112,9 @@ def index_outcomes(spark, sf_dir):
 
 @query("SELECT doc_id, md5(text) AS text_md5, CASE WHEN regexp_matches(text, '\\S') THEN 'ok' ELSE 'empty' END AS status FROM documents")
 def decode_files(spark, sf_dir):
-    """Every document's bytes, in UTF-8 or UTF-16 by its id, read back as text."""
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16"))
+    """Every document's bytes, in UTF-8, UTF-16 or UTF-32 with its mark by its id, read back as text."""
+    marked = F.concat(F.unhex(F.lit("0000FEFF")), F.encode("text", "UTF-32"))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-8")).when(F.col("doc_id") % 3 == 1, F.encode("text", "UTF-16")).otherwise(marked)
     files = table(spark, sf_dir, "documents").select("doc_id", decode.decode_text(raw).alias("f"))
     return files.select("doc_id", F.md5(F.col("f.text").cast("binary")).alias("text_md5"), "f.status")
 
@@ -126,12 +124,4 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS k F
 SELECT path, min(ts) AS started, count(*) AS n_events, last(action ORDER BY ts, event_id) AS last_action FROM g GROUP BY path, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e)""")
 def events_settled_stream(spark, sf_dir):
     """``events_settled`` as a stream: bursts whose end the watermark has passed."""
-    return live.settled_stream(spark, f"{sf_dir}/events.parquet", shared_dir(spark))
-
-
-@query(f"WITH {_WATCH} SELECT path, count_if(action = 'modified') AS pending, count_if(action = 'renamed') AS running, count_if(action = 'removed') AS failed FROM e GROUP BY path")
-def job_state_counts(spark, sf_dir):
-    """Jobs of each path by state, 0 where a state doesn't occur."""
-    state = F.when(F.col("action") == "modified", "pending").when(F.col("action") == "renamed", "running").when(F.col("action") == "removed", "failed")
-    jobs = changes.watch_events(table(spark, sf_dir, "events")).withColumn("state", state)
-    return jobs.groupBy("path").pivot("state", ["pending", "running", "failed"]).agg(F.count(F.lit(1))).na.fill(0)
+    return live.settled_stream(spark, f"{sf_dir}/events.parquet", f"{shared_dir(spark)}/{uuid.uuid4().hex}")

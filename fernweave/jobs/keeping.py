@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import stem
 from ..functions import text as T
 from ..operators import batch_search, filters, fusion, lexical, maintenance, scope
 from ..sources.corpus import corpus, shared_dir, table
-from ..streaming import changes, queue
+from ..streaming import changes, pairing
 from .indexing import _ASKED, MOST_SIZE, NAMES, _items
+from .store import document_index, stemmed_index
 from .queries import _CORPUS, _HYBRID, _POOLS, _SNAPSHOTS, _WATCH, EXTENSIONS, PAIR, ROOTS, TERMS, _candidates, _score_sql, _snapshots, known_items, query
 
 ASKED = ["licensing", "generations", "related"]
@@ -28,15 +31,6 @@ def scope_sweep(spark, sf_dir):
     return scope.out_of_scope(corpus(spark, sf_dir), ROOTS, ["doc_*9.json"]).select("doc_id")
 
 
-@query(f"WITH {_CORPUS}, j AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' ELSE 'failed' END AS state FROM corpus) SELECT state, count(*) AS n FROM j WHERE NOT (state = 'pending' AND ({_OUT})) GROUP BY state")
-def queue_pruning(spark, sf_dir):
-    """Jobs by state after pending ones that are out of scope have gone."""
-    state = F.element_at(F.array(*(F.lit(s) for s in ("pending", "running", "failed"))), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
-    jobs = corpus(spark, sf_dir).withColumn("state", state)
-    gone = scope.out_of_scope(jobs.filter("state = 'pending'"), ROOTS, ["doc_*9.json"]).select("path")
-    return jobs.join(gone, "path", "left_anti").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"WITH {_CORPUS} SELECT path, CASE WHEN path LIKE '/corpus/src3/%' THEN 'requeue' ELSE 'quarantine' END AS action FROM corpus WHERE CASE WHEN path LIKE '/corpus/src3/%' THEN doc_id % 3 = 0 ELSE doc_id % 3 <> 0 AND {_SECRET} END")
 def policy_rescan(spark, sf_dir):
     docs = corpus(spark, sf_dir).withColumn("status", F.when(F.col("doc_id") % 3 == 0, "secret_suspected").otherwise("ok"))
@@ -117,18 +111,35 @@ def jobs_of_changes(spark, sf_dir):
     return scope.jobs_of_changes(moved, docs.filter("doc_id % 4 <> 0"), filters.has_extension(F.col("extension"), EXTENSIONS))
 
 
-@query()
-def job_states(spark, sf_dir):
-    """Each path's job after all its steps; tested against a plain fold."""
-    return queue.final_jobs(queue.steps_of(changes.watch_events(table(spark, sf_dir, "events"))))
+_REPORTS = """r AS (SELECT event_id, ts, '/watched/r' || (user_id % 7) AS root, '/watched/r' || (user_id % 7) || '/' || user_id AS path,
+ CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'removed' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'renamed_old' ELSE 'renamed_new' END ELSE 'modified' END AS action FROM events),
+n AS (SELECT *, lag(action) OVER w AS last_action, lag(path) OVER w AS last_path FROM r WHERE action LIKE 'renamed%' WINDOW w AS (PARTITION BY root ORDER BY ts, event_id)),
+p AS (SELECT event_id, ts, path, 'renamed' AS action, CASE WHEN last_action = 'renamed_old' THEN last_path END AS old_path FROM n WHERE action = 'renamed_new'
+ UNION ALL SELECT event_id, ts, path, action, NULL FROM r WHERE action NOT LIKE 'renamed%')"""
+_COALESCED = _REPORTS + """, f AS (SELECT *, lag(ts) OVER w AS last_ts, lag(action) OVER w AS before FROM p WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
+g AS (SELECT *, sum(CASE WHEN ts - last_ts < INTERVAL 1 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY ts, event_id) AS k FROM f),
+b AS (SELECT path, CASE WHEN last(action ORDER BY ts, event_id) IN ('modified', 'added') AND last(before ORDER BY ts, event_id) = 'removed' AND last(ts - last_ts < INTERVAL 1 HOUR ORDER BY ts, event_id) THEN 'added' ELSE last(action ORDER BY ts, event_id) END AS action,
+ last(old_path ORDER BY ts, event_id) FILTER (old_path IS NOT NULL) AS old_path, epoch_us(min(ts)) AS started, count(*) AS n_events, max(ts) AS ended FROM g GROUP BY path, k)"""
 
 
-@query()
-def job_states_stream(spark, sf_dir):
-    """``job_states`` as a stream with state."""
-    place = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(place).schema).parquet(f"{place}*")
-    return queue.jobs_stream(spark, queue.steps_of(changes.watch_events(events)), shared_dir(spark))
+@query(f"WITH {_REPORTS} SELECT event_id, path, action, old_path FROM p")
+def rename_pairs(spark, sf_dir):
+    """Reported changes with the two halves of each rename as one."""
+    return pairing.paired(pairing.reported(table(spark, sf_dir, "events"))).drop("ts")
+
+
+@query(f"WITH {_COALESCED} SELECT path, action, old_path, started, n_events FROM b")
+def changes_coalesced(spark, sf_dir):
+    """Each path's bursts of changes as one change."""
+    found = pairing.coalesced(pairing.paired(pairing.reported(table(spark, sf_dir, "events"))))
+    return found.withColumn("started", F.unix_micros("started"))
+
+
+@query(f"WITH {_COALESCED} SELECT path, action, old_path, started, n_events FROM b WHERE ended + INTERVAL 1 HOUR <= (SELECT max(ts) FROM p)")
+def changes_coalesced_stream(spark, sf_dir):
+    """``changes_coalesced`` as a stream with state: bursts whose end the watermark has passed."""
+    found = pairing.coalesced_stream(spark, f"{sf_dir}/events.parquet", f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    return found.withColumn("started", F.unix_micros("started"))
 
 
 @query("""WITH t AS (SELECT event_id, epoch_us(ts) AS us FROM events), r AS (SELECT event_id, us, count(*) OVER w AS n_events, min(us) OVER w AS oldest FROM t WINDOW w AS (ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW))
@@ -169,7 +180,7 @@ def excerpt_terms(spark, sf_dir):
 
 
 @query(f"""WITH {_CORPUS}, n AS (SELECT doc_id, ceil(size / 1000)::BIGINT AS chunks, size, doc_id % 50 = 0 AS truncated FROM corpus)
-SELECT doc_id, nullif(concat_ws('; ', CASE WHEN chunks > 3 THEN 'semantic search covers the first 3 of ' || format('{{:,}}', chunks) || ' chunks; all are searchable literally' END, CASE WHEN truncated THEN 'text beyond ' || format('{{:,}}', size) || ' characters is not indexed' END), '') AS note FROM n""")
+SELECT doc_id, nullif(concat_ws('; ', CASE WHEN chunks > 3 THEN 'vectors for 3 of ' || format('{{:,}}', chunks) || ' chunks, words for all' END, CASE WHEN truncated THEN 'indexed up to character ' || format('{{:,}}', size) END), '') AS note FROM n""")
 def coverage_notes(spark, sf_dir):
     chunks = F.ceil(F.col("size") / 1000)
     return corpus(spark, sf_dir).select("doc_id", T.coverage_note(chunks, F.least(chunks, F.lit(3)), F.col("doc_id") % 50 == 0, F.col("size")).alias("note"))
@@ -190,7 +201,7 @@ stats AS (SELECT count(*) AS n, avg(dl) AS a, count_if(tf_a > 0) AS df_a, count_
 SELECT doc_id, {_score_sql(["a", "b"])} AS score FROM rows_, stats WHERE tf_a > 0 OR tf_b > 0 ORDER BY score DESC, doc_id LIMIT 10""")
 def bm25_with_phrase(spark, sf_dir):
     """A hyphenated word is a phrase inside a longer query."""
-    return lexical.phrases(corpus(spark, sf_dir), [w.split("-") for w in ("of-the", "ering")])
+    return lexical.phrases(document_index(spark, sf_dir), [w.split("-") for w in ("of-the", "ering")])
 
 
 @query(_POOLS + f"""
@@ -203,34 +214,35 @@ def literal_ranking(spark, sf_dir):
     docs = corpus(spark, sf_dir)
     share = sum((filters.name_contains(F.col("filename"), t).cast("double") for t in NAMES), F.lit(0.0)) / len(NAMES)
     outside = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", (F.col("doc_id") % 1001).alias("rank"))
-    return fusion.literal(lexical.search(docs, TERMS, k=300), docs.select("doc_id", share.alias("fraction")).filter("fraction >= 0.5"), outside)
+    return fusion.literal(lexical.search(document_index(spark, sf_dir), TERMS, k=300), docs.select("doc_id", share.alias("fraction")).filter("fraction >= 0.5"), outside)
 
 
 @query()
 def stemmed_terms(spark, sf_dir):
     """Document frequencies of folded and stemmed words; tested against a full-text index."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(stem.index_words(F.col("text")))).alias("term"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return lexical.document_frequencies(stemmed_index(spark, sf_dir))
 
 
 @query()
 def bm25_stemmed(spark, sf_dir):
     """The ten best documents by stemmed words; tested against a full-text index."""
-    return lexical.search(corpus(spark, sf_dir), [stem.stem(w) for w in ASKED], words=stem.index_words)
+    return lexical.search(stemmed_index(spark, sf_dir), [stem.stem(w) for w in ASKED])
 
 
 @query(_HYBRID + """, p AS (SELECT *, floor(semantic * 1000 + 0.5)::BIGINT AS s, floor(lexical * 1000 + 0.5)::BIGINT AS x FROM h)
-SELECT doc_id, concat_ws('; ', 'semantic: best chunk cosine ' || (s // 1000) || '.' || lpad((s % 1000)::VARCHAR, 3, '0') || ' (rank ' || semantic_rank || ')', 'lexical: bm25 ' || (x // 1000) || '.' || lpad((x % 1000)::VARCHAR, 3, '0') || ' (rank ' || lexical_rank || ')') AS why FROM p""")
+SELECT doc_id, concat_ws('; ', 'meaning ' || (s // 1000) || '.' || lpad((s % 1000)::VARCHAR, 3, '0') || ', place ' || semantic_rank, 'words ' || (x // 1000) || '.' || lpad((x % 1000)::VARCHAR, 3, '0') || ', place ' || lexical_rank, CASE WHEN doc_id % 4 = 0 THEN 'name 50 %' END, CASE WHEN doc_id % 10 = 1 THEN 'outside rank 0.' || lpad((doc_id % 1000)::VARCHAR, 3, '0') END) AS why FROM p""")
 def hit_reasons(spark, sf_dir):
     hits = fusion.fuse(_candidates(spark, sf_dir))
-    why = fusion.reasons(F.col("semantic"), F.col("semantic_rank"), F.col("lexical"), F.col("lexical_rank"))
+    name = F.when(F.col("doc_id") % 4 == 0, F.lit(0.5))
+    outside = F.when(F.col("doc_id") % 10 == 1, (F.col("doc_id") % 1000) / 1000)
+    why = fusion.reasons(F.col("semantic"), F.col("semantic_rank"), F.col("lexical"), F.col("lexical_rank"), name, outside)
     return hits.select("doc_id", F.array_join(why, "; ").alias("why"))
 
 
 @query(f"""WITH {_ASKED}, label AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
 SELECT query_id, count(DISTINCT doc_id) AS n_relevant FROM ranked JOIN label USING (query_id, doc_id) WHERE rank <= 5 GROUP BY query_id""")
 def relevant_in_first_five(spark, sf_dir):
-    first = batch_search.search_all(table(spark, sf_dir, "documents"), _items(spark, sf_dir), 5)
+    first = batch_search.search_all(document_index(spark, sf_dir), _items(spark, sf_dir), 5)
     return first.join(known_items(spark, sf_dir).withColumnRenamed("item_id", "query_id"), ["query_id", "doc_id"]).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_relevant"))
 
 

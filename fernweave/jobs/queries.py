@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import filters, fusion, lexical, maintenance, vectors
 from ..sources.corpus import corpus, table
 from ..streaming import changes
+from .store import document_index
 
 TERMS = ["ering", "thnt", "ndat", "thnt"]
 PAIR = ["ering", "thnt"]
@@ -66,23 +67,22 @@ _FILTER_SQL = "((path = '/corpus/src1' OR path LIKE '/corpus/src1/%') OR (path =
 
 @query(_bm25_sql(TERMS, _any(TERMS)))
 def bm25_or_topk(spark, sf_dir):
-    return lexical.search(corpus(spark, sf_dir), TERMS)
+    return lexical.search(document_index(spark, sf_dir), TERMS)
 
 
 @query(_bm25_sql(PAIR, _any(PAIR, "AND")))
 def bm25_and_topk(spark, sf_dir):
-    return lexical.search(corpus(spark, sf_dir), PAIR, "and")
+    return lexical.search(document_index(spark, sf_dir), PAIR, "and")
 
 
 @query(_bm25_sql(NOWHERE, f"CASE WHEN (SELECT count(*) FROM rows_ WHERE {_any(NOWHERE, 'AND')}) > 0 THEN {_any(NOWHERE, 'AND')} ELSE {_any(NOWHERE)} END"))
 def bm25_and_or_fallback(spark, sf_dir):
-    return lexical.search(corpus(spark, sf_dir), NOWHERE, "auto")
+    return lexical.search(document_index(spark, sf_dir), NOWHERE, "auto")
 
 
 @query(_bm25_sql(TERMS, _any(TERMS) + " AND " + _FILTER_SQL))
 def filtered_bm25(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    return lexical.search(docs, TERMS, where=filters.under_any(F.col("path"), ROOTS) & filters.has_extension(F.col("extension"), EXTENSIONS))
+    return lexical.search(document_index(spark, sf_dir), TERMS, where=filters.under_any(F.col("path"), ROOTS) & filters.has_extension(F.col("extension"), EXTENSIONS))
 
 
 @query(f"""WITH {_CORPUS}, tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM corpus),
@@ -90,24 +90,38 @@ rows_ AS (SELECT doc_id, len(t) AS dl, (SELECT count(*) FROM range(1, greatest(l
 stats AS (SELECT count(*) AS n, avg(dl) AS a, count_if(tf_p > 0) AS df_p FROM rows_)
 SELECT doc_id, {_score_sql(["p"])} AS score FROM rows_, stats WHERE tf_p > 0 ORDER BY score DESC, doc_id LIMIT 10""")
 def bm25_phrase(spark, sf_dir):
-    return lexical.phrase(corpus(spark, sf_dir), ["of", "the"])
+    return lexical.phrases(document_index(spark, sf_dir), [["of", "the"]])
+
+
+_ASKED_WITH_COMMON = ["the", "onerer", "ering", "thnt"]
 
 
-@query()
+@query(f"""WITH {_CORPUS}, {_tf_sql(_ASKED_WITH_COMMON)}, dfs AS (SELECT unnest([{", ".join(f"{{'t': '{t}', 'df': df_{t}}}" for t in _ASKED_WITH_COMMON)}], recursive := true), n FROM stats),
+kept AS (SELECT t FROM dfs WHERE df > 0 AND df <= 0.03 * n UNION SELECT t FROM (SELECT t FROM dfs WHERE df > 0 AND NOT EXISTS (SELECT 1 FROM dfs WHERE df > 0 AND df <= 0.03 * n) ORDER BY df, t LIMIT 2)),
+parts AS (SELECT doc_id, t, tf * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) AS s
+ FROM (SELECT doc_id, dl, unnest([{", ".join(f"{{'t': '{t}', 'tf': tf_{t}}}" for t in _ASKED_WITH_COMMON)}], recursive := true) FROM rows_) JOIN kept USING (t) JOIN dfs USING (t), (SELECT a FROM stats) WHERE tf > 0)
+SELECT doc_id, round(sum(s), 6) AS score FROM parts GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
 def bm25_common_term_prune(spark, sf_dir):
-    """Terms in over 3 % of the documents are left out, whatever the corpus's size."""
-    return lexical.search(corpus(spark, sf_dir), ["the", *TERMS], large=0)
+    """Terms in over 3 % of the documents are left out, whatever the corpus's size; if all are, the two rarest stay."""
+    return lexical.search(document_index(spark, sf_dir), _ASKED_WITH_COMMON, prune=True)
 
 
 @query("SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY term")
 def df_table(spark, sf_dir):
-    return lexical.document_frequencies(table(spark, sf_dir, "documents"))
+    return lexical.document_frequencies(document_index(spark, sf_dir))
 
 
 @query("SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_tokens, round(avg(n), 6) AS avgdl FROM (SELECT len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM documents)")
 def corpus_stats(spark, sf_dir):
-    n = F.size(T.tokens(F.col("text")))
-    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(n).alias("n_tokens"), F.round(F.avg(n), 6).alias("avgdl"))
+    return document_index(spark, sf_dir).units.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("n_tokens"), F.round(F.avg("dl"), 6).alias("avgdl"))
+
+
+@query("WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL) SELECT (SELECT count(*) FROM documents) AS n_units, count(*) AS n_postings, count(DISTINCT term) AS n_terms, sum(tf)::BIGINT AS n_words FROM p")
+def index_sizes(spark, sf_dir):
+    """What the persisted index holds; the first query of a session builds it."""
+    held = document_index(spark, sf_dir)
+    terms = held.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+    return terms.agg(F.lit(held.n).alias("n_units"), F.sum("df").alias("n_postings"), F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("n_words"))
 
 
 @query(f"WITH {_CORPUS} SELECT doc_id, path FROM corpus WHERE {_FILTER_SQL}")
@@ -186,14 +200,14 @@ def hashing_embed(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    best = lexical.search(corpus(spark, sf_dir), TERMS, k=300)
+    best = lexical.search(document_index(spark, sf_dir), TERMS, k=300)
     vecs = table(spark, sf_dir, "embeddings")
-    near = vectors.nearest(vecs, vecs.filter("vec_id = 0"), 300).select(F.col("vec_id").alias("doc_id"), F.greatest(F.col("similarity"), F.lit(0.0)).alias("score"))
+    near = vectors.nearest(vecs, vecs.filter("vec_id = 0"), 300).select(F.col("vec_id").alias("doc_id"), fusion.clamped(F.col("similarity")).alias("score"))
     return fusion.assemble(best, near)
 
 
 _POOLS = f"""WITH {_CORPUS}, {_tf_sql(TERMS)}, lex AS (SELECT doc_id, {_score_sql(TERMS)} AS lexical FROM rows_, stats WHERE {_any(TERMS)} ORDER BY 2 DESC, 1 LIMIT 300),
-sem AS (SELECT v.vec_id AS doc_id, greatest(round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6), 0.0) AS semantic, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS raw FROM embeddings q, embeddings v WHERE q.vec_id = 0 ORDER BY raw DESC, 1 LIMIT 300),"""
+sem AS (SELECT v.vec_id AS doc_id, least(greatest(round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6), 0.0), 1.0) AS semantic, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS raw FROM embeddings q, embeddings v WHERE q.vec_id = 0 ORDER BY raw DESC, 1 LIMIT 300),"""
 _HYBRID = _POOLS + """
 c AS (SELECT doc_id, lexical, semantic FROM lex FULL JOIN sem USING (doc_id)),
 r AS (SELECT *, CASE WHEN lexical IS NOT NULL THEN row_number() OVER (ORDER BY lexical DESC NULLS LAST, doc_id) END AS lexical_rank, CASE WHEN semantic IS NOT NULL THEN row_number() OVER (ORDER BY semantic DESC NULLS LAST, doc_id) END AS semantic_rank,
@@ -286,10 +300,10 @@ def tombstone_purge(spark, sf_dir):
     return maintenance.purgeable(corpus(spark, sf_dir).withColumns({"status": status, "missing_since": F.col("mtime")}), NOW).select("doc_id")
 
 
-@query("WITH c AS (SELECT doc_id, md5(text) AS h FROM documents), v AS (SELECT vec_id, h FROM embeddings JOIN c ON vec_id = doc_id WHERE vec_id % 2 = 0) SELECT doc_id, m AS vec_id FROM c LEFT JOIN (SELECT h, min(vec_id) AS m FROM v GROUP BY h) USING (h)")
+@query("WITH c AS (SELECT doc_id, md5(text) AS h FROM documents), v AS (SELECT vec_id, h FROM embeddings JOIN c ON vec_id = doc_id) SELECT doc_id, m AS vec_id FROM c LEFT JOIN (SELECT h, min(vec_id) AS m FROM v GROUP BY h) USING (h)")
 def vector_reuse(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_hash"))
-    vecs = table(spark, sf_dir, "embeddings").filter("vec_id % 2 = 0").join(chunks.select(F.col("doc_id").alias("vec_id"), "text_hash"), "vec_id").select("vec_id", "text_hash")
+    vecs = table(spark, sf_dir, "embeddings").join(chunks.select(F.col("doc_id").alias("vec_id"), "text_hash"), "vec_id").select("vec_id", "text_hash")
     return maintenance.reuse_vectors(chunks, vecs).select("doc_id", "vec_id")
 
 
@@ -367,15 +381,27 @@ def line_offsets(spark, sf_dir):
 
 
 def known_items(spark, sf_dir) -> DataFrame:
-    """(item_id, doc_id) where a document holds an item's text word for word.
+    """(item_id, doc_id) where a document holds an item's text word for word; an empty text is held by none.
 
-    A stated query set against all rows: the items come in blocks of a checked
-    size, and a document is held against them where it is.
+    An item's words but the first and last stand in such a document as whole
+    words, so the postings of the rarest of them name the candidates. The few
+    items with no such word are held against all documents, in blocks of a
+    checked size.
     """
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
-    n = max(1, -(-(items.agg(F.sum(F.octet_length("needle"))).first()[0] or 0) // (4 << 20)))
-    parts = [docs.join(F.broadcast(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)), F.contains("text", "needle")).select("item_id", "doc_id") for k in range(n)]
-    return reduce(DataFrame.unionByName, parts)
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")).filter("needle <> ''")
+    words = T.tokens(F.col("needle"))
+    items = items.select("item_id", "needle", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))).alias("inner"))
+    postings = document_index(spark, sf_dir).postings.select("term", "doc_id")
+    asked = items.select("item_id", F.explode(F.array_distinct("inner")).alias("term"))
+    df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # a word of no document rules its item out
+    rarest = asked.join(df, "term", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).filter("r.df > 0").select("item_id", F.col("r.term").alias("term"))
+    candidates = postings.join(rarest, "term").select("item_id", "doc_id").join(items.select("item_id", "needle"), "item_id")
+    found = candidates.join(docs, "doc_id").filter(F.contains("text", "needle")).select("item_id", "doc_id")
+    short = items.filter(F.size("inner") == 0)
+    n = max(1, -(-(short.agg(F.sum(F.octet_length("needle"))).first()[0] or 0) // (4 << 20)))
+    parts = [docs.join(F.broadcast(short.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)), F.contains("text", "needle")).select("item_id", "doc_id") for k in range(n)]
+    return reduce(DataFrame.unionByName, parts, found)
 
 
 @query("""WITH m AS (SELECT item_id, doc_id, length(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text))

@@ -1,4 +1,4 @@
-"""BM25 for many queries at once, over postings of the terms that they ask for."""
+"""BM25 for many queries at once, over the postings of the terms that they ask for."""
 
 from __future__ import annotations
 
@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens
-from .lexical import B, K1
+from .index import Index
+from .lexical import gain
 
 MOST_TERMS = 32
 
 
 def meaningful(words: Column) -> Column:
     """Words that aren't stop words or single characters, or all if none is left; 32 at most, as a query language sets it."""
-    kept = F.filter(words, lambda w: ~w.isin(STOP_WORDS) & (F.length(w) > 1))
+    kept = F.filter(words, lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 1))
     return F.slice(F.when(F.size(kept) > 0, kept).otherwise(words), 1, MOST_TERMS)
 
 
@@ -23,29 +24,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(doc_id, dl, term, tf). A ``vocabulary`` (term) drops all other terms before anything is shuffled."""
-    split = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), "t")
-    words = split.select("doc_id", "dl", F.explode("t").alias("term"))  # dl stands in a step of its own: beside explode it would be counted again for each word
-    if vocabulary is not None:
-        words = words.join(vocabulary, "term", "left_semi")
-    return words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def search_all(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score and rank of the k best documents of each query.
+def search_all(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, doc_id, score and rank of the k best documents of each query, from the postings of the terms asked for.
 
     A frequent term's postings are one join key: adaptive execution splits it,
     and scores are summed map-side before the shuffle by query and document.
     """
     wanted = query_terms(queries)
-    hits = postings(docs, wanted.select("term").distinct())
-    n, average = docs.agg(F.count(F.lit(1)), F.avg(F.size(tokens(F.col("text"))))).first()
+    hits = index.postings.select("term", "doc_id", "dl", "tf").join(wanted.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * F.when(idf > 0, idf).otherwise(1e-6)).alias("weight"))
-    gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average or 1.0)))
-    scored = hits.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("score"))
+    part = gain(F.col("weight"), F.col("tf"), F.col("dl"), index.average)
+    scored = hits.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

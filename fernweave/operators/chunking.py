@@ -19,16 +19,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_newlines
 
-SCHEMA = "array<struct<ordinal int, start int, end int, text string>>"
+SCHEMA = "array<struct<ordinal int, start int, end int, text string, truncated boolean>>"
 
 # What begins a block of prose, what begins one of code, where a sentence ends, and which files are code.
 HEADING = r"(?:#{1,6}\s|={3,}\s*$|-{3,}\s*$)"
 DEFINITION = r"(?:def |class |function |fn |pub fn |func |export |public |private |static |#region|///|/\*\*)"
 SENTENCE = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(\[])"
 CODE = (
-    ".py .pyi .js .mjs .ts .tsx .jsx .cs .c .h .cpp .hpp .cc .rs .go .java .kt .swift .rb .php .lua .sql .r .jl "
-    ".scala .ps1 .psm1 .sh .bash .zsh .bat .cmd .css .scss"
-).split()
+    ".py", ".pyi", ".js", ".mjs", ".ts", ".tsx", ".jsx", ".cs", ".c", ".h", ".cpp", ".hpp", ".cc", ".rs", ".go", ".java", ".kt", ".swift", ".rb", ".php", ".lua", ".sql", ".r", ".jl",
+    ".scala", ".ps1", ".psm1", ".sh", ".bash", ".zsh", ".bat", ".cmd", ".css", ".scss",
+)
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,8 @@ class Limits:
     longest: int = 2200
     overlap: int = 180
     shortest: int = 40
-    most_chunks: int = 100_000
+    #: Chunks of a document, if there is to be a bound; what it cuts off is marked on the document's chunks.
+    most_chunks: int | None = None
 
 
 Span = tuple[int, int]
@@ -132,14 +133,21 @@ def chunk(text: str, is_code: bool, limits: Limits) -> list[tuple[int, int, int,
 def chunks_of(text: Column, extension: Column, limits: Limits = Limits()) -> Column:
     """Array of a text's chunks; null and blank texts have none."""
 
+    def rows(text: str, is_code: bool) -> list[dict]:
+        found = chunk(text, is_code, limits)
+        cut = bool(found) and found[-1][2] < len(text.rstrip())
+        return [dict(zip(("ordinal", "start", "end", "text"), c, strict=True), truncated=cut) for c in found]
+
     @F.pandas_udf(SCHEMA)
     def run(texts: pd.Series, code: pd.Series) -> pd.Series:
-        fields = ("ordinal", "start", "end", "text")
-        return pd.Series([[dict(zip(fields, c, strict=True)) for c in chunk(t or "", bool(k), limits)] for t, k in zip(texts, code, strict=True)])
+        return pd.Series([rows(t or "", bool(k)) for t, k in zip(texts, code, strict=True)])
 
-    return run(normalize_newlines(text), F.coalesce(F.lower(extension).isin(CODE), F.lit(False)))
+    return run(normalize_newlines(text), F.coalesce(F.lower(extension).isin(*CODE), F.lit(False)))
 
 
 def chunked(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(doc_id, ordinal, start, end, text) of all chunks of ``docs`` (doc_id, text, extension); no shuffle."""
+    """(doc_id, ordinal, start, end, text, truncated) of all chunks of ``docs`` (doc_id, text, extension); no shuffle.
+
+    ``truncated`` is whether the document has text behind its last chunk, which only ``most_chunks`` can bring about.
+    """
     return docs.select("doc_id", F.inline(chunks_of(F.col("text"), F.col("extension"), limits)))

@@ -28,11 +28,12 @@ def fuse(candidates: DataFrame) -> DataFrame:
     """Adds ranks by component, the convex score, the reciprocal-rank score and what kind of match it is.
 
     A column ``filename`` (0 to 1, or null) lifts both scores: a name that holds
-    all terms goes to 0.9 at least, one that holds some gains a share.
+    all terms goes to 0.9 at least, one that holds some gains a share. Ranks that
+    the candidates have already, from before some were left out, are kept.
     """
     name = F.coalesce("filename", F.lit(0.0)) if "filename" in candidates.columns else F.lit(0.0)
     rank = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.orderBy(F.desc_nulls_last(c), "doc_id")))
-    ranked = candidates.withColumns({"lexical_rank": rank("lexical"), "semantic_rank": rank("semantic")})
+    ranked = candidates if "lexical_rank" in candidates.columns else candidates.withColumns({"lexical_rank": rank("lexical"), "semantic_rank": rank("semantic")})
     part = lambda w, c: F.coalesce(F.lit(w) / (RRF_K + F.col(c)), F.lit(0.0))
     rrf = (part(SEMANTIC, "semantic_rank") + part(LEXICAL, "lexical_rank") + name * (NAME * LEXICAL / (RRF_K + 1))) / ((SEMANTIC + LEXICAL + NAME * LEXICAL) / (RRF_K + 1))
     named = F.when(name > 0, "filename").otherwise("lexical")
@@ -75,15 +76,49 @@ def three_places(x: Column) -> Column:
     return F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
 
 
-def reasons(semantic: Column, semantic_rank: Column, lexical: Column, lexical_rank: Column) -> Column:
-    """Why a document was found, one sentence a component."""
-    s = F.concat(F.lit("semantic: best chunk cosine "), three_places(semantic), F.lit(" (rank "), semantic_rank.cast("string"), F.lit(")"))
-    x = F.concat(F.lit("lexical: bm25 "), three_places(lexical), F.lit(" (rank "), lexical_rank.cast("string"), F.lit(")"))
-    return F.array_compact(F.array(s, x))
+def over_chunks(lexical: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Candidates of the best pieces of text (doc_id, ordinal, score) and of chunk vectors (the same): shares of the best BM25, cosines, and the piece of each component."""
+    share = F.col("score") / F.max("score").over(Window.partitionBy())  # of candidates, a bounded pool
+    best = chunks.groupBy("doc_id").agg(F.max_by(F.struct("score", "ordinal"), F.struct("score", -F.col("ordinal"))).alias("b"))
+    a = lexical.select("doc_id", share.alias("lexical"), F.col("ordinal").alias("lexical_ordinal"))
+    return a.join(best.select("doc_id", F.col("b.score").alias("semantic"), F.col("b.ordinal").alias("semantic_ordinal")), "doc_id", "full_outer")
+
+
+def shown(candidates: DataFrame, units: DataFrame, texts: DataFrame, k: int, width: int) -> DataFrame:
+    """doc_id, path, score, ordinal and the first ``width`` characters of what is shown of the k best candidates that ``units`` (doc_id, path) knows.
+
+    The piece of the stronger component is shown, of equal ones the nearest chunk;
+    a piece whose text (doc_id, ordinal, text) is gone shows nothing.
+    """
+    ordinal = F.when(F.col("semantic").isNotNull() & (F.col("semantic") >= F.coalesce("lexical", F.lit(0.0))), F.col("semantic_ordinal")).otherwise(F.coalesce("lexical_ordinal", "semantic_ordinal"))
+    hits = fuse(candidates).select("doc_id", F.col("convex").alias("score"), ordinal.alias("ordinal")).join(units.select("doc_id", "path"), "doc_id")
+    best = hits.orderBy(F.desc("score"), "doc_id").limit(k)
+    pieces = texts.select("doc_id", "ordinal", F.substring("text", 1, width).alias("shown"))
+    return best.join(pieces, ["doc_id", "ordinal"], "left").select("doc_id", "path", "score", "ordinal", "shown").orderBy(F.desc("score"), "doc_id")
+
+
+def reasons(semantic: Column, semantic_rank: Column, lexical: Column, lexical_rank: Column, name: Column | None = None, outside: Column | None = None) -> Column:
+    """Why a document was found, one phrase a component that it has; ``name`` and ``outside`` are shares from 0 to 1."""
+    place = lambda what, value, rank: F.concat(F.lit(f"{what} "), three_places(value), F.lit(", place "), rank.cast("string"))
+    parts = [place("meaning", semantic, semantic_rank), place("words", lexical, lexical_rank)]
+    if name is not None:
+        parts.append(F.when(name > 0, F.concat(F.lit("name "), F.round(name * 100).cast("int").cast("string"), F.lit(" %"))))
+    if outside is not None:
+        parts.append(F.concat(F.lit("outside rank "), three_places(outside)))
+    return F.array_compact(F.array(*parts))
+
+
+def clamped(similarity: Column) -> Column:
+    return F.least(F.greatest(similarity, F.lit(0.0)), F.lit(1.0))
 
 
 def collapse(hits: DataFrame, key: str) -> DataFrame:
-    """The best hit of each non-empty key stays, with the number of the others; hits without a key stay."""
+    """The best hit of each non-empty key stays, with the doc_ids of the others, best first, and their number; hits without a key stay.
+
+    ``hits`` are a ranked pool of bounded size, and so is each key's list.
+    """
     same = F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("row "), F.col("doc_id").cast("string")))
-    best = hits.groupBy(same.alias("__same")).agg(F.max_by(F.struct(*hits.columns), F.struct("score", -F.col("doc_id"))).alias("hit"), (F.count(F.lit(1)) - 1).alias("n_duplicates"))
-    return best.select("hit.*", "n_duplicates")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "doc_id")))
+    best = hits.groupBy(same.alias("__same")).agg(F.max_by(F.struct(*hits.columns), F.struct("score", -F.col("doc_id"))).alias("hit"), listed.alias("l"))
+    others = F.transform(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(1))), lambda x: x["doc_id"])
+    return best.select("hit.*", others.alias("duplicates"), (F.size("l") - 1).cast("long").alias("n_duplicates"))

@@ -1,130 +1,113 @@
-"""BM25 over whole documents: one pass for the statistics of the terms, one for the scores, no shuffle."""
+"""BM25 over a persisted index: a query reads the postings of its own terms."""
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from .index import Index
 
 K1, B = 1.2, 0.75
-#: A term in more than this share of a large corpus is left out of an OR query.
-COMMON, LARGE = 0.03, 20_000
+#: A term in more than this share of the units is common.
+COMMON = 0.03
 
 
-@dataclass
-class Statistics:
-    n: int
-    average: float
-    df: dict[str, int]
-    all_terms: int
+def idf(n: int, df: int) -> float:
+    value = math.log((n - df + 0.5) / (df + 0.5))
+    return value if value > 0 else 1e-6
 
-    def idf(self, term: str) -> float:
-        df = self.df[term]
-        idf = math.log((self.n - df + 0.5) / (df + 0.5))
-        return idf if idf > 0 else 1e-6
 
+def gain(weight: Column, tf: Column, dl: Column, average: float) -> Column:
+    return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(average)))
 
-def counted(docs: DataFrame, terms: list[str], words: Callable[[Column], Column] = tokens) -> DataFrame:
-    """All columns with dl, the document's tokens, and tf, how often it has each term."""
-    docs = docs.withColumn("__t", words(F.col("text")))
-    unique = list(dict.fromkeys(terms))
-    hits = F.filter("__t", lambda x: x.isin(unique))
-    docs = docs.select(*[c for c in docs.columns if c != "__t"], F.size("__t").alias("dl"), hits.alias("__h"))
-    tf = [F.size(F.filter("__h", _same(t))).alias(t) for t in unique]
-    return docs.withColumn("tf", F.struct(*tf)).drop("__h")
 
+def hits(index: Index, terms: list[str]) -> DataFrame:
+    """Postings of the terms; the filter reaches the files' pages."""
+    return index.postings.filter(F.col("term").isin(sorted(set(terms))))
 
-def _same(term: str):
-    return lambda x: x == term
 
+def frequencies(index: Index, terms: list[str]) -> dict[str, int]:
+    """Units that have each term."""
+    found = hits(index, terms).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()  # a row a query term
+    return dict.fromkeys(terms, 0) | {r["term"]: r["df"] for r in found}
 
-def statistics(rows: DataFrame, terms: list[str]) -> Statistics:
-    """Corpus-wide numbers of the terms, from one aggregation of ``counted`` rows."""
-    unique = list(dict.fromkeys(terms))
-    has = [F.col(f"tf.{t}") > 0 for t in unique]
-    every = has[0]
-    for h in has[1:]:
-        every = every & h
-    row = rows.agg(F.count(F.lit(1)), F.avg("dl"), *(F.count_if(h) for h in has), F.count_if(every)).first()
-    return Statistics(row[0], row[1] or 1.0, dict(zip(unique, row[2:-1], strict=True)), row[-1])
-
-
-def score(stats: Statistics, terms: list[str]) -> Column:
-    """Sum over the query's terms, a repeated term as often as it stands there."""
-    total = F.lit(0.0)
-    for t in terms:
-        tf = F.col(f"tf.{t}")
-        total = total + F.lit(stats.idf(t)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / stats.average))
-    return F.round(total, 6)
-
-
-def matches(terms: list[str], every: bool) -> Column:
-    out = F.lit(every)
-    for t in dict.fromkeys(terms):
-        has = F.col(f"tf.{t}") > 0
-        out = out & has if every else out | has
-    return out
-
-
-def kept_terms(stats: Statistics, terms: list[str], large: int = LARGE) -> list[str]:
-    """In a large corpus: the terms that aren't common, else the two rarest that occur, else all."""
-    if stats.n < large or len(terms) < 2:
-        return terms
-    rare = [t for t in terms if 0 < stats.df[t] <= COMMON * stats.n]
-    if rare:
-        return rare
-    present = sorted((t for t in terms if stats.df[t]), key=lambda t: stats.df[t])[:2]
-    return present or terms
+
+def without_common(df: dict[str, int], n: int, terms: list[str]) -> list[str]:
+    """The terms that aren't common; if all that occur are, the two rarest; if none occurs, all."""
+    rare = [t for t in terms if 0 < df[t] <= COMMON * n]
+    return rare or sorted({t for t in terms if df[t]}, key=lambda t: (df[t], t))[:2] or terms
 
 
 def top(rows: DataFrame, k: int) -> DataFrame:
     return rows.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def search(docs: DataFrame, terms: list[str], mode: str = "or", k: int = 10, where: Column | None = None, large: int = LARGE, words: Callable[[Column], Column] = tokens) -> DataFrame:
-    """The k best (doc_id, score). ``mode``: or, and, or auto (and, but or if nothing has all terms).
+def scores(index: Index, terms: list[str], mode: str = "or", prune: bool = False, where: Column | None = None) -> DataFrame:
+    """(doc_id, ordinal, score) of all units that match. ``mode``: or, and, or auto (and, but or if nothing has all terms).
 
-    Statistics are those of all documents; ``where`` narrows what is ranked, before the cut to k.
-    ``words`` makes a text's tokens, the plain ones if not given.
+    A term that the query repeats counts as often. Statistics are those of all
+    units; ``where``, on the units' columns, narrows what is scored. ``prune``
+    leaves common terms out of an OR query, in a corpus of any size. Without
+    terms there are no hits.
     """
-    rows = counted(docs, terms, words)
-    stats = statistics(rows, terms)
-    every = mode == "and" or (mode == "auto" and len(terms) > 1 and stats.all_terms > 0)
-    used = terms if every else kept_terms(stats, terms, large)
-    rows = rows.filter(matches(used, every))
+    if mode not in ("or", "and", "auto"):
+        raise ValueError(f"mode must be or, and or auto, not {mode!r}")
+    if not terms:
+        return index.units.select("doc_id", "ordinal", F.lit(0.0).alias("score")).limit(0)
+    df = frequencies(index, terms)
+    unique = list(dict.fromkeys(terms))
+    every = mode == "and"
+    if mode == "auto" and len(terms) > 1 and all(df.values()):
+        having = hits(index, unique).groupBy("doc_id", "ordinal").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(unique))
+        every = not having.isEmpty()
+    used = terms if every or not prune or len(unique) < 2 else without_common(df, index.n, terms)
+    weights = {t: c * idf(index.n, df[t]) for t, c in Counter(used).items()}
+    weight = F.coalesce(*(F.when(F.col("term") == t, F.lit(w)) for t, w in weights.items()))
+    found = hits(index, used)
     if where is not None:
-        rows = rows.filter(where)
-    return top(rows.select("doc_id", score(stats, used).alias("score")), k)
+        found = found.join(index.units.filter(where).select("doc_id", "ordinal"), ["doc_id", "ordinal"], "left_semi")
+    summed = found.groupBy("doc_id", "ordinal").agg(F.round(F.sum(gain(weight, F.col("tf"), F.col("dl"), index.average)), 6).alias("score"), F.count(F.lit(1)).alias("n"))
+    return (summed.filter(F.col("n") == len(unique)) if every else summed).drop("n")
 
 
-def occurrences(t: Column, words: list[str]) -> Column:
-    """How often the words stand next to each other in the tokens."""
-    if len(words) == 1:
-        return F.size(F.filter(t, _same(words[0])))
-    begins = F.filter(F.transform(t, lambda x, i: F.when(x == words[0], i + 1)), lambda i: i.isNotNull())
-    return F.size(F.filter(begins, lambda i: F.slice(t, i, len(words)) == F.array(*(F.lit(w) for w in words))))
+def search(index: Index, terms: list[str], mode: str = "or", k: int = 10, where: Column | None = None, prune: bool = False) -> DataFrame:
+    """The k best (doc_id, score); see ``scores``."""
+    return top(scores(index, terms, mode, prune, where).select("doc_id", "score"), k)
 
 
-def phrases(docs: DataFrame, wanted: list[list[str]], k: int = 10) -> DataFrame:
-    """The k best documents by BM25 of any of the phrases; a phrase has its own frequencies, one word is a phrase too."""
-    names = [f"p{i}" for i in range(len(wanted))]
-    docs = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    rows = docs.select("doc_id", F.size("t").alias("dl"), F.struct(*(occurrences(F.col("t"), w).alias(n) for w, n in zip(wanted, names, strict=True))).alias("tf"))
-    stats = statistics(rows, names)
-    return top(rows.filter(matches(names, False)).select("doc_id", score(stats, names).alias("score")), k)
+def best_units(index: Index, terms: list[str], prune: bool = False, where: Column | None = None) -> DataFrame:
+    """doc_id with the ordinal and score of its best unit, the earliest of equal ones."""
+    best = scores(index, terms, prune=prune, where=where).groupBy("doc_id").agg(F.max_by(F.struct("ordinal", "score"), F.struct("score", -F.col("ordinal"))).alias("b"))
+    return best.select("doc_id", "b.*")
 
 
-def phrase(docs: DataFrame, words: list[str], k: int = 10) -> DataFrame:
-    """The k best documents by BM25 of the words next to each other."""
-    return phrases(docs, [words], k)
+def _earlier(by: int) -> Callable[[Column], Column]:
+    return lambda place: place - by
+
+
+def _places(words: list[str]) -> Column:
+    """Where a unit has the words next to each other, from the terms' positions (a map)."""
+    of = lambda w: F.coalesce(F.element_at("positions", w), F.array().cast("array<int>"))
+    places = of(words[0])
+    for k, w in enumerate(words[1:], 1):
+        places = F.array_intersect(places, F.transform(of(w), _earlier(k)))
+    return places
+
+
+def phrases(index: Index, wanted: list[list[str]], k: int = 10) -> DataFrame:
+    """The k best documents by BM25 of any of the phrases; a phrase has its own frequencies, one word is a phrase too."""
+    met = hits(index, [w for p in wanted for w in p]).groupBy("doc_id", "ordinal").agg(F.first("dl").alias("dl"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("positions"))
+    rows = met.select("doc_id", "dl", *(F.size(_places(p)).alias(f"tf_{k}") for k, p in enumerate(wanted)))
+    df = rows.agg(*(F.count_if(F.col(f"tf_{k}") > 0) for k in range(len(wanted)))).first()
+    total = sum((gain(F.lit(idf(index.n, df[k])), F.col(f"tf_{k}"), F.col("dl"), index.average) for k in range(len(wanted))), F.lit(0.0))
+    some = F.greatest(*(F.col(f"tf_{k}") for k in range(len(wanted))), F.lit(0)) > 0
+    return top(rows.filter(some).select("doc_id", F.round(total, 6).alias("score")), k)
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """term and df of the whole corpus; each document's terms are counted once before the shuffle."""
-    words = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequencies(index: Index) -> DataFrame:
+    """term and df of all units; two columns of the postings are read, and counts are made before the shuffle."""
+    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

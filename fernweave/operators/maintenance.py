@@ -29,6 +29,36 @@ def deletion_allowed(known: int, seen: int, least_share: float = 0.5) -> bool:
     return not (known > 100 and seen < least_share * known)
 
 
+def vanished(old: DataFrame, new: DataFrame, least_share: float = 0.5) -> DataFrame:
+    """Paths of ``old`` that are gone in ``new``; none at all where the guard takes it for a failed listing."""
+    met = old.select("path").join(new.select("path", F.lit(1).alias("there")), "path", "left")
+    known, seen = met.agg(F.count(F.lit(1)), F.count("there")).first()
+    gone = met.filter("there is null").select("path")
+    return gone if deletion_allowed(known, seen, least_share) else gone.limit(0)
+
+
+def bound(vectors: DataFrame, model: str, width: int, may_reset: bool) -> tuple[str, DataFrame]:
+    """A store's vectors (vec_id, model, embedding) as they may be used with a model: ``created`` where there are none, ``ok``, or ``reset`` and none.
+
+    Vectors of another model or width are an error unless they may be dropped.
+    """
+    row = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("model").eqNullSafe(model) | (F.size("embedding") != width)).alias("other")).first()
+    if not row["n"]:
+        return "created", vectors
+    if not row["other"]:
+        return "ok", vectors
+    if not may_reset:
+        raise ValueError(f"{row['other']} of {row['n']} vectors aren't of {model} with {width} numbers")
+    return "reset", vectors.limit(0)
+
+
+def unchanged(size: Column, mtime: Column, was_size: Column, was_mtime: Column, status: Column, tried: Column, now: float, retry: float = 86_400.0) -> Column:
+    """Whether a file need not be read again: same size and time, and an outcome that is final or an error younger than ``retry`` seconds."""
+    same = (size == was_size) & (F.abs(mtime - was_mtime) < MTIME_TOLERANCE)
+    final = F.when(status == "missing", False).when(status.isin("error", "denied"), tried > now - retry).otherwise(True)
+    return F.coalesce(same & final, F.lit(False))
+
+
 def purgeable(docs: DataFrame, now: float, grace: float = GRACE_SECONDS) -> DataFrame:
     return docs.filter((F.col("status") == "missing") & (F.col("missing_since") <= now - grace))
 

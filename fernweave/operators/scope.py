@@ -18,6 +18,33 @@ def wanted(path: Column, filename: Column, extension: Column, size: Column, exte
     return filters.has_extension(extension, extensions) & ~filters.excluded(path, filename, globs) & (size <= most_size)
 
 
+def reject_reason(path: Column, roots: list[str], is_link: Column, follow_links: bool, target: Column, is_folder: Column, is_offline: Column) -> Column:
+    """Why a path isn't indexed, the first reason that holds; null if it is. A followed link must lead into a root."""
+    outside = ~filters.under_any(path, roots)
+    link = F.when(is_link & ~filters.under_any(target, roots), "link leads outside") if follow_links else F.when(is_link, "link")
+    return F.coalesce(F.when(outside, "outside roots"), link, F.when(is_folder, "folder"), F.when(is_offline, "offline"))
+
+
+def allowed(status: Column, path: Column, filename: Column, extension: Column, roots: list[str], globs: list[str], within: list[str] | None = None, extensions: list[str] | None = None) -> Column:
+    """What a hit must still be when it is shown: there, in the index's roots, not excluded, and inside the query's own filters. Without roots nothing is."""
+    out = (status != "missing") & filters.under_any(path, roots) & ~filters.excluded(path, filename, globs)
+    if within:
+        out = out & filters.under_any(path, within)
+    if extensions:
+        out = out & filters.has_extension(extension, extensions)
+    return out
+
+
+def sampled(files: DataFrame, patterns: dict[str, str], each: int, most_size: int, names: str) -> DataFrame:
+    """pattern and path: the first ``each`` paths of each name pattern, without files over the size or whose names match ``names``.
+
+    A file counts for every pattern that it matches.
+    """
+    fits = F.array_compact(F.array(*(F.when(F.col("filename").rlike(filters.glob_pattern(g)), F.lit(p)) for p, g in patterns.items())))
+    rows = files.filter((F.col("size") <= most_size) & ~F.col("filename").rlike(names)).select("path", F.explode(fits).alias("pattern"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("pattern").orderBy("path"))).filter(F.col("nth") <= each).select("pattern", "path")
+
+
 def out_of_scope(docs: DataFrame, roots: list[str], globs: list[str]) -> DataFrame:
     """Documents outside all roots or excluded. Without roots nothing is out of scope: an empty list is never a call to delete."""
     if not roots:
@@ -93,17 +120,27 @@ def jobs_of_changes(changes: DataFrame, known: DataFrame, indexable: Column, pri
 def rolling_rate(events: DataFrame, width: int) -> DataFrame:
     """event_id with n_events of the last ``width`` seconds and their rate a second since the oldest of them (a second at least).
 
-    Time is cut into slices of the width; an event goes to its own and the next
-    slice, so each slice is ranked by itself and no task sees all events.
+    Each event asks how many events there were up to it, and how many before its
+    window began. Both are running counts in slices of a sixtieth of the width,
+    plus the slices' totals before, so the work is a sort, however dense an hour is.
     """
+    micros, slice_ = width * 1_000_000, max(1, width * 1_000_000 // 60)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    micros = width * 1_000_000
-    rows = events.select("event_id", at.alias("at"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    rows = rows.withColumn("slice", F.floor(F.col("at") / micros) + F.col("copy"))
-    last = Window.partitionBy("slice").orderBy("at").rangeBetween(-micros, 0)
-    rows = rows.select("event_id", "copy", "at", F.count(F.lit(1)).over(last).alias("n_events"), F.min("at").over(last).alias("oldest")).filter("copy = 0")
-    span = F.greatest((F.col("at") - F.col("oldest")) / 1e6, F.lit(1.0))
-    return rows.select("event_id", "n_events", F.round(F.col("n_events") / span, 6).alias("per_second"))
+    rows = events.select("event_id", at.alias("at")).select("event_id", "at", F.explode(F.array(F.lit(0), F.lit(1))).alias("is_event"))
+    rows = rows.withColumn("place", F.col("at") - F.when(F.col("is_event") == 0, F.lit(micros)).otherwise(F.lit(0))).withColumn("slice", F.floor(F.col("place") / slice_))
+    # one row for each slice in which anything happened
+    totals = rows.groupBy("slice").agg(F.sum("is_event").alias("n"), F.min(F.when(F.col("is_event") == 1, F.col("at"))).alias("first"))
+    every = Window.orderBy("slice")
+    totals = totals.select("slice", F.coalesce(F.sum("n").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.min("first").over(Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)).alias("next"))
+    inside = Window.partitionBy("slice")
+    upto = F.sum("is_event").over(inside.orderBy("place", "is_event"))
+    following = F.min(F.when(F.col("is_event") == 1, F.col("at"))).over(inside.orderBy(F.desc("place"), F.desc("is_event")))
+    known = rows.withColumns({"upto": upto, "following": following}).join(totals, "slice")
+    known = known.select("event_id", "at", "is_event", (F.col("upto") + F.col("before")).alias("count"), F.coalesce("following", "next").alias("oldest"))
+    ends, begins = known.filter("is_event = 1"), known.filter("is_event = 0")
+    both = ends.select("event_id", "at", F.col("count").alias("upto")).join(begins.select("event_id", F.col("count").alias("before"), "oldest"), "event_id")
+    n, span = F.col("upto") - F.col("before"), F.greatest((F.col("at") - F.col("oldest")) / 1e6, F.lit(1.0))
+    return both.select("event_id", n.alias("n_events"), F.round(n / span, 6).alias("per_second"))
 
 
 def ranked_values(rows: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:

@@ -23,7 +23,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("path", F.concat_ws("/", "root", "lang", "filename"))
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one, for tests, only where none is named."""
+    """The folder in spark.checkpoint.dir; a local one, the same for a session, only where none is named and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or "file://" + tempfile.mkdtemp(prefix="fernweave-")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="fernweave-"))

@@ -9,7 +9,7 @@ from fernweave.functions import decode
 from fernweave.functions import text as T
 from fernweave.operators import batch_search, chunking
 
-SMALL = chunking.Limits(200, 300, 40, 10, 50)
+SMALL = chunking.Limits(200, 300, 40, 10)
 
 
 def bodies(text, is_code=False, limits=SMALL):
@@ -18,7 +18,7 @@ def bodies(text, is_code=False, limits=SMALL):
 
 def test_no_chunks_of_blank_text(spark):
     docs = spark.createDataFrame([(1, None, ".md"), (2, " \n\t\r\n", None), (3, "some words", None)], "doc_id long, text string, extension string")
-    assert [tuple(r) for r in chunking.chunked(docs).collect()] == [(3, 0, 0, 10, "some words")]
+    assert [tuple(r) for r in chunking.chunked(docs).collect()] == [(3, 0, 0, 10, "some words", False)]
 
 
 def test_chunks_cover_the_text():
@@ -56,8 +56,13 @@ def test_small_rest_joins_the_chunk_before():
     assert bodies(text) == [(0, 0, 202, "a" * 195 + "\nshort")]
 
 
-def test_most_chunks():
-    assert len(bodies("\n\n".join("y" * 150 for _ in range(500)), limits=chunking.Limits(200, 300, 40, 10, 7))) == 7
+def test_most_chunks(spark):
+    text = "\n\n".join("y" * 150 for _ in range(500))
+    assert len(bodies(text)) == 500
+    assert len(bodies(text, limits=chunking.Limits(200, 300, 40, 10, 7))) == 7
+    docs = spark.createDataFrame([(1, text, ".md"), (2, "short text  \n ", ".md")], "doc_id long, text string, extension string")
+    cut = chunking.chunked(docs, chunking.Limits(200, 300, 40, 10, 7)).groupBy("doc_id", "truncated").count().collect()
+    assert sorted(map(tuple, cut)) == [(1, True, 7), (2, False, 1)]
 
 
 SIGNED = "eyJ" + "a" * 20 + "." + "eyJ" + "b" * 20 + "." + "c" * 20
@@ -113,6 +118,8 @@ def test_titles(spark, text, name, parent, title):
         ("é".encode(), ("é", "ok", "utf-8")),
         (codecs.BOM_UTF8 + b"a", ("a", "ok", "utf-8-sig")),
         (codecs.BOM_UTF16_LE + "hi".encode("utf-16-le"), ("hi", "ok", "utf-16")),
+        (codecs.BOM_UTF32_LE + "hé😀".encode("utf-32-le"), ("hé😀", "ok", "utf-32")),
+        (codecs.BOM_UTF32_BE + " ".encode("utf-32-be"), (" ", "empty", "utf-32")),
         ("plain".encode("utf-16-le"), ("plain", "ok", "utf-16-le")),
         ("plain".encode("utf-16-be"), ("plain", "ok", "utf-16-be")),
         (b"caf\xe9", ("café", "ok", "cp1252")),

@@ -1,4 +1,4 @@
-"""Stemming, the job queue, exact ranks and scopes against plain ways to the same results."""
+"""Stemming, settled changes, exact ranks and scopes against plain ways to the same results."""
 
 import random
 import sqlite3
@@ -14,7 +14,7 @@ from fernweave.jobs.keeping import ASKED
 from fernweave.jobs.queries import QUERIES
 from fernweave.operators import maintenance, scope
 from fernweave.sources import files
-from fernweave.streaming import queue
+from fernweave.streaming import changes, live, pairing
 
 FOLDER = "/root/testdata/sf0.001"
 ENGLISH = """relational conditional valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism
@@ -57,42 +57,58 @@ def test_bm25_stemmed(spark):
     assert all(abs(a - b) < 1e-5 for (a, _), (b, _) in zip(found, expected, strict=True))
 
 
-def plain_jobs(steps):
-    jobs = {}
-    for path, at, _, step, op, priority in sorted(steps, key=lambda s: (s[0], s[1], s[2])):
-        job = jobs.get(path)
-        if step == "request":
-            if job is None:
-                jobs[path] = [op, priority, "pending", 0, False, at]
-            else:
-                job[0], job[1], job[3] = op, min(job[1], priority), 0
-                job[4] = job[2] == "running"
-                job[2] = "running" if job[4] else "pending"
-        elif job and step == "start" and job[2] == "pending":
-            job[2], job[3] = "running", job[3] + 1
-        elif job and job[2] == "running" and step == "done":
-            if job[4]:
-                job[2:5] = ["pending", 0, False]
-            else:
-                del jobs[path]
-        elif job and job[2] == "running" and step == "fail":
-            job[2], job[4] = ("failed" if job[3] >= 3 else "pending"), False
-    return {(p, *j) for p, j in jobs.items()}
-
-
-def test_job_states(spark):
+def plain_bursts(reports, quiet):
+    """Pairing and coalescing by plain loops; reports are (event_id, ts, root, path, action)."""
+    old, changes = {}, []
+    for i, ts, root, path, action in sorted(reports, key=lambda r: (r[1], r[0])):
+        if action == "renamed_old":
+            old[root] = path
+        elif action == "renamed_new":
+            changes.append((ts, i, path, "renamed", old.pop(root, None)))
+        else:
+            changes.append((ts, i, path, action, None))
+    held, done = {}, []
+    for ts, _, path, action, was in changes:
+        burst = held.get(path)
+        if burst and ts - burst[3] >= quiet:
+            done.append((path, *burst[:3], burst[4]))
+            burst = None
+        if burst and burst[0] == "removed" and action in ("modified", "added"):
+            action = "added"
+        held[path] = (action, was or (burst[1] if burst else None), burst[2] if burst else ts, ts, burst[4] + 1 if burst else 1)
+    return Counter(done + [(p, *b[:3], b[4]) for p, b in held.items()])
+
+
+def test_pairs_and_bursts(spark):
     random.seed(5)
     began = datetime(2024, 1, 1)
-    steps = [(f"/p{random.randrange(40)}", began + timedelta(seconds=random.randrange(500)), i, random.choice(["request", "start", "start", "done", "fail"]), random.choice(["index", "vanish"]), random.randrange(1, 6)) for i in range(2000)]
-    found = queue.final_jobs(spark.createDataFrame([*steps, (None, began, -1, "request", "index", 1)], queue.STEPS))
-    assert {tuple(r) for r in found.collect()} == plain_jobs(steps)
-    assert {r.state for r in found.select("state").distinct().collect()} == {"pending", "running", "failed"}
-    assert queue.final_jobs(spark.createDataFrame([], queue.STEPS)).count() == 0
+    actions = ["added", "removed", "removed", "modified", "renamed_old", "renamed_new"]
+    reports = [(i, began + timedelta(minutes=random.randrange(3000)), f"/r{i % 3}", f"/r{i % 3}/{random.randrange(9)}", random.choice(actions)) for i in range(1500)]
+    df = spark.createDataFrame(reports, "event_id long, ts timestamp, root string, path string, action string")
+    found = pairing.coalesced(pairing.paired(df), "20 minutes").select("path", "action", "old_path", "started", "n_events")
+    assert Counter(tuple(r) for r in found.collect()) == plain_bursts(reports, timedelta(minutes=20))
 
 
-def test_job_stream_is_the_batch(spark):
-    batch = {tuple(r) for r in QUERIES["job_states"](spark, FOLDER).collect()}
-    assert batch and {tuple(r) for r in QUERIES["job_states_stream"](spark, FOLDER).collect()} == batch
+def test_stream_goes_on(spark, tmp_path):
+    """A second run in the same folder takes up what the first left open, and reads no sibling of the events."""
+    began = datetime(2024, 1, 1)
+    rows = [(i, began + timedelta(minutes=40 * i + (400 if i > 30 else 0)), i % 2, ["signup", "error", "click", "purchase"][i % 4], 0.0) for i in range(60)]
+    shape = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    place, state = f"{tmp_path}/events", f"{tmp_path}/state"
+    spark.createDataFrame(rows[:25], shape).coalesce(1).write.parquet(place)
+    spark.createDataFrame([(999, began, 7, "click", 0.0)], shape).write.parquet(place + ".bak")
+    for more in (None, rows[25:45], rows[45:]):
+        if more:
+            spark.createDataFrame(more, shape).coalesce(1).write.mode("append").parquet(place)
+        found = {(r.path, r.started): r.n_events for r in live.settled_stream(spark, place, state).collect()}
+        merged = pairing.coalesced_stream(spark, place, state + "2").collect()
+    whole = spark.createDataFrame(rows, shape)
+    closed = max(r[1] for r in rows) - timedelta(hours=1)
+    ended = {(r.path, r.started): r.n_events for r in changes.settled(changes.watch_events(whole)).collect()}
+    assert found and found == {k: n for k, n in ended.items() if k in found} and len(ended) - len(found) <= 2
+    bursts = plain_bursts([(r.event_id, r.ts, r.root, r.path, r.action) for r in pairing.reported(whole).collect()], timedelta(hours=1))
+    assert merged and not Counter(tuple(r) for r in merged) - bursts
+    assert sum(bursts.values()) - len(merged) <= 2 and all(r.started <= closed for r in merged)
 
 
 def test_ranked_values(spark):
@@ -123,7 +139,7 @@ def test_words_and_notes(spark):
     rows = df.select(T.normalized_path(F.col("p")).alias("p"), T.match_expression(F.split("q", " "), "AND").alias("m"), F.array_join(T.freetext_words(F.col("q")), "|").alias("f")).collect()
     assert [tuple(r) for r in rows] == [("c:/a/b.txt", '"say" AND """x""" AND "it\'s"', "say|it's"), ("/a", '""', ""), ("/", None, None)]
     notes = spark.createDataFrame([(5, 5, False, 10), (1200, 3, True, 1500)], "n int, e int, t boolean, c int").select(T.coverage_note(F.col("n"), F.col("e"), F.col("t"), F.col("c")).alias("note")).collect()
-    assert notes[0].note is None and notes[1].note.startswith("semantic search covers the first 3 of 1,200 chunks") and notes[1].note.endswith("text beyond 1,500 characters is not indexed")
+    assert notes[0].note is None and notes[1].note == "vectors for 3 of 1,200 chunks, words for all; indexed up to character 1,500"
 
 
 def test_inventory(spark, tmp_path):
