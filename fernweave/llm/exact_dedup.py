@@ -13,7 +13,8 @@ nonmembers are grouped among themselves.
 Skew: winners and numbers are pre-aggregated before they are shuffled, a bucket
 holds a bounded number of distinct digests, and a bucket with many rows to look
 up is dealt over several copies of its slots, each smaller than the rows that it
-answers.
+answers. What is joined back to the rows is a written table, so that adaptive
+execution may split a large group.
 
 Results for odd input: null counts as the empty text; rows with one doc_id
 count one by one; a null doc_id is part of the earlier half and never wins
@@ -179,8 +180,8 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     copies = cut(load.select("bucket", F.greatest(F.lit(1), F.ceil(F.col("rows") / BUCKET_ROWS)).cast("int").alias("n_copies")))
     found = cut(look_up(rows, build_index(history, buckets, copies), copies, buckets))
     news = found.filter("slot is not null and fresh").groupBy("bucket", "slot").agg(F.max("doc_id").alias("newest"), F.count(F.lit(1)).alias("more"))
-    members = found.filter("slot is not null").join(news, ["bucket", "slot"], "left")
+    members = found.filter("slot is not null").join(cut(news), ["bucket", "slot"], "left")
     members = members.select("doc_id", "digest", F.greatest("winner", "newest").alias("keep_id"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("group_size"))
     alone = found.filter("slot is null").select("doc_id", "digest")
-    others = alone.join(history_of(alone), "digest").select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("size").alias("group_size"))
+    others = alone.join(cut(history_of(alone)), "digest").select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("size").alias("group_size"))
     return members.unionByName(others).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()))

@@ -2,7 +2,8 @@
 
 A linear softmax over the mean of hashed letter n-gram vectors is trained by
 stochastic gradient descent on a bounded sample of labelled rows, calibrated by
-a temperature on a fifth of them, and rejects what it isn't sure of.
+a temperature on a fifth of them, and rejects what it isn't sure of or what has
+too many n-grams that it hasn't learned from.
 
 The sample takes of each language the rows whose hashes of doc_id and text are
 smallest: ROWS_PER_LANGUAGE, or fewer if MOST_ROWS shared over all languages are
@@ -71,11 +72,13 @@ def predict(column: pa.Array, model: Classifier) -> tuple[list[str], np.ndarray,
         some[k] = LETTER.search(raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")) is not None
     if not model.classes:
         return ["und"] * n, np.zeros(n), np.ones(n, bool)
-    p = model.probabilities(model.logits(raw, offsets, letter_features(len(model.scores[0]))))
+    # the share of known features is one more mean beside the classes'
+    means, count = model.means(raw, offsets, letter_features(len(model.scores[0])), np.vstack((model.scores, model.seen.astype(np.float32))))
+    p = model.probabilities(means[:, :-1] + model.bias)
     best = p.argmax(1)
     score = np.where(some, p[np.arange(n), best], 0.0)
     langs = [model.classes[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)]
-    return langs, score, ~some | (score < model.least)
+    return langs, score, ~some | (score < model.least) | (count > 0) & (means[:, -1] < model.least_seen)
 
 
 def identify(docs: DataFrame, model: Classifier, keep: list[str] | None = None) -> DataFrame:

@@ -203,7 +203,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     found = cut_free(_neighbourhood(docs, wanted).dropDuplicates(["id"]))
     variants = found.select(F.struct("place", "part", "line_no", "id").alias("me"), "h", F.posexplode("variants").alias("at", "key"))
     groups = variants.groupBy("key", "at").agg(F.min("me").alias("first"), F.max("me").alias("last")).filter("first <> last").select("key", "at", "first")
-    exchanged = variants.join(groups, ["key", "at"]).filter("me <> first").select("me.id", F.col("first.id").alias("other"))
+    exchanged = variants.join(cut(groups), ["key", "at"]).filter("me <> first").select("me.id", F.col("first.id").alias("other"))
     lines = found.select(F.col("h").alias("key"), F.struct("place", "part", "line_no", "id").alias("line"))
     put_in = variants.join(lines, "key").filter("me.id <> line.id").select(F.greatest("me", "line").alias("a"), F.least("me", "line").alias("b")).select("a.id", F.col("b.id").alias("other"))
     return _verified(exchanged.unionByName(put_in).distinct(), found.select("id", "words"))

@@ -83,13 +83,20 @@ def text_features(buckets: int) -> Features:
 
 @dataclass
 class Classifier:
-    """Class names, a score for each class and feature, the classes' biases, and the temperature that calibrates."""
+    """Class names, a score for each class and feature, the classes' biases, and the temperature that calibrates.
+
+    ``seen`` tells the features that were learned from; ``least`` and
+    ``least_seen`` are the confidence and the share of such features below which
+    a text is none of the classes.
+    """
 
     classes: list
     scores: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0
+    seen: np.ndarray | None = None
+    least_seen: float = 0.0
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -98,16 +105,20 @@ class Classifier:
 
     def logits(self, raw: np.ndarray, offsets: np.ndarray, features: Features) -> np.ndarray:
         """Mean class scores of each text's features, plus the bias; every byte of every text counts."""
+        return self.means(raw, offsets, features, self.scores)[0] + self.bias
+
+    def means(self, raw: np.ndarray, offsets: np.ndarray, features: Features, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean of each row of ``scores`` over each text's features, and their number."""
         n = len(offsets) - 1
-        total, count = np.zeros((n, len(self.classes))), np.zeros(n)
+        total, count = np.zeros((n, len(scores))), np.zeros(n)
         for ids, at in features(raw, offsets):
             cuts = np.searchsorted(at, offsets)
             some = np.flatnonzero(np.diff(cuts))
             if len(some):
-                for c in range(len(self.classes)):
-                    total[some, c] += np.add.reduceat(self.scores[c][ids], cuts[some], dtype=np.float64)
+                for c in range(len(scores)):
+                    total[some, c] += np.add.reduceat(scores[c][ids], cuts[some], dtype=np.float64)
                 count[some] += np.diff(cuts)[some]
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        return total / np.maximum(count, 1)[:, None], count
 
 
 def collect_features(rows: DataFrame, features: Callable[[], Features], label: str) -> list[tuple[object, np.ndarray, np.ndarray]]:
@@ -132,7 +143,7 @@ def collect_features(rows: DataFrame, features: Callable[[], Features], label: s
 
 
 def fit(rows: list[tuple[object, np.ndarray, np.ndarray]], buckets: int, width: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7, reject_share: float = 0.001, most_reject: float = 0.5) -> Classifier:
-    """Train on four fifths of the rows; the rest sets the temperature, and the confidence that only ``reject_share`` of them fall below (at most ``most_reject``)."""
+    """Train on four fifths of the rows; the rest sets the temperature, the confidence that only ``reject_share`` of them fall below (at most ``most_reject``), and four fifths of the least share of features known that one of them has."""
     classes = sorted({y for y, _, _ in rows})
     if not classes:
         return Classifier([], np.zeros((0, buckets), np.float32), np.zeros(0))
@@ -161,7 +172,10 @@ def fit(rows: list[tuple[object, np.ndarray, np.ndarray]], buckets: int, width:
             bias -= step * error
             # a feature's share is small, so its vector takes a step as large as the mean's
             vectors[ids] -= (step * 20 * shares)[:, None] * back
-    model = Classifier(classes, np.ascontiguousarray((vectors @ weights).T), bias.astype(np.float64))
+    seen = np.zeros(buckets, bool)
+    for k in train:
+        seen[rows[k][1]] = True
+    model = Classifier(classes, np.ascontiguousarray((vectors @ weights).T), bias.astype(np.float64), seen=seen)
     if len(held):
         logits = np.array([(model.scores[:, ids] @ shares if len(ids) else 0) + model.bias for _, ids, shares in (rows[k] for k in held)])
         truth = np.array([number[rows[k][0]] for k in held])
@@ -173,4 +187,5 @@ def fit(rows: list[tuple[object, np.ndarray, np.ndarray]], buckets: int, width:
         model.temperature = min(np.geomspace(0.05, 20, 60), key=loss)
         best = model.probabilities(logits).max(1)
         model.least = float(min(most_reject, np.quantile(best, reject_share)))
+        model.least_seen = 0.8 * min(float(shares @ seen[ids]) for _, ids, shares in (rows[k] for k in held) if len(ids))
     return model

@@ -122,6 +122,18 @@ def op8(docs):
     return out
 
 
+def op8_spans(text, kinds, scope):
+    """All spans as text, by looking at every pair of parts."""
+    parts = []
+    for number, (name, pattern, group, least, what, strong) in enumerate(kinds):
+        parts += [(m.start(), number, m.end(), name, what, strong) for m in re.finditer(pattern, text or "", re.ASCII) if len(m[group]) >= least]
+    close = lambda a, b: max(b[0] - a[2], a[0] - b[2]) <= scope
+    near = lambda p, what: any(q[4] == what and close(p, q) for q in parts if q is not p)
+    needs = {"identifier": ["secret"], "secret": ["identifier"], "endpoint": ["identifier", "secret"]}
+    kept = [p for p in parts if p[5] or all(near(p, what) for what in needs[p[4]])]
+    return ",".join(f"{p[3]}:{p[0]}:{p[2]}" for p in sorted(kept))
+
+
 def op9(docs, templates, anchors, window_of):
     """Licenses by every window that holds an anchor word, without min-hashes."""
     shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}

@@ -18,3 +18,23 @@ def test_equal_rows_count_once(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     langid.train(docs, held_out=9, rows_per_language=40)
     assert sorted(r.lang for r in seen) == ["a"] + ["b"] * 40
+
+
+FOREIGN = [
+    "Это обычный русский текст о погоде и о жизни в большом городе, где люди спешат на работу",
+    "Αυτό είναι ένα απλό κείμενο στα ελληνικά για τον καιρό και τη ζωή",
+    "これは日本語の文章です。天気と生活について書いています。",
+    "Źródło wiedzy leży w książkach, które czytamy wieczorami przy świetle lampy",
+    "Tämä on tavallinen suomenkielinen teksti säästä ja elämästä suuressa kaupungissa",
+    "qxzv kwbc dfgh jzxq vvkw zzqj xkcd wqxz bcdf ghjk zxcv qwkj",
+]
+
+
+def test_rejects_foreign_text(spark):
+    """Other languages and noise go, held-out documents of the learned languages stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs)
+    others = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(FOREIGN)], "doc_id long, text string")
+    assert all(r.rejected for r in langid.identify(others, model).collect())
+    known = langid.identify(docs.filter(langid.fold(docs["doc_id"], 4) == 2).filter("text rlike '[a-z]{3}'"), model)
+    assert known.filter("rejected").count() <= 0.005 * known.count()

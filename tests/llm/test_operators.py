@@ -6,8 +6,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, decontaminate, exact_dedup, langid, licenses, line_dedup, queries, simhash, subwords, token_store
+from fernweave.llm import bpe, decontaminate, exact_dedup, langid, licenses, line_dedup, queries, secrets, simhash, subwords, token_store
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.001"
@@ -227,6 +228,15 @@ def test_op8_links(spark):
     assert rows == {1: "account:0:14,key:15:55", 2: "", 3: "", 4: "account:0:14,key:15:55,endpoint:56:78", 5: "", 6: "assign:3:28", 7: ""}
 
 
+def test_op8_links_against_brute_force(spark):
+    rng = random.Random(12)
+    parts = ["password: 'abcdefgh12345678'", "token=" + "Z" * 30, "AKIA" + "ABCDEFGHIJ123456", "deadbeef" * 3, "user: someone", "login=me.too@example", "A1" + "b" * 38, "https://example.com/" + "p" * 300, "http://h.example:8080", "secret=short", "user = ab"]
+    docs = [(k, "".join(rng.choice(parts) + rng.choice([" ", "\n", " é " + "x " * rng.choice([5, 60, 95, 99, 101, 120])]) for _ in range(rng.randint(0, 9)))) for k in range(300)]
+    docs += pairs(spark, SMALL)
+    found = secrets.find_spans(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", secrets.as_text(F.col("spans")).alias("spans"))
+    assert Counter(tuple(r) for r in found.collect()) == Counter((d, brute.op8_spans(t, secrets.KINDS, secrets.SCOPE)) for d, t in docs)
+
+
 def test_op9(spark):
     rows = {r.doc_id: r for r in Q["op9_licenses"](spark, "/root/testdata/sf0.01").collect()}
     names = {"Apache License, Version 2.0": "apache-2.0", "the MIT License": "mit", "General Public License, version 3": "gpl-3.0", "CC BY-NC 4.0": "cc-by-nc-4.0"}
