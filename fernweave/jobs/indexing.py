@@ -119,7 +119,7 @@ def decode_files(spark, sf_dir):
     return files.select("doc_id", F.md5(F.col("f.text").cast("binary")).alias("text_md5"), "f.status")
 
 
-@query(f"""WITH {_WATCH}, f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
+@query(f"""WITH {_WATCH}, f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS k FROM f)
 SELECT path, min(ts) AS started, count(*) AS n_events, last(action ORDER BY ts, event_id) AS last_action FROM g GROUP BY path, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e)""")
 def events_settled_stream(spark, sf_dir):

@@ -117,8 +117,8 @@ n AS (SELECT *, lag(action) OVER w AS last_action, lag(path) OVER w AS last_path
 p AS (SELECT event_id, ts, path, 'renamed' AS action, CASE WHEN last_action = 'renamed_old' THEN last_path END AS old_path FROM n WHERE action = 'renamed_new'
  UNION ALL SELECT event_id, ts, path, action, NULL FROM r WHERE action NOT LIKE 'renamed%')"""
 _COALESCED = _REPORTS + """, f AS (SELECT *, lag(ts) OVER w AS last_ts, lag(action) OVER w AS before FROM p WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
-g AS (SELECT *, sum(CASE WHEN ts - last_ts < INTERVAL 1 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY ts, event_id) AS k FROM f),
-b AS (SELECT path, CASE WHEN last(action ORDER BY ts, event_id) IN ('modified', 'added') AND last(before ORDER BY ts, event_id) = 'removed' AND last(ts - last_ts < INTERVAL 1 HOUR ORDER BY ts, event_id) THEN 'added' ELSE last(action ORDER BY ts, event_id) END AS action,
+g AS (SELECT *, sum(CASE WHEN ts - last_ts <= INTERVAL 1 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY ts, event_id) AS k FROM f),
+b AS (SELECT path, CASE WHEN last(action ORDER BY ts, event_id) IN ('modified', 'added') AND last(before ORDER BY ts, event_id) = 'removed' AND last(ts - last_ts <= INTERVAL 1 HOUR ORDER BY ts, event_id) THEN 'added' ELSE last(action ORDER BY ts, event_id) END AS action,
  last(old_path ORDER BY ts, event_id) FILTER (old_path IS NOT NULL) AS old_path, epoch_us(min(ts)) AS started, count(*) AS n_events, max(ts) AS ended FROM g GROUP BY path, k)"""
 
 

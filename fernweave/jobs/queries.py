@@ -333,7 +333,7 @@ def error_retention(spark, sf_dir):
 _WATCH = "e AS (SELECT event_id, ts, '/watched/' || user_id AS path, CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'removed' WHEN 'purchase' THEN 'renamed' ELSE 'modified' END AS action FROM events)"
 
 
-@query(f"""WITH {_WATCH}, f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
+@query(f"""WITH {_WATCH}, f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS k FROM f)
 SELECT path, min(ts) AS started, count(*) AS n_events, last(action ORDER BY ts, event_id) AS last_action FROM g GROUP BY path, k""")
 def events_settled(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Change capture: settle windows, throughput and a stateful job queue."""
+"""Change capture: settle windows, throughput, and what a path's changes come to."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def settled(events: DataFrame, quiet: str = "1 hour") -> DataFrame:
-    """Bursts of one path with no gap of ``quiet`` or more: their bounds, size and last action. Works on a stream after a watermark."""
+    """Bursts of one path with no gap of over ``quiet``: their bounds, size and last action. Works on a stream after a watermark."""
     return (
         events.groupBy("path", F.session_window("ts", quiet).alias("w"))
         .agg(F.count(F.lit(1)).alias("n_events"), F.max_by("action", F.struct("ts", "event_id")).alias("last_action"))

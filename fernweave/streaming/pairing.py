@@ -2,7 +2,7 @@
 
 A report of a new name belongs to the last old name that its root reported and
 no other new name has taken; an old name alone says nothing. Changes of a path
-with less than ``quiet`` between them are one burst: its action is the last
+with no more than ``quiet`` between them are one burst: its action is the last
 one's, but what comes back right after it was removed counts as added, and the
 last old path is kept.
 """
@@ -42,7 +42,7 @@ def paired(reports: DataFrame) -> DataFrame:
 def coalesced(changes: DataFrame, quiet: str = "1 hour") -> DataFrame:
     """path, action, old_path, started and n_events of each burst of ``changes`` (event_id, ts, path, action, old_path)."""
     before = Window.partitionBy("path").orderBy("ts", "event_id")
-    again = F.col("action").isin("modified", "added") & (F.lag("action").over(before) == "removed") & (F.lag("ts").over(before) + F.expr(f"interval {quiet}") > F.col("ts"))
+    again = F.col("action").isin("modified", "added") & (F.lag("action").over(before) == "removed") & (F.lag("ts").over(before) + F.expr(f"interval {quiet}") >= F.col("ts"))
     at = F.struct("ts", "event_id")
     marked = changes.withColumn("action", F.when(again, "added").otherwise(F.col("action")))
     bursts = marked.groupBy("path", F.session_window("ts", quiet).alias("w")).agg(F.max_by("action", at).alias("action"), F.max_by("old_path", F.when(F.col("old_path").isNotNull(), at)).alias("old_path"), F.count(F.lit(1)).alias("n_events"))
@@ -88,7 +88,7 @@ def coalesced_stream(spark: SparkSession, reports_path: str, folder: str, quiet:
             held = None
         else:
             for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples(index=False):
-                if held and r.ts - pd.Timestamp(held[3]) >= quiet:
+                if held and r.ts - pd.Timestamp(held[3]) > quiet:
                     done.append((key[0], *held[:3], held[4]))
                     held = None
                 back = held and held[0] == "removed" and r.action in ("modified", "added")

@@ -70,7 +70,7 @@ def plain_bursts(reports, quiet):
     held, done = {}, []
     for ts, _, path, action, was in changes:
         burst = held.get(path)
-        if burst and ts - burst[3] >= quiet:
+        if burst and ts - burst[3] > quiet:
             done.append((path, *burst[:3], burst[4]))
             burst = None
         if burst and burst[0] == "removed" and action in ("modified", "added"):
