@@ -46,6 +46,15 @@ def cut_free(df: DataFrame) -> DataFrame:
     return out
 
 
+def side(df: DataFrame, write: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """A written table to be joined to rows that a hot key may hold many of.
+
+    It grows with the input, so it is merged at every size and never broadcast;
+    as both sides of the join are plain shuffles, adaptive execution can split the key.
+    """
+    return write(df).hint("merge")
+
+
 class Memo(dict):
     """A dict that computes missing values and holds at most two generations of ``limit`` entries."""
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text_columns
+from .common import cut, id_text_columns, side
 
 #: Distinct digests a bucket holds on average, and rows one copy of a bucket answers.
 BUCKET_DIGESTS = 4_000
@@ -180,8 +180,8 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     copies = cut(load.select("bucket", F.greatest(F.lit(1), F.ceil(F.col("rows") / BUCKET_ROWS)).cast("int").alias("n_copies")))
     found = cut(look_up(rows, build_index(history, buckets, copies), copies, buckets))
     news = found.filter("slot is not null and fresh").groupBy("bucket", "slot").agg(F.max("doc_id").alias("newest"), F.count(F.lit(1)).alias("more"))
-    members = found.filter("slot is not null").join(cut(news), ["bucket", "slot"], "left")
+    members = found.filter("slot is not null").join(side(news), ["bucket", "slot"], "left")
     members = members.select("doc_id", "digest", F.greatest("winner", "newest").alias("keep_id"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("group_size"))
     alone = found.filter("slot is null").select("doc_id", "digest")
-    others = alone.join(cut(history_of(alone)), "digest").select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("size").alias("group_size"))
+    others = alone.join(side(history_of(alone)), "digest").select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("size").alias("group_size"))
     return members.unionByName(others).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, beside, byte_view, cut, cut_free, list_array, mix, small_batches, span_hashes, spans_of
+from .common import LOWER, beside, byte_view, cut, cut_free, list_array, mix, side, small_batches, span_hashes, spans_of
 
 NEAR_WORDS = 8
 LAST = (1 << 63) - 1
@@ -197,13 +197,13 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """id of the distinct lines (h, first = struct(place, part, line_no), halves) that have an earlier line within one edit."""
     keys = distinct.select("h", F.explode("halves").alias("key"))
-    shared = cut_free(keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("key"))
-    going_on = cut_free(keys.join(shared, "key").select("h").distinct())
+    shared = side(keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("key"), cut_free)
+    going_on = side(keys.join(shared, "key").select("h").distinct(), cut_free)
     wanted = distinct.join(going_on, "h").select("first.place", "first.part", "first.line_no")
     found = cut_free(_neighbourhood(docs, wanted).dropDuplicates(["id"]))
     variants = found.select(F.struct("place", "part", "line_no", "id").alias("me"), "h", F.posexplode("variants").alias("at", "key"))
     groups = variants.groupBy("key", "at").agg(F.min("me").alias("first"), F.max("me").alias("last")).filter("first <> last").select("key", "at", "first")
-    exchanged = variants.join(cut(groups), ["key", "at"]).filter("me <> first").select("me.id", F.col("first.id").alias("other"))
+    exchanged = variants.join(side(groups), ["key", "at"]).filter("me <> first").select("me.id", F.col("first.id").alias("other"))
     lines = found.select(F.col("h").alias("key"), F.struct("place", "part", "line_no", "id").alias("line"))
     put_in = variants.join(lines, "key").filter("me.id <> line.id").select(F.greatest("me", "line").alias("a"), F.least("me", "line").alias("b")).select("a.id", F.col("b.id").alias("other"))
     return _verified(exchanged.unionByName(put_in).distinct(), found.select("id", "words"))
@@ -214,7 +214,7 @@ def removals(docs: DataFrame) -> DataFrame:
     lines = cut(line_table(docs))
     distinct = cut_free(lines.groupBy("id").agg(F.min(F.struct("place", "part", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("h").alias("h"), F.first("halves").alias("halves")))
     near = near_lines(docs, distinct.filter(F.size("halves") > 0).select("h", "first", "halves"))
-    judged = cut_free(distinct.select("id", "first", "n").join(near.withColumn("near", F.lit(True)), "id", "left").filter("near or n > 1").select("id", "first", "near"))
+    judged = side(distinct.select("id", "first", "n").join(near.withColumn("near", F.lit(True)), "id", "left").filter("near or n > 1").select("id", "first", "near"), cut_free)
     gone = lines.select("place", "part", "line_no", "id").join(judged, "id").filter(F.expr("coalesce(near, false) or place <> first.place or part <> first.part or line_no <> first.line_no"))
     return cut_free(gone.groupBy("place", "part").agg(F.collect_set("line_no").alias("gone")))
 

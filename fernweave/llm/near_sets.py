@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import beside, cut, mix, small_batches
+from .common import beside, cut, mix, side, small_batches
 from .simhash import components, fingerprint_of, links, shingle_hashes
 
 #: Least Jaccard similarity, in hundredths.
@@ -93,7 +93,7 @@ def _sets(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 def _shared(keyed: DataFrame) -> DataFrame:
     """The rows whose key two and more nodes have, with that number."""
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    return cut(keyed.join(cut(counts), "key"))
+    return cut(keyed.join(side(counts), "key"))
 
 
 def _fits() -> Column:
@@ -117,7 +117,7 @@ def _rare(sets: DataFrame) -> DataFrame:
     counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     node = Window.partitionBy("node")
     after = F.count(F.lit(1)).over(node) - F.row_number().over(node.orderBy("df", "key"))
-    return each.join(cut(counts), "key").select("node", "n", "key", after.alias("after")).filter(F.expr(f"after >= ({PERCENT} * n + 99) div 100 - 1"))
+    return each.join(side(counts), "key").select("node", "n", "key", after.alias("after")).filter(F.expr(f"after >= ({PERCENT} * n + 99) div 100 - 1"))
 
 
 def _starred(crowded: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def _outside(crowded: DataFrame, found: DataFrame) -> DataFrame:
     sizes = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"))
     core = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("core"), F.min("least").alias("least")).select("key", F.col("core.root").alias("core"), "least")
     able = (100 + PERCENT) * (1 + F.col("after")) >= PERCENT * (F.col("n") + F.col("least"))
-    others = cut(known.join(cut(core), "key").filter(F.expr("root <> core") & able).select("key", "node", "n", "after", "root"))
+    others = cut(known.join(side(core), "key").filter(F.expr("root <> core") & able).select("key", "node", "n", "after", "root"))
     pairs = _side(known, "a", "root").join(_side(others, "b", "root"), "key").filter(F.expr("root_a <> root_b") & _fits())
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
@@ -178,7 +178,7 @@ def groups(rows: DataFrame, words: int, most: int) -> DataFrame:
     roots = components(found)
     known = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     member = cut(signed.select("row", "doc_id", "digest").join(known, "digest"))
-    heads = cut(member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("head")))
+    heads = side(member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("head")))
     return member.join(heads, "root").select("row", "doc_id", F.col("head.row").alias("head"))
 
 

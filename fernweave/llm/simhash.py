@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, id_text_columns
+from .common import cut, id_text_columns, side
 
 #: A key with more distinct fingerprints than this is linked through halfway points.
 HOT = 128
@@ -129,7 +129,7 @@ def links(fps: DataFrame, most: int) -> DataFrame:
     ring = Ring(most)
     keyed = fps.select("fp", F.explode(ring.keys(F.col("fp"))).alias("k")).select("fp", "k.*")
     shared = keyed.groupBy("start", "mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    keyed = cut(keyed.join(cut(shared), ["start", "mask", "key"]))
+    keyed = cut(keyed.join(side(shared), ["start", "mask", "key"]))
     cold = keyed.filter(F.col("n") <= HOT)
     a = cold.select("start", "mask", "key", F.col("fp").alias("a"))
     b = cold.select("start", "mask", "key", F.col("fp").alias("b"))
@@ -158,9 +158,9 @@ def components(edges: DataFrame) -> DataFrame:
             return stars.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(stars.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
         before = mark
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        least = side(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
-        least = cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        least = side(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct("hi", "m"), F.struct(F.col("lo").alias("hi"), "m"))).alias("e")).select(F.col("e.hi").alias("hi"), F.col("e.m").alias("lo"))
         stars = cut(small.filter("hi <> lo").distinct())
 
