@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import extract
 from ..functions import text as T
 from ..operators import fusion, lexical, maintenance, scope, vectors
 from ..sources.corpus import corpus, table
@@ -141,3 +142,30 @@ def unchanged_files(spark, sf_dir):
     status = F.when(F.col("doc_id") % 4 == 0, "missing").when(F.col("doc_id") % 4 == 1, "error").otherwise("ok")
     was = F.when(F.col("size") % 3 == 0, F.col("size") - 1).otherwise(F.col("size"))
     return docs.select("doc_id", maintenance.unchanged(F.col("size"), F.col("mtime"), was, F.col("mtime"), status, F.col("mtime"), 1.7e9 + 500 + 86_400).alias("settled"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, string_split(text, chr(10)) AS lines FROM documents),
+b AS (SELECT doc_id, i, lines[i] AS part, coalesce(sum(length(lines[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+SELECT doc_id, md5(substr(string_agg(substr(part, 1, (500 - before)::BIGINT), chr(10) || chr(10) ORDER BY i) FILTER (before < 500), 1, 500)) AS text_md5, bool_or(before >= 500 OR before + length(part) > 500) AS truncated FROM b GROUP BY doc_id""")
+def budgeted_text(spark, sf_dir):
+    """The first 500 characters of every document's lines, and whether there was more."""
+    found = extract.collected(_line_texts(spark, sf_dir), 500)
+    return found.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "truncated")
+
+
+_VISIBLE = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN replace(html, 'article', 'section') WHEN page_id % 9 = 1 THEN '<article> <b></b></article>' ELSE html END AS html FROM pages),
+t AS (SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<article') THEN {_VISIBLE.format("regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1)")} END AS a, {_VISIBLE.format("html")} AS v FROM p)
+SELECT page_id, CASE WHEN page_id % 50 = 7 THEN 'denied' WHEN a <> '' OR v <> '' THEN 'ok' ELSE 'empty' END AS status, CASE WHEN page_id % 50 = 7 THEN 'none' WHEN a <> '' THEN 'article' ELSE 'page' END AS extractor,
+ CASE WHEN page_id % 50 = 7 THEN '' WHEN a IS NULL THEN 'article error,' WHEN a = '' THEN 'article empty,' ELSE 'article ok' END || CASE WHEN page_id % 50 = 7 OR a <> '' THEN '' WHEN v <> '' THEN 'page ok' ELSE 'page empty' END AS attempts,
+ md5(CASE WHEN page_id % 50 = 7 THEN '' ELSE coalesce(nullif(a, ''), v) END) AS text_md5 FROM t""")
+def page_extraction(spark, sf_dir):
+    """Pages' text by their article or else whole; every fourth has none, some are blank, every fiftieth may not be read."""
+    html = F.when(F.col("page_id") % 4 == 0, F.replace("html", F.lit("article"), F.lit("section"))).when(F.col("page_id") % 9 == 1, "<article> <b></b></article>").otherwise(F.col("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    found = extract.chain([("article", extract.article(F.col("html"))), ("page", T.html_text(F.col("html")))], F.when(F.col("page_id") % 50 == 7, "denied"))
+    rows = pages.select("page_id", found.alias("f"))
+    tried = F.array_join(F.transform("f.attempts", lambda a: F.concat_ws(" ", a["extractor"], a["status"])), ",")
+    return rows.select("page_id", "f.status", "f.extractor", tried.alias("attempts"), F.md5(F.col("f.text").cast("binary")).alias("text_md5"))
