@@ -73,7 +73,7 @@ def predict(column: pa.Array, model: Classifier) -> tuple[list[str], np.ndarray,
     if not model.classes:
         return ["und"] * n, np.zeros(n), np.ones(n, bool)
     # the share of known features is one more mean beside the classes'
-    means, count = model.means(raw, offsets, letter_features(len(model.scores[0])), np.vstack((model.scores, model.seen.astype(np.float32))))
+    means, count = model.means(raw, offsets, letter_features(len(model.scores[0])), np.vstack((model.scores, np.ones_like(model.scores[:1]) if model.seen is None else model.seen.astype(np.float32))))
     p = model.probabilities(means[:, :-1] + model.bias)
     best = p.argmax(1)
     score = np.where(some, p[np.arange(n), best], 0.0)

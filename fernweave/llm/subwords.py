@@ -85,7 +85,7 @@ def text_features(buckets: int) -> Features:
 class Classifier:
     """Class names, a score for each class and feature, the classes' biases, and the temperature that calibrates.
 
-    ``seen`` tells the features that were learned from; ``least`` and
+    ``seen`` tells the features that were learned from (None: all); ``least`` and
     ``least_seen`` are the confidence and the share of such features below which
     a text is none of the classes.
     """
