@@ -168,7 +168,7 @@ def _neighbourhood(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array([x[of[k][0]] for k in good], pa.int64()) for x in (place, part)), pa.array([of[k][1] for k in good], pa.int32()), lines.identities(good), pa.array(lines.hashes(good).view(np.int64)), words, variants], ["place", "part", "line_no", "id", "h", "words", "variants"])
 
     texts = docs.select("__place", "__part", F.col("text").cast("string").alias("text")).toDF("place", "part", "text")
-    return texts.join(by_text, ["place", "part"]).mapInArrow(run, "place long, part long, line_no int, id binary, h long, words array<long>, variants array<long>")
+    return texts.join(by_text.hint("merge"), ["place", "part"]).mapInArrow(run, "place long, part long, line_no int, id binary, h long, words array<long>, variants array<long>")
 
 
 def within_one(a: np.ndarray, b: np.ndarray) -> bool:
@@ -216,7 +216,7 @@ def removals(docs: DataFrame) -> DataFrame:
     near = near_lines(docs, distinct.filter(F.size("halves") > 0).select("h", "first", "halves"))
     judged = side(distinct.select("id", "first", "n").join(near.withColumn("near", F.lit(True)), "id", "left").filter("near or n > 1").select("id", "first", "near"), cut_free)
     gone = lines.select("place", "part", "line_no", "id").join(judged, "id").filter(F.expr("coalesce(near, false) or place <> first.place or part <> first.part or line_no <> first.line_no"))
-    return cut_free(gone.groupBy("place", "part").agg(F.collect_set("line_no").alias("gone")))
+    return side(gone.groupBy("place", "part").agg(F.collect_set("line_no").alias("gone")), cut_free)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
