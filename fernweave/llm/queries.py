@@ -1,13 +1,16 @@
-"""Queries of the ten operators over whole tables, and SQL for those that SQL can express."""
+"""Queries of the operators over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, licenses, line_dedup, quality, secrets, simhash, token_store
+from . import bpe, decontaminate, exact_dedup, langid, licenses, line_dedup, quality, ranked, runs, secrets, sharding, simhash, token_store
+from .common import id_text_columns, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +72,57 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The contract's table of operator 11: of a tenth of the documents, by a hash of doc_id, the words repeat with a period from some place on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            texts = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                h = zlib.crc32(str(doc).encode()) if doc is not None else 1
+                if h % 10:
+                    texts.append(text.as_py())
+                    continue
+                words = (text.as_py() or b"").split()
+                n, g = len(words), h // 10
+                if n:
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    words[a:] = [words[a + k % p] for k in range(n - a)]
+                texts.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+
+    return id_text_columns(docs).mapInArrow(run, "doc_id long, text string")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_periods(_table(spark, sf_dir, "documents")))
+    # a over b is greater than c over d where a * d is greater than c * b
+    ahead = lambda x, y: (x["length"] * y["period"] > y["length"] * x["period"])
+    most = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(ahead(r, best), r).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    found = found.withColumn("most", most)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"most.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * most.length div most.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_exact_dedup, op3_decontamination, op4_token_store, op5_language_id, op6_line_dedup, op7_quality, op8_secrets, op9_licenses, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_exact_dedup, op3_decontamination, op4_token_store, op5_language_id, op6_line_dedup, op7_quality, op8_secrets, op9_licenses, op10_simhash, op11_periodic_runs, op12_sharding, op13_ranked_search)}
 
 
 #: Lower-casing of A-Z alone.
@@ -97,5 +149,18 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT count(*)::BIGINT AS many, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(many) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY term),
+x AS (SELECT item_id, r, doc_id, sum(qtf * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * many) // total))))::BIGINT AS score
+      FROM p JOIN f USING (term) JOIN q USING (term), s GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op3_decontamination": OP3_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op13_ranked_search": OP13_SQL}

@@ -182,3 +182,70 @@ def linked(fps, most):
 
 def op10(docs):
     return [(d, f"{f:016x}", c) for d, f, c in linked([(d, fingerprint(t)) for d, t in docs], 2)]
+
+
+WHITE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def runs_of(words, least=24, times=3):
+    """(start, length, period) of all runs, by comparing words at every distance."""
+    n, out = len(words), []
+    for q in range(1, n // times + 1):
+        i = q
+        while i < n:
+            if words[i] != words[i - q]:
+                i += 1
+                continue
+            start = i - q
+            while i < n and words[i] == words[i - q]:
+                i += 1
+            stretch = words[start:i]
+            smaller = any(all(stretch[k] == stretch[k - d] for k in range(d, len(stretch))) for d in range(1, q))
+            if len(stretch) >= max(least, times * q) and not smaller:
+                out.append((start, len(stretch), q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def op11(docs):
+    out = []
+    for d, text in docs:
+        words = WHITE.findall(text or "")
+        n = len(words)
+        h = zlib.crc32(str(d).encode()) if d is not None else 1
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        found = runs_of(words)
+        best = None
+        for r in found:
+            if best is None or r[1] * best[2] > best[1] * r[2]:
+                best = r
+        gone = {i for s, m, q in found for i in range(s + q, s + m)}
+        left = " ".join(w for i, w in enumerate(words) if i not in gone)
+        milli = 1000 * best[1] // best[2] if best else None
+        out.append((d, len(found), *(best or (None, None, None)), milli, sha("".join(f"{s},{m},{q}\n" for s, m, q in found)), sha(left)))
+    return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def op13(docs, items, k=20):
+    import math
+
+    held = [(d, Counter(TERM.findall(low(t)))) for d, t in docs]
+    held = [(d, c, c.total()) for d, c in held if c]
+    many, total = len(held), sum(n for *_, n in held)
+    df = Counter(t for _, c, _ in held for t in c)
+    out = []
+    for i, text in set(items):
+        scored = []
+        for d, c, n in held:
+            m = 75 + 25 * n * many // total
+            score = sum(math.floor(1000 * math.log((2 * many + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 12 * m)) for t in TERM.findall(low(text)) if t in c)
+            if score > 0:
+                scored.append((-score, d is None, d or 0, d))
+        out += [(i, rank, d, -s) for rank, (s, _, _, d) in enumerate(sorted(scored, key=lambda x: x[:3])[:k], 1)]
+    return out
