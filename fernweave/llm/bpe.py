@@ -9,12 +9,14 @@ moment. Copies are kept as (original, time of copying), so the automaton takes
 memory in proportion to the merge list. Each byte string is spelled by exactly
 one path, which is its BPE encoding; decoding emits the labels of the arcs.
 
-Encoding reads all pieces of a batch side by side, once, byte by byte, over
-tables compiled from that automaton: ``step`` (a row a prefix of a label, a column
-a byte) leads on, ``longest`` and ``shorter`` name the arcs that end here, and
-``follows`` is the automaton's transition from the state at an arc's beginning.
-Just one arc ends at each byte whose beginning lets it follow, as the path of
-every prefix is unique, so nothing is tried twice and nothing is taken back.
+Encoding reads all pieces of a batch side by side, byte by byte, over tables
+compiled from that automaton: ``step`` (a row a prefix of a label, a column a
+byte) leads on, ``longest`` and ``shorter`` name the arcs that end here, and
+``follows`` is the automaton's transition from the state at an arc's beginning,
+worked out when it is first met. At each byte the arcs that end there are tried,
+longest first; just one has a beginning that lets it follow, as the path of every
+prefix is unique, so nothing is taken back. Pieces over LONG bytes are read one
+by one in the same way, since there are too few to read side by side.
 
 Results for odd input: a null or empty text has no tokens and decodes to "";
 special strings of the tokenizer file become their own ids as in the library;
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,6 +46,8 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 #: Transitions that are held at once, and bytes of pieces that are read side by side.
 SLOTS, CELLS = 1 << 20, 1 << 20
+#: Bytes over which a piece is read by itself.
+LONG = 256
 #: Two characters of white space in a row, as RE2 has it.
 SPACES = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]{2}"
 
@@ -139,6 +144,9 @@ class MergeAutomaton:
         for label, t in self.arcs.items():
             self.shorter[t] = self.longest[back[home[t]]]
             self.size[t] = len(label)
+        # numbers of the tables one by one, for long pieces
+        self.flat_step, self.flat_longest, self.flat_shorter, self.flat_size = (memoryview(np.ascontiguousarray(x).reshape(-1)) for x in (self.step, self.longest, self.shorter, self.size))
+        self.arc_after = Memo(lambda pair: self._has_arc(pair >> 32, pair & 0xFFFFFFFF), SLOTS)
         self.known = np.full(SLOTS, -1, np.int64)
         self.holds = np.zeros(SLOTS, bool)
 
@@ -163,6 +171,10 @@ class MergeAutomaton:
         lengths = np.array([len(p) for p in pieces], np.int64)
         order = np.argsort(-lengths, kind="stable")
         order = order[lengths[order] > 0]
+        n_long = int(np.searchsorted(-lengths[order], -LONG, "left"))
+        for k in order[:n_long].tolist():
+            out[k] = self._path(pieces[k])
+        order = order[n_long:]
         # pieces of about one length go together, so that the table of states stays small
         at = 0
         while at < len(order):
@@ -173,6 +185,30 @@ class MergeAutomaton:
             at += room
         return out
 
+    def _path(self, piece: bytes) -> bytes:
+        """``encode`` of one long piece."""
+        step, longest, shorter, size, arc_after = self.flat_step, self.flat_longest, self.flat_shorter, self.flat_size, self.arc_after
+        arcs = array("i", bytes(4 * (len(piece) + 1)))
+        node = 0
+        for end, byte in enumerate(piece, 1):
+            node = step[node << 8 | byte]
+            arc = longest[node]
+            while arc >= 0:
+                begin = end - size[arc]
+                if begin == 0 or arc_after[arcs[begin] << 32 | arc]:
+                    break
+                arc = shorter[arc]
+            else:
+                raise ValueError(f"no path spells {piece[:100]!r}")
+            arcs[end] = arc
+        path = array("i")
+        end = len(piece)
+        while end:
+            path.append(arcs[end])
+            end -= size[arcs[end]]
+        path.reverse()
+        return path.tobytes()
+
     def _paths(self, pieces: list[bytes], lengths: np.ndarray) -> list[bytes]:
         """``encode`` of pieces that aren't empty, longest first."""
         raw = np.frombuffer(b"".join(pieces), np.uint8)

@@ -10,7 +10,8 @@ position, and overlapping spans are merged into removal spans.
 
 Documents never move: the phrases, a stated query set, come to the shards as a
 broadcast of at most BLOCK_BYTES of text. A larger benchmark is searched block
-by block, each released before the next is built; only the rows that a block
+by block, each released before the next is built, a long item in overlapping pieces;
+only the rows that a block
 hits are written, and the blocks' spans are merged per row. What follows from
 the spans is the same code however many blocks there are.
 
@@ -38,7 +39,9 @@ from .common import LOWER, beside, byte_view, cut, id_text_columns, small_batche
 
 WINDOW = 10
 #: Text of the benchmark that is searched in one pass.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Items over so many bytes are dealt out in pieces of so many words.
+PIECE_BYTES, PIECE_WORDS = 1 << 20, 100_000
 SHARD_BYTES = 4 << 20
 SAMPLE = 16
 #: Bytes of words after lower-casing: digits, a-z, and all of a character beyond ASCII.
@@ -67,16 +70,25 @@ class Phrases:
         self.alphabet, symbols = np.unique(hashes, return_inverse=True)
         symbols = symbols + 1
         cuts = np.searchsorted(starts, offsets)
-        found: dict[tuple, list[int]] = {}
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            for w in {tuple(symbols[i : min(i + WINDOW, b)]) for i in range(a, max(a + 1, b - WINDOW + 1)) if a < b}:
-                found.setdefault(w, []).append(own[k])
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.windows = np.zeros((len(found), WINDOW), np.int64)  # aligned to the right
-        for row, w in zip(self.windows, found, strict=True):
-            row[WINDOW - len(w) :] = w
-        self.item_of = np.array([i for v in found.values() for i in v], np.int64)
-        self.item_at = np.cumsum([0, *(len(v) for v in found.values())])
+        many = np.diff(cuts)
+        # an item of n words has n - 9 windows, or one of all its words
+        windows_of = np.where(many > WINDOW, many - WINDOW + 1, np.minimum(many, 1))
+        owner = np.repeat(np.arange(len(items)), windows_of)
+        first = cuts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows_of) - windows_of, windows_of)
+        lengths = np.minimum(many[owner], WINDOW)
+        padded = np.concatenate((symbols, np.zeros(WINDOW, np.int64))).astype(np.int32)
+        rows = np.zeros((len(owner), WINDOW), np.int32)  # aligned to the right
+        for j in range(WINDOW):
+            rows[:, WINDOW - 1 - j] = np.where(lengths > j, padded[first + lengths - 1 - j], 0)
+        # windows in order, equal ones together
+        order = np.lexsort(rows.T[::-1])
+        rows = rows[order]
+        new = np.concatenate(([True], (rows[1:] != rows[:-1]).any(1))) if len(rows) else np.zeros(0, bool)
+        number_of = np.cumsum(new) - 1
+        self.windows, self.lengths = rows[new], lengths[order][new]
+        pairs = np.unique(number_of * len(self.item_ids) + np.array(own, np.int64)[owner[order]]) if len(rows) else np.zeros(0, np.int64)
+        self.item_of = pairs % max(1, len(self.item_ids))
+        self.item_at = np.searchsorted(pairs // max(1, len(self.item_ids)), np.arange(len(self.windows) + 1))
         self.likely = np.zeros(1 << 20, bool)
         self.likely[(self.alphabet >> np.uint64(44)).astype(np.int64)] = True
 
@@ -257,8 +269,28 @@ class Findings:
         return out
 
 
+def _pieces(items: DataFrame) -> DataFrame:
+    """The items, each that is longer than PIECE_BYTES as texts of PIECE_WORDS words and nine more, which hold the same windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                column = batch.column("text").slice(k, 1)
+                raw, _, starts, ends, _ = words_of(column)
+                if len(raw) <= PIECE_BYTES:
+                    yield batch.slice(k, 1)
+                    continue
+                for a in range(0, max(1, len(starts) - WINDOW + 1), PIECE_WORDS):
+                    z = min(len(starts), a + PIECE_WORDS + WINDOW - 1)
+                    text = raw[starts[a] : ends[z - 1]].tobytes() if len(starts) else b""
+                    yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(k, 1), pa.array([text.decode()], batch.column("text").type)], ["item_id", "text"])
+
+    return items.mapInArrow(run, items.schema)
+
+
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
-    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    """The benchmark's distinct items and pieces of items in parts of about BLOCK_BYTES."""
+    items = cut(_pieces(benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     return [items] if n == 1 else [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
@@ -286,15 +318,25 @@ def _search(rows: DataFrame, block: DataFrame) -> tuple[DataFrame, Broadcast]:
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *added.fields])), phrases
 
 
-def _joined(spans: Column) -> Column:
-    """Spans of several blocks as disjoint ones, in order."""
-    def add(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.struct(last["start_word"].alias("start_word"), F.greatest(last["end_word"], s["end_word"]).alias("end_word"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        meets = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end_word"] >= s["start_word"])
-        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+def _joined(rows: DataFrame) -> DataFrame:
+    """The rows with their __spans, of several blocks, as disjoint ones in order."""
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("start_word", "end_word", "start", "end")]))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPAN), add)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans in batch.column("__spans").to_pylist():
+                done: list[dict] = []
+                for s in sorted(spans or [], key=lambda s: (s["start_word"], s["end_word"])):
+                    if done and done[-1]["end_word"] >= s["start_word"]:
+                        done[-1]["end_word"], done[-1]["end"] = max(done[-1]["end_word"], s["end_word"]), max(done[-1]["end"], s["end"])
+                    else:
+                        done.append(s)
+                out.append(done)
+            at = batch.schema.get_field_index("__spans")
+            yield batch.set_column(at, "__spans", pa.array(out, kind))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def found_in(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -311,7 +353,7 @@ def found_in(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
         phrases.destroy()
     union = reduce(DataFrame.unionByName, parts)
     merged = union.groupBy("__row").agg(F.max("__n_words").alias("__n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"), F.flatten(F.collect_list("__spans")).alias("__spans"))
-    return rows.join(merged.withColumn("__spans", _joined(F.col("__spans"))), "__row").drop("__row")
+    return rows.join(_joined(merged), "__row").drop("__row")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -66,6 +66,8 @@ class PerfectHash:
     """Minimal perfect hash of n distinct 32-byte digests: a level keeps the digests that were alone in their cell."""
 
     def __init__(self, digests: np.ndarray):
+        if len(np.unique(np.ascontiguousarray(digests).view("V32"))) < len(digests):
+            raise ValueError("a digest stands more than once; such digests are never alone in a cell")
         words = digests.view("<u8").reshape(-1, 4)
         left = np.arange(len(words))
         self.levels: list[np.ndarray] = []
@@ -127,7 +129,7 @@ def look_up(rows: DataFrame, index: DataFrame, copies: DataFrame, buckets: int)
     """doc_id, digest, fresh, bucket, and the slot with its winner and size (all three null where the digest is no member)."""
     # no hint: the crowded buckets are broadcast only while Spark finds them small enough
     probes = rows.withColumn("bucket", bucket_of(F.col("digest"), buckets)).join(copies.filter("n_copies > 1"), "bucket", "left")
-    probes = probes.select("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.coalesce("n_copies", F.lit(1))).cast("int").alias("copy"), "doc_id", "digest", "fresh")
+    probes = probes.select("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", "row"), F.lit(7)), F.coalesce("n_copies", F.lit(1))).cast("int").alias("copy"), "doc_id", "digest", "fresh")
     nulls = {"digests": "binary", "winners": "array<long>", "sizes": "array<long>"}
     slots = index.select("bucket", "copy", *(F.lit(None).cast(t).alias(k) for k, t in {"doc_id": "long", "digest": "binary", "fresh": "boolean"}.items()), *nulls)
     both = probes.select("*", *(F.lit(None).cast(t).alias(k) for k, t in nulls.items())).unionByName(slots)
@@ -164,17 +166,19 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, digest, keep_id (the row that stays), group_size and kept.
 
     ``history`` (digest, winner, size) is what earlier loads held: its rows count
-    and may win, and all of ``docs`` is new. Without it the rows up to the median
+    and may win, and all of ``docs`` is new; a digest that several loads held may
+    stand in it several times. Without it the rows up to the median
     doc_id are the history of the others.
     """
-    rows = cut(digest_rows(docs))
+    # the number of a row spreads rows without a doc_id
+    rows = cut(digest_rows(docs).withColumn("row", F.monotonically_increasing_id()))
     if history is None:
         median = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
         rows = rows.withColumn("fresh", F.coalesce(F.col("doc_id") > F.lit(median), F.lit(False)))
         history = history_of(rows.filter("not fresh"))
     else:
         rows = rows.withColumn("fresh", F.lit(True))
-        history = history.select("digest", "winner", "size")
+        history = cut(history.groupBy("digest").agg(F.max("winner").alias("winner"), F.sum("size").alias("size")))
     buckets = max(1, -(-history.count() // BUCKET_DIGESTS))
     load = rows.groupBy(bucket_of(F.col("digest"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
     copies = cut(load.select("bucket", F.greatest(F.lit(1), F.ceil(F.col("rows") / BUCKET_ROWS)).cast("int").alias("n_copies")))

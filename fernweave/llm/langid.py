@@ -8,7 +8,8 @@ too many n-grams that it hasn't learned from.
 The sample takes of each language the rows whose hashes of doc_id and text are
 smallest: ROWS_PER_LANGUAGE, or fewer if MOST_ROWS shared over all languages are
 fewer, and no more than have a language's share of MOST_BYTES of text together,
-but one at least. Equal rows count once, each with its whole text.
+but one at least. Equal rows count once, each with its whole text. More than
+MOST_LANGUAGES labels are an error, as sample and model would grow with them.
 
 Results for odd input: a null text and one without a letter are ``und`` with
 score 0 and rejected; without any labelled row everything is ``und``; a null
@@ -32,6 +33,8 @@ from .subwords import Classifier, collect_features, fit, letter_features
 BUCKETS = 1 << 16
 ROWS_PER_LANGUAGE = 1000
 MOST_ROWS, MOST_BYTES = 8000, 64 << 20
+#: Languages that one model may have: it holds BUCKETS numbers for each.
+MOST_LANGUAGES = 256
 LETTER = regex.compile(r"\p{L}")
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
@@ -52,6 +55,8 @@ def train(docs: DataFrame, held_out: int = 2, folds: int = 4, rows_per_language:
     n = counts.count()
     if not n:
         return fit([], BUCKETS)
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages are labelled, over {MOST_LANGUAGES}: merge or filter the labels first")
     each = max(1, min(rows_per_language, most_rows // n))
     # over twice as many as are wanted are ranked, so that no language's hashes all meet in one task
     ranked = hashes.join(F.broadcast(counts), "lang").filter(F.pmod("__hash", F.lit(1 << 40)) < F.lit(2 * each + 64) / F.col("count") * (1 << 40))

@@ -42,8 +42,8 @@ from .common import LOWER, beside, byte_view, cut, cut_free, list_array, mix, si
 
 NEAR_WORDS = 8
 LAST = (1 << 63) - 1
-#: Repeated ids up to this number are told to every task; with more, all rows count as repeated.
-MOST_AGAIN = 10_000
+#: Doc_ids are dealt into so many bins; all rows of a bin with a repeated doc_id count as repeated. Numbers of bins are all that tasks are told.
+AGAIN_BINS = 1 << 18
 ADDED = {"n_lines": "long", "n_removed": "long"}
 BLANK = " \t\n\v\f\r"
 SPACE = np.zeros(256, bool)
@@ -133,16 +133,18 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """The rows with __place (doc_id, null last), __again (whether the place is repeated) and __part (then the text's hash, else 0); and whether any is."""
+    """The rows with __place (doc_id, null last), __again (whether the place may be repeated) and __part (then the text's hash, else 0); and whether any is."""
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    again = cut(docs.select(place.alias("__place")).groupBy("__place").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__place"))
-    n = again.count()
+    bin_of = F.pmod(F.xxhash64("__place"), F.lit(AGAIN_BINS)).alias("__bin")
+    # a row that only shares its bin with a repeated place is told apart by its text too, with the same result
+    again = cut(docs.select(place.alias("__place")).groupBy("__place").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(bin_of).distinct())
+    some = not again.isEmpty()
     rows = docs.withColumn("__place", place)
-    if n == 0 or n > MOST_AGAIN:
-        rows = rows.withColumn("__again", F.lit(n > 0))
+    if some:
+        rows = rows.withColumn("__bin", bin_of).join(F.broadcast(again.withColumn("__again", F.lit(True))), "__bin", "left").drop("__bin").withColumn("__again", F.coalesce("__again", F.lit(False)))
     else:
-        rows = rows.join(F.broadcast(again.withColumn("__again", F.lit(True))), "__place", "left").withColumn("__again", F.coalesce("__again", F.lit(False)))
-    return rows.withColumn("__part", F.when(F.col("__again"), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0).cast("long"))), n > 0
+        rows = rows.withColumn("__again", F.lit(False))
+    return rows.withColumn("__part", F.when(F.col("__again"), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0).cast("long"))), some
 
 
 def _neighbourhood(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -172,4 +172,5 @@ def near_dedup(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
     roots = components(links(distinct.select("fp"), most))
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(known.join(least, "root").select("fp", "component_id"), "fp")
+    # every empty text shares one fingerprint
+    return fps.join(side(known.join(least, "root").select("fp", "component_id")), "fp")

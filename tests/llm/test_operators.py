@@ -42,6 +42,23 @@ def test_op1_decode(spark, odd):
     assert back == Counter((d, t or "") for d, t in pairs(spark, odd))
 
 
+def test_long_pieces():
+    """Pieces far over LONG bytes are read in time that grows with their length alone, and as the library reads them."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    known, coder = Tokenizer.from_file(bpe.default_path()), bpe.tokenizer(bpe.default_path())
+    rng = random.Random(3)
+    texts = {"letters": "".join(rng.choices("etaoinshrdlucmf", k=200_000)), "dashes": "-" * 20_000, "one letter": "a" * 100_000, "just over": "ab" * 128 + "c", "at the bound": "q" * 256, "signs": "".join(rng.choices("=-*#", k=30_000))}
+    for name, text in texts.items():
+        began = time.perf_counter()
+        ids = np.frombuffer(coder.encode_text(text), np.int32).tolist()
+        took = time.perf_counter() - began
+        assert ids == known.encode(text, add_special_tokens=False).ids, name
+        assert took < 6, (name, took)
+
+
 def test_automaton_of_other_merges():
     """Merge lists on which greedy and left-to-right readings differ."""
     rng = random.Random(0)
@@ -77,6 +94,9 @@ def test_op2_external_history(spark):
     new = spark.createDataFrame([(10, "ABC"), (11, "new"), (12, "NEW"), (13, None), (14, "x"), (15, "abc"), (1, "X")], "doc_id long, text string")
     rows = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(new, history).collect()}
     assert rows == {(10, 15, 4, False), (15, 15, 4, True), (11, 12, 2, False), (12, 12, 2, True), (13, 13, 1, True), (14, 14, 3, True), (1, 14, 3, False)}
+    loads = history.unionByName(history.selectExpr("digest", "winner - 1 as winner", "size"))
+    again = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(new, loads).collect()}
+    assert again == {(10, 15, 6), (15, 15, 6), (11, 12, 2), (12, 12, 2), (13, 13, 1), (14, 14, 4), (1, 14, 4)}
     newer = history.selectExpr("digest", "winner + 100 as winner", "size")
     assert {(r.keep_id, r.kept) for r in exact_dedup.exact_dedup(new, newer).filter("doc_id in (10, 14, 15, 1)").collect()} == {(103, False), (102, False)}
 
@@ -171,6 +191,19 @@ def test_op5(spark, odd):
     assert all(r.lang_pred == "und" and r.rejected for r in rows if r.doc_id in (1, 2, 3, 12, 13))
 
 
+def test_too_many_languages(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", f"l{k}") for k in range(400)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs)
+
+
+def test_perfect_hash_refuses_repeats():
+    digests = np.frombuffer(b"a" * 32 + b"b" * 32 + b"a" * 32, np.uint8).reshape(-1, 32)
+    with pytest.raises(ValueError, match="more than once"):
+        exact_dedup.PerfectHash(digests)
+    assert sorted(exact_dedup.PerfectHash(digests[:2]).slots(digests[:2])) == [0, 1]
+
+
 def test_letters_decide_und():
     import pyarrow as pa
 

@@ -16,9 +16,10 @@ def found(spark, rows):
     return line_dedup.dedup_lines(spark.createDataFrame(rows, SHAPE).repartition(3)).collect()
 
 
-@pytest.mark.parametrize("most", [10_000, 0])
-def test_null_and_repeated_ids(spark, most, monkeypatch):
-    monkeypatch.setattr(line_dedup, "MOST_AGAIN", most)
+@pytest.mark.parametrize("bins", [1 << 18, 1])
+def test_null_and_repeated_ids(spark, bins, monkeypatch):
+    """With one bin every row counts as repeated."""
+    monkeypatch.setattr(line_dedup, "AGAIN_BINS", bins)
     rows = [(1, "dup line", "a"), (None, "dup line\nstays 1", "b"), (None, "unique line\nstays 2", "c"), (5, "dup line\nstays 3", "d"), (5, "other line\nstays 4", "e"), (None, SHARED + "\ndup line", "f"), (None, None, "g"), (None, None, "h"), (6, "", "i")]
     got = {r.source: (r.text, r.n_lines, r.n_removed) for r in found(spark, rows)}
     assert got == {"a": ("dup line", 1, 0), "b": ("stays 1", 2, 1), "c": ("unique line\nstays 2", 2, 0), "d": ("stays 3", 2, 1), "e": ("other line\nstays 4", 2, 0), "f": (SHARED, 2, 1), "g": (None, 0, 0), "h": (None, 0, 0), "i": ("", 0, 0)}
