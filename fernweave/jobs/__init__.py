@@ -1 +1 @@
-from . import indexing, keeping, queries, serving  # noqa: F401  (all register queries)
+from . import indexing, keeping, queries, serving, updating  # noqa: F401  (all register queries)

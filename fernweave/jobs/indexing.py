@@ -52,7 +52,7 @@ def bm25_batch(spark, sf_dir):
     return batch_search.search_all(document_index(spark, sf_dir), _items(spark, sf_dir))
 
 
-@query(f"""WITH {_ASKED}, label AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+@query(f"""WITH {_ASKED}, label AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))),
 kind AS (SELECT query_id, CASE WHEN len(t) < 20 THEN 'short' ELSE 'long' END AS kind FROM w),
 g AS (SELECT query_id, min(rank) AS first, count_if(rank <= 5) / least(count(*), 5) AS recall FROM label LEFT JOIN ranked USING (query_id, doc_id) GROUP BY query_id)
 SELECT coalesce(kind, 'all') AS kind, count(*) AS n_queries, round(avg(coalesce((first = 1)::INT, 0)), 6) AS top1, round(avg(recall), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM g JOIN kind USING (query_id) GROUP BY GROUPING SETS ((kind), ())""")

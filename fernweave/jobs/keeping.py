@@ -23,7 +23,7 @@ _SECRET = "regexp_matches(text, 'token = \"[0-9a-f]{40}\"')"
 
 @query(f"WITH {_CORPUS} SELECT doc_id, extension IN ('.md', '.txt') AND NOT filename GLOB 'doc_1*' AND size <= {MOST_SIZE} AS wanted FROM corpus")
 def wanted_files(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", scope.wanted(F.col("path"), F.col("filename"), F.col("extension"), F.col("size"), EXTENSIONS, ["DOC_1*"], MOST_SIZE).alias("wanted"))
+    return corpus(spark, sf_dir).select("doc_id", scope.wanted(F.col("path"), F.col("extension"), F.col("size"), EXTENSIONS, ["DOC_1*"], MOST_SIZE).alias("wanted"))
 
 
 @query(f"WITH {_CORPUS} SELECT doc_id FROM corpus WHERE {_OUT}")
@@ -239,7 +239,7 @@ def hit_reasons(spark, sf_dir):
     return hits.select("doc_id", F.array_join(why, "; ").alias("why"))
 
 
-@query(f"""WITH {_ASKED}, label AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+@query(f"""WITH {_ASKED}, label AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)))
 SELECT query_id, count(DISTINCT doc_id) AS n_relevant FROM ranked JOIN label USING (query_id, doc_id) WHERE rank <= 5 GROUP BY query_id""")
 def relevant_in_first_five(spark, sf_dir):
     first = batch_search.search_all(document_index(spark, sf_dir), _items(spark, sf_dir), 5)

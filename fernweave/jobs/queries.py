@@ -147,7 +147,7 @@ def filename_like(spark, sf_dir):
 
 @query(f"WITH {_CORPUS} SELECT doc_id, filename GLOB '*.json' OR path GLOB '/corpus/src3/*' OR filename GLOB 'doc_1?.md' AS excluded FROM corpus")
 def exclude_globs(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", filters.excluded(F.col("path"), F.col("filename"), EXCLUDES).alias("excluded"))
+    return corpus(spark, sf_dir).select("doc_id", filters.excluded(F.col("path"), EXCLUDES).alias("excluded"))
 
 
 @query(f"WITH {_CORPUS} SELECT doc_id, CASE WHEN path LIKE '/corpus/src1/en/%' THEN '/corpus/src1/en' WHEN path LIKE '/corpus/src1/%' THEN '/corpus/src1' WHEN path LIKE '/corpus/src7/%' THEN '/corpus/src7' END AS root FROM corpus")
@@ -230,7 +230,7 @@ SELECT doc_id, score, n_duplicates FROM g WHERE n = 1 ORDER BY score DESC, doc_i
 def duplicate_collapse(spark, sf_dir):
     """The 20 best hits of the hybrid ranking after equal contents are collapsed."""
     hits = fusion.fuse(_candidates(spark, sf_dir)).select("doc_id", F.col("convex").alias("score"))
-    hashes = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("content_hash"))
+    hashes = document_index(spark, sf_dir).units.select("doc_id", "content_hash")
     best = fusion.collapse(hits.join(hashes, "doc_id", "left"), "content_hash")
     return best.select("doc_id", "score", "n_duplicates").orderBy(F.desc("score"), "doc_id").limit(20)
 
@@ -345,11 +345,6 @@ def events_throughput(spark, sf_dir):
     return changes.throughput(changes.watch_events(table(spark, sf_dir, "events")))
 
 
-@query(f"WITH {_WATCH} SELECT path, CASE last(action ORDER BY ts, event_id) WHEN 'removed' THEN 'vanish' ELSE 'index' END AS op, min(CASE action WHEN 'removed' THEN 1 ELSE 2 END)::INT AS priority, min(ts) AS enqueued_at, count(*) AS n_requests FROM e GROUP BY path")
-def job_queue_fold(spark, sf_dir):
-    return changes.fold_jobs(changes.watch_events(table(spark, sf_dir, "events")))
-
-
 @query(f"""WITH {_WATCH}, i AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, event_id) - row_number() OVER (PARTITION BY path, action ORDER BY ts, event_id) AS k FROM e)
 SELECT path, min(ts) AS started, count(*) AS n_events FROM i WHERE action = 'modified' GROUP BY path, k HAVING count(*) >= 3""")
 def pause_streaks(spark, sf_dir):
@@ -381,14 +376,14 @@ def line_offsets(spark, sf_dir):
 
 
 def known_items(spark, sf_dir) -> DataFrame:
-    """(item_id, doc_id) where a document holds an item's text word for word; an empty text is held by none.
+    """(item_id, doc_id) where a document holds an item's text, in any case; an empty text is held by none.
 
     An item's words but the first and last stand in such a document as whole
     words, so the postings of the rarest of them name the candidates. The few
     items with no such word are held against all documents, in blocks of a
     checked size.
     """
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")).filter("needle <> ''")
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("needle")).filter("needle <> ''")
     words = T.tokens(F.col("needle"))
     items = items.select("item_id", "needle", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))).alias("inner"))
     postings = document_index(spark, sf_dir).postings.select("term", "doc_id")
@@ -404,8 +399,8 @@ def known_items(spark, sf_dir) -> DataFrame:
     return reduce(DataFrame.unionByName, parts, found)
 
 
-@query("""WITH m AS (SELECT item_id, doc_id, length(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+@query("""WITH m AS (SELECT item_id, doc_id, length(b.text) AS n FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)))
 SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM m GROUP BY item_id""")
 def labels_by_containment(spark, sf_dir):
-    """Which documents hold a query's text word for word: the labels of a known-item evaluation."""
+    """Which documents hold a query's text, in any case: the labels of a known-item evaluation."""
     return known_items(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))

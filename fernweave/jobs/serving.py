@@ -57,11 +57,15 @@ SELECT doc_id, path, score, ordinal, substr(line, 1, 120) AS shown FROM h JOIN c
 def hybrid_chunks(spark, sf_dir):
     """The 20 best documents by their best line and best chunk vector, with the path and the piece of text to show."""
     best = lexical.top(lexical.best_units(line_index(spark, sf_dir), TERMS), 300)
-    return fusion.shown(fusion.over_chunks(best, _chunk_hits(spark, sf_dir)), document_index(spark, sf_dir).units, _line_texts(spark, sf_dir), 20, 120)
+    return fusion.shown(fusion.over_chunks(best, _chunk_hits(spark, sf_dir)), document_index(spark, sf_dir).units, lambda ids: _lines_of(table(spark, sf_dir, "documents").join(F.broadcast(ids), "doc_id", "left_semi")), 20, 120)
 
 
 def _line_texts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "text"))
+    return _lines_of(table(spark, sf_dir, "documents"))
+
+
+def _lines_of(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "text"))
 
 
 @query(_HYBRID.split("h AS (")[0].rstrip().rstrip(",") + f""", st AS (SELECT *, CASE doc_id % 9 WHEN 0 THEN 'missing' ELSE 'ok' END AS status FROM corpus),
@@ -71,7 +75,7 @@ SELECT doc_id, lexical_rank::INT AS lexical_rank, semantic_rank::INT AS semantic
 def guarded_hits(spark, sf_dir):
     """Hybrid hits that may be shown: ranked among all candidates, scaled among those that are left."""
     units = document_index(spark, sf_dir).units.withColumn("status", F.when(F.col("doc_id") % 9 == 0, "missing").otherwise("ok"))
-    may = scope.allowed(F.col("status"), F.col("path"), F.col("filename"), F.col("extension"), ALL_ROOTS, EXCLUDES, ["/corpus/src0", "/corpus/src7"], EXTENSIONS)
+    may = scope.allowed(F.col("status"), F.col("path"), F.col("extension"), ALL_ROOTS, EXCLUDES, ["/corpus/src0", "/corpus/src7"], EXTENSIONS)
     ranked = fusion.fuse(_candidates(spark, sf_dir)).select("doc_id", "lexical", "semantic", "lexical_rank", "semantic_rank")
     kept = ranked.join(units.filter(may).select("doc_id"), "doc_id", "left_semi")
     return fusion.fuse(kept).select("doc_id", "lexical_rank", "semantic_rank", "convex")

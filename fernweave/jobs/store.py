@@ -1,63 +1,85 @@
-"""Indexes of the given tables in the shared folder, built when first asked for and found again after that."""
+"""Indexes of the given tables in the shared folder: built when first asked for, brought up to date when the files have changed."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stem
-from ..functions.text import tokens
-from ..operators import chunking, index
+from ..operators import chunking, index, substring
+from ..sources import folders
 from ..sources.corpus import corpus, shared_dir, table
 
+#: Change with what a kind of index makes of its documents.
+RULES = {"documents": 1, "stems": 1, "lines": 1, "chunks": 1}
+
 
 def _version(spark: SparkSession, sf_dir: str) -> str:
     """A name for the documents' files as they are now: their paths, sizes and times."""
-    files = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    seen = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()
-    return f"{seen[0]}{seen[1] or 0}".replace("-", "_")
+    files = [folders.children(spark, f"{sf_dir}/{name}.parquet") for name in ("documents", "embeddings")]
+    return hashlib.sha256(repr(files).encode()).hexdigest()[:32]
 
 
-def _of(spark: SparkSession, sf_dir: str, kind: str, make) -> index.Index:
-    target = f"{shared_dir(spark).rstrip('/')}/index-{kind}-{_version(spark, sf_dir)}"
+def _of(spark: SparkSession, sf_dir: str, kind: str, docs, **how) -> index.Index:
+    target = f"{shared_dir(spark).rstrip('/')}/index-{kind}-{RULES[kind]}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    version = _version(spark, sf_dir)
     found = index.load(spark, target)
-    if found is None:
-        make(target)
-        found = index.load(spark, target)
-    return found
+    return found if found is not None and found.version == version else index.sync(docs(), target, version, **how)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).withColumn("content_hash", F.md5(F.col("text").cast("binary")))
+    return hashed(corpus(spark, sf_dir))
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("content_hash", F.md5(F.col("text").cast("binary")))
+
+
+def vectors_of(spark: SparkSession, sf_dir: str):
+    """The side table of documents' vectors: those whose vec_id is the doc_id; none where the folder has no vectors."""
+    if not folders.children(spark, f"{sf_dir}/embeddings.parquet"):
+        return lambda docs: docs.select("doc_id").limit(0)
+    vecs = table(spark, sf_dir, "embeddings").withColumn("doc_id", F.col("vec_id"))
+    return lambda docs: vecs.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def document_sides(spark: SparkSession, sf_dir: str) -> dict:
+    """What is kept beside documents: their vectors, and the pieces of their paths."""
+    return {"vectors": vectors_of(spark, sf_dir), "path_pieces": lambda docs: substring.pieces(docs.select("doc_id", F.col("path").alias("value")))}
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """Whole documents, with the corpus's columns."""
-    return _of(spark, sf_dir, "documents", lambda target: index.build(_documents(spark, sf_dir), target, tokens))
+    """Whole documents, with the corpus's columns, and their vectors and pieces of paths beside them."""
+    return _of(spark, sf_dir, "documents", lambda: _documents(spark, sf_dir), sides=document_sides(spark, sf_dir))
 
 
 def stemmed_index(spark: SparkSession, sf_dir: str) -> index.Index:
     """Whole documents by folded and stemmed words."""
-    return _of(spark, sf_dir, "stems", lambda target: index.build(_documents(spark, sf_dir), target, stem.index_words))
+    return _of(spark, sf_dir, "stems", lambda: _documents(spark, sf_dir), words=stem.index_words)
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "text"))
 
 
 def line_index(spark: SparkSession, sf_dir: str) -> index.Index:
     """Lines of the documents, each a unit."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "text"))
-    return _of(spark, sf_dir, "lines", lambda target: index.build(lines, target))
+    return _of(spark, sf_dir, "lines", lambda: table(spark, sf_dir, "documents").select("doc_id", "text"), split=_lines)
 
 
 def chunk_index(spark: SparkSession, sf_dir: str) -> index.Index:
     """Chunks of the documents; their units keep where a chunk stands, and their texts are in ``chunk_texts``."""
-    def make(target: str) -> None:
-        chunks = chunking.chunked(corpus(spark, sf_dir).select("doc_id", "text", "extension"))
-        chunks.write.mode("overwrite").parquet(f"{target}/texts")
-        index.build(spark.read.parquet(f"{target}/texts"), target)
-
-    return _of(spark, sf_dir, "chunks", make)
+    return _of(spark, sf_dir, "chunks", lambda: corpus(spark, sf_dir).select("doc_id", "text", "extension"), split=chunking.chunked, keep_texts=True)
 
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ordinal, start, end, text, truncated) of all chunks, as they were written with the chunk index."""
-    chunk_index(spark, sf_dir)
-    return spark.read.parquet(f"{shared_dir(spark).rstrip('/')}/index-chunks-{_version(spark, sf_dir)}/texts")
+    return chunk_index(spark, sf_dir).tables("texts").drop("segment")
+
+
+def scratch_fork(spark: SparkSession, held: index.Index) -> index.Index:
+    """A fork of an index at a new place in the shared folder."""
+    return index.fork(held, f"{shared_dir(spark).rstrip('/')}/fork-{uuid.uuid4().hex}")

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .globs import ANY, RUN, Step, any_excluded, steps
+
 
 def under(path: Column, root: str) -> Column:
     """The root itself or what lies in it; a sibling with a longer name does not."""
@@ -25,8 +27,17 @@ def has_extension(extension: Column, wanted: list[str]) -> Column:
 
 
 def glob_pattern(glob: str) -> str:
-    """An anchored regular expression; * and ? also cross slashes."""
-    return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob) + "$"
+    """A glob as an anchored regular expression, for one pattern alone; * and ? also cross slashes, [..] is a class and [!..] its opposite."""
+
+    def one(step: Step) -> str:
+        if step == RUN:
+            return ".*"
+        if step == ANY:
+            return "."
+        body = "".join(re.escape(a) if a == b else f"{re.escape(a)}-{re.escape(b)}" for a, b in step.ranges)
+        return f"[^{body}]" if step.others else f"[{body}]"
+
+    return "(?s)^" + "".join(map(one, steps(glob))) + "$"
 
 
 def glob_names(docs: DataFrame, glob: str) -> DataFrame:
@@ -41,22 +52,9 @@ def name_contains(filename: Column, needle: str) -> Column:
     return F.contains(F.lower(filename), F.lit(needle.lower()))
 
 
-def excluded(path: Column, filename: Column, globs: list[str]) -> Column:
-    """A glob with a slash is held against the path (``p/**`` also against p), any other against the file name; case doesn't count."""
-    whole, base = [], []
-    for g in globs:
-        if "/" in g:
-            whole.append(glob_pattern(g))
-            if g.endswith("/**"):
-                whole.append(glob_pattern(g[:-3]))
-        else:
-            base.append(glob_pattern(g))
-    out = F.lit(False)
-    if whole:
-        out = out | path.rlike("(?i)" + "|".join(whole))
-    if base:
-        out = out | filename.rlike("(?i)" + "|".join(base))
-    return out
+def excluded(path: Column, globs: list[str]) -> Column:
+    """Whether a rule excludes the path (see ``globs.exclusions``); case doesn't count, nor how many rules there are."""
+    return any_excluded(path, globs)
 
 
 def longest_root(path: Column, roots: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,30 +19,31 @@ def assemble(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("doc_id").agg(F.max("lexical").alias("lexical"), F.max("semantic").alias("semantic"))
 
 
-def _scaled(c: str) -> Column:
-    """Min-max over the candidates that have the component; all equal is 1, none is 0."""
-    everything = Window.partitionBy()  # of candidates, a bounded pool
+def _scaled(c: str, by: tuple[str, ...]) -> Column:
+    """Min-max over the candidates (of one query) that have the component; all equal is 1, none is 0."""
+    everything = Window.partitionBy(*by)  # of candidates, a bounded pool a query
     lo, hi = F.min(c).over(everything), F.max(c).over(everything)
     return F.coalesce(F.when(hi == lo, F.lit(1.0)).otherwise((F.col(c) - lo) / (hi - lo)), F.lit(0.0))
 
 
-def fuse(candidates: DataFrame) -> DataFrame:
+def fuse(candidates: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ranks by component, the convex score, the reciprocal-rank score and what kind of match it is.
 
     A column ``filename`` (0 to 1, or null) lifts both scores: a name that holds
     all terms goes to 0.9 at least, one that holds some gains a share. Ranks that
     the candidates have already, from before some were left out, are kept.
+    ``by`` names the columns that tell queries apart, where there are several.
     """
     name = F.coalesce("filename", F.lit(0.0)) if "filename" in candidates.columns else F.lit(0.0)
-    rank = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.orderBy(F.desc_nulls_last(c), "doc_id")))
+    rank = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last(c), "doc_id")))
     ranked = candidates if "lexical_rank" in candidates.columns else candidates.withColumns({"lexical_rank": rank("lexical"), "semantic_rank": rank("semantic")})
     part = lambda w, c: F.coalesce(F.lit(w) / (RRF_K + F.col(c)), F.lit(0.0))
     rrf = (part(SEMANTIC, "semantic_rank") + part(LEXICAL, "lexical_rank") + name * (NAME * LEXICAL / (RRF_K + 1))) / ((SEMANTIC + LEXICAL + NAME * LEXICAL) / (RRF_K + 1))
     named = F.when(name > 0, "filename").otherwise("lexical")
     kind = F.when(F.col("lexical").isNotNull() & F.col("semantic").isNotNull(), "both").when(F.col("semantic").isNotNull(), "semantic")
     kind = kind.when(F.col("scored"), "lexical").otherwise(named) if "scored" in candidates.columns else kind.otherwise("lexical")
-    convex = SEMANTIC * _scaled("semantic") + LEXICAL * _scaled("lexical")
-    lifted = F.when(name >= 1, F.greatest(convex, 0.9 + 0.1 * _scaled("lexical"))).when(name > 0, convex + NAME_GAIN * LEXICAL * name).otherwise(convex)
+    convex = SEMANTIC * _scaled("semantic", by) + LEXICAL * _scaled("lexical", by)
+    lifted = F.when(name >= 1, F.greatest(convex, 0.9 + 0.1 * _scaled("lexical", by))).when(name > 0, convex + NAME_GAIN * LEXICAL * name).otherwise(convex)
     return ranked.withColumns({"convex": F.round(F.least(lifted, F.lit(1.0)), 6), "rrf": F.round(rrf, 6), "match_type": kind})
 
 
@@ -84,16 +87,17 @@ def over_chunks(lexical: DataFrame, chunks: DataFrame) -> DataFrame:
     return a.join(best.select("doc_id", F.col("b.score").alias("semantic"), F.col("b.ordinal").alias("semantic_ordinal")), "doc_id", "full_outer")
 
 
-def shown(candidates: DataFrame, units: DataFrame, texts: DataFrame, k: int, width: int) -> DataFrame:
+def shown(candidates: DataFrame, units: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, width: int) -> DataFrame:
     """doc_id, path, score, ordinal and the first ``width`` characters of what is shown of the k best candidates that ``units`` (doc_id, path) knows.
 
     The piece of the stronger component is shown, of equal ones the nearest chunk;
-    a piece whose text (doc_id, ordinal, text) is gone shows nothing.
+    ``texts`` gives the pieces (doc_id, ordinal, text) of the documents that it is
+    asked for, and a piece that is gone shows nothing.
     """
     ordinal = F.when(F.col("semantic").isNotNull() & (F.col("semantic") >= F.coalesce("lexical", F.lit(0.0))), F.col("semantic_ordinal")).otherwise(F.coalesce("lexical_ordinal", "semantic_ordinal"))
     hits = fuse(candidates).select("doc_id", F.col("convex").alias("score"), ordinal.alias("ordinal")).join(units.select("doc_id", "path"), "doc_id")
     best = hits.orderBy(F.desc("score"), "doc_id").limit(k)
-    pieces = texts.select("doc_id", "ordinal", F.substring("text", 1, width).alias("shown"))
+    pieces = texts(best.select("doc_id")).select("doc_id", "ordinal", F.substring("text", 1, width).alias("shown"))
     return best.join(pieces, ["doc_id", "ordinal"], "left").select("doc_id", "path", "score", "ordinal", "shown").orderBy(F.desc("score"), "doc_id")
 
 

@@ -1,16 +1,26 @@
-"""A persisted full-text index: units of text with their lengths, and postings with positions.
-
-A unit is a document, or one of its chunks (doc_id, ordinal). The index is a
-folder of Parquet tables: ``units`` (every column but the text, and dl),
-``postings`` (term, doc_id, ordinal, dl, tf, positions) and ``stats`` (n,
-average, of all units), which is written last. Postings are sorted by term and
-then document over all files, so a query for some terms reads the pages that
-hold them and nothing else, and the postings of a very common term are spread
-over several files.
+"""A persisted full-text index that changes in place: immutable segments, tombstones, generations.
+
+A unit is a document, or one of its pieces (doc_id, ordinal). A segment is a
+folder of Parquet tables that is never written again: ``units`` (every column
+but the text, and dl), ``postings`` (term, doc_id, ordinal, dl, tf, positions),
+``blocks`` (by term and BLOCK neighbouring doc_ids: the largest tf, the least dl
+and the number of postings), ``docs`` (each document's mark, by which a change is
+seen), and side tables that go with the documents. Postings are sorted by term
+and then document over all files, so a query reads the pages of its own terms,
+and those of a very common term are spread over several files.
+
+An update writes a segment of the new and changed documents alone, and a table
+of tombstones (segment, doc_id) for what was changed or deleted before; both
+hold for units, postings and side tables alike. ``merge`` puts segments together
+without looking at a text again. What is valid is told by a generation, one row
+that is written last under the next number: readers take the newest that is
+whole and go on with its files, whatever is written beside. Of two updates at
+once one counts; what the other did is found missing by the next ``sync``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,43 +29,263 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources import folders
 
 #: Bytes of a row group of postings: small, so that a term's rows are most of what is read for it.
 GROUP_BYTES = 4 << 20
+#: Neighbouring doc_ids whose postings share bounds.
+BLOCK = 64
+#: Changes with what segments hold; an index of another format is not read.
+FORMAT = 3
+#: Segments, and tombstones as a share of the units, from which a merge is due.
+MOST_SEGMENTS, MOST_GONE = 8, 0.2
+MANIFEST = "format int, version string, segments array<struct<path:string,units:long>>, gone array<string>, n long, words long, n_gone long, n_read long"
+
+Words = Callable[[Column], Column]
 
 
 @dataclass
 class Index:
-    units: DataFrame
-    postings: DataFrame
+    """What one generation holds; ``tables`` reads a side table."""
+
+    spark: SparkSession
+    target: str
+    generation: int
+    version: str
+    segments: dict[str, int]
+    gone: list[str]
     n: int
-    average: float
+    words: int
+    n_gone: int
+    #: Units whose texts were read for this generation.
+    n_read: int
 
+    @property
+    def average(self) -> float:
+        return self.words / self.n if self.words else 1.0
 
-def build(units: DataFrame, target: str, words: Callable[[Column], Column] = tokens) -> None:
-    """Write the index of ``units`` (doc_id, text, with or without ordinal, and any other columns) to the folder ``target``.
+    def tombstones(self) -> DataFrame:
+        return self.spark.read.parquet(*self.gone).select(F.col("segment").alias("__segment"), F.col("doc_id").alias("__doc"))
 
-    Null texts are units without words. ``words`` makes a text's tokens.
-    """
+    def tables(self, name: str, segments: list[str] | None = None) -> DataFrame:
+        """The live rows of a table of the segments; without tombstones just the files."""
+        rows = self.spark.read.parquet(*(f"{s}/{name}" for s in segments or self.segments))
+        if self.gone and self.n_gone:
+            dead = self.tombstones()
+            rows = rows.join(dead, (rows["segment"] == dead["__segment"]) & rows["doc_id"].eqNullSafe(dead["__doc"]), "left_anti")
+        return rows
+
+    @property
+    def units(self) -> DataFrame:
+        return self.tables("units").drop("segment")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.tables("postings").drop("segment")
+
+    @property
+    def blocks(self) -> DataFrame:
+        """Bounds of blocks; those of deleted documents only make them looser."""
+        return self.spark.read.parquet(*(f"{s}/blocks" for s in self.segments)).drop("segment")
+
+
+def block_of(doc_id: Column) -> Column:
+    return F.floor(F.coalesce(doc_id, F.lit(-1)) / BLOCK).cast("long")
+
+
+def _name(target: str) -> str:
+    return f"{target}/segments/{uuid.uuid4().hex}"
+
+
+def _marks(docs: DataFrame) -> DataFrame:
+    """doc_id with a mark of all its columns; rows of one doc_id have one mark."""
+    hashed = docs.select("doc_id", F.xxhash64(*docs.columns).alias("h"))
+    return hashed.groupBy("doc_id").agg(F.bit_xor("h").alias("mark"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def _write(rows: DataFrame, segment: str, name: str, group: int | None = None) -> None:
+    writer = rows.withColumn("segment", F.lit(segment)).write
+    (writer.option("parquet.block.size", group) if group else writer).parquet(f"{segment}/{name}")
+
+
+def _sorted_postings(postings: DataFrame, segment: str) -> None:
+    """Write postings in order, and the bounds of their blocks."""
+    ordered = postings.drop("segment").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "ordinal")
+    _write(ordered, segment, "postings", GROUP_BYTES)
+    written = postings.sparkSession.read.parquet(f"{segment}/postings")
+    # files are in order, so nearly all of a block is summed before the shuffle
+    bounds = written.groupBy("term", block_of(F.col("doc_id")).alias("block")).agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"), F.count(F.lit(1)).alias("n"))
+    _write(bounds.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), segment, "blocks", GROUP_BYTES)
+
+
+def _segment(docs: DataFrame, target: str, split: Callable[[DataFrame], DataFrame], words: Words, sides: dict[str, Callable[[DataFrame], DataFrame]], keep_texts: bool) -> tuple[str, int]:
+    """Write a segment of the documents; returns its folder and how many units were read."""
+    spark, segment = docs.sparkSession, _name(target)
+    _write(_marks(docs), segment, "docs")
+    units = split(docs)
     if "ordinal" not in units.columns:
         units = units.withColumn("ordinal", F.lit(0))
+    if keep_texts:
+        _write(units, segment, "texts")
+        units = spark.read.parquet(f"{segment}/texts").drop("segment")
     rest = [c for c in units.columns if c != "text"]
-    split = units.select(*rest, F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("t")).select(*rest, F.size("t").alias("dl"), "t")
-    split.drop("t").write.mode("overwrite").parquet(f"{target}/units")
-    each = split.select("doc_id", "ordinal", "dl", F.posexplode("t").alias("pos", "term"))
+    split_up = units.select(*rest, F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("t")).select(*rest, F.size("t").alias("dl"), "t")
+    _write(split_up.drop("t"), segment, "units")
+    each = split_up.select("doc_id", "ordinal", "dl", F.posexplode("t").alias("pos", "term"))
     # a unit's words are together in its task, so its postings are made before anything is shuffled
     rows = each.groupBy("term", "doc_id", "ordinal", "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    rows = rows.select("term", "doc_id", "ordinal", "dl", F.size("positions").alias("tf"), "positions")
-    ordered = rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "ordinal")
-    ordered.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{target}/postings")
-    written = units.sparkSession.read.parquet(f"{target}/units")
-    written.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("average")).coalesce(1).write.mode("overwrite").parquet(f"{target}/stats")
+    _sorted_postings(rows.select("term", "doc_id", "ordinal", "dl", F.size("positions").alias("tf"), "positions"), segment)
+    for name, make in sides.items():
+        _write(make(docs), segment, name)
+    return segment, spark.read.parquet(f"{segment}/units").count()
+
+
+def _publish(spark: SparkSession, target: str, after: int, version: str, segments: dict[str, int], gone: list[str], n_read: int) -> Index:
+    """Write the next generation."""
+    draft = Index(spark, target, after + 1, version, segments, gone, 0, 0, 1 if gone else 0, n_read)
+    if segments:
+        draft.n, draft.words = draft.tables("units").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    draft.n_gone = draft.tombstones().count() if gone else 0
+    row = (FORMAT, version, [tuple(x) for x in segments.items()], gone, draft.n, draft.words, draft.n_gone, n_read)
+    number = after + 1
+    while True:
+        try:
+            spark.createDataFrame([row], MANIFEST).coalesce(1).write.parquet(f"{target}/generations/gen={number}")
+            draft.generation = number
+            return draft
+        except AnalysisException:  # taken by another update, or left by one that was lost
+            number += 1
+            if number > after + 100:
+                raise
 
 
 def load(spark: SparkSession, target: str) -> Index | None:
-    """The index in the folder; None where none was finished."""
+    """The newest generation; None where none was finished."""
     try:
-        stats = spark.read.parquet(f"{target}/stats").first()
+        rows = spark.read.parquet(f"{target}/generations").collect()  # a row a generation
     except AnalysisException:
         return None
-    return Index(spark.read.parquet(f"{target}/units"), spark.read.parquet(f"{target}/postings"), stats["n"], stats["average"] or 1.0)
+    rows = [r for r in rows if r["format"] == FORMAT]
+    if not rows:
+        return None
+    r = max(rows, key=lambda r: (r["gen"], r["version"]))
+    return Index(spark, target, r["gen"], r["version"], {s["path"]: s["units"] for s in r["segments"]}, list(r["gone"]), r["n"], r["words"], r["n_gone"], r["n_read"])
+
+
+def sync(docs: DataFrame, target: str, version: str = "", split: Callable[[DataFrame], DataFrame] = lambda docs: docs, words: Words = tokens, sides: dict[str, Callable[[DataFrame], DataFrame]] | None = None, keep_texts: bool = False) -> Index:
+    """Bring the index up to ``docs`` (doc_id, text and any columns); only new and changed documents are split into units and words.
+
+    ``split`` makes units of documents, ``words`` a text's tokens; ``sides`` make
+    side tables (with doc_id) from the documents of a segment. Null texts are units
+    without words; rows of one doc_id are one document.
+    """
+    spark, sides = docs.sparkSession, sides or {}
+    held = load(spark, target)
+    if held is None:
+        segment, n = _segment(docs, target, split, words, sides, keep_texts)
+        return _publish(spark, target, 0, version, {segment: n}, [], n)
+    new, old = _marks(docs).alias("new"), held.tables("docs").alias("old")
+    both = old.join(new, F.col("old.doc_id").eqNullSafe(F.col("new.doc_id")), "full_outer")
+    same = (F.col("old.mark") == F.col("new.mark")) & (F.col("old.n_rows") == F.col("new.n_rows"))
+    changes = both.filter(~F.coalesce(same, F.lit(False))).select(F.when(F.col("old.segment").isNotNull(), F.struct("old.segment", "old.doc_id")).alias("dead"), F.when(F.col("new.n_rows").isNotNull(), F.struct("new.doc_id")).alias("fresh"))
+    return _changed(held, changes, lambda fresh: _semi(docs, fresh), version, split, words, sides, keep_texts)
+
+
+def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    wanted = ids.select(F.col("doc_id").alias("__doc"))
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__doc"]), "left_semi")
+
+
+def _changed(held: Index, changes: DataFrame, fresh_docs: Callable[[DataFrame], DataFrame], version: str, split: Callable, words: Words, sides: dict, keep_texts: bool) -> Index:
+    """The next generation after ``changes`` (dead: segment and doc_id, or null; fresh: doc_id, or null)."""
+    spark, target = held.spark, held.target
+    place = f"{target}/changes/{uuid.uuid4().hex}"
+    changes.write.parquet(place)
+    changes = spark.read.parquet(place)
+    n_dead, n_fresh = changes.agg(F.count("dead"), F.count("fresh")).first()
+    segments, gone, n = dict(held.segments), list(held.gone), 0
+    if n_dead:
+        changes.filter("dead is not null").select("dead.*").write.parquet(f"{place}-gone")
+        gone.append(f"{place}-gone")
+    if n_fresh:
+        segment, n = _segment(fresh_docs(changes.filter("fresh is not null").select("fresh.doc_id")), target, split, words, sides, keep_texts)
+        segments[segment] = n
+    out = _publish(spark, target, held.generation, version, segments, gone, n)
+    return merge(out, _small(out), n) if len(segments) > MOST_SEGMENTS or out.n_gone > MOST_GONE * max(1, out.n) else out
+
+
+def upsert(held: Index, docs: DataFrame, split: Callable[[DataFrame], DataFrame] = lambda docs: docs, words: Words = tokens, sides: dict[str, Callable[[DataFrame], DataFrame]] | None = None, keep_texts: bool = False) -> Index:
+    """Put documents in, in the place of those with the same doc_id."""
+    ids = docs.select("doc_id").distinct().alias("new")
+    old = held.tables("docs").alias("old")
+    both = ids.join(old, F.col("old.doc_id").eqNullSafe(F.col("new.doc_id")), "left")
+    changes = both.select(F.when(F.col("old.segment").isNotNull(), F.struct("old.segment", "old.doc_id")).alias("dead"), F.struct("new.doc_id").alias("fresh"))
+    return _changed(held, changes, lambda _: docs, held.version, split, words, sides or {}, keep_texts)
+
+
+def delete(held: Index, ids: DataFrame) -> Index:
+    """Take documents (doc_id) out of units, postings and side tables at once."""
+    dead = _semi(held.tables("docs"), ids).select(F.struct("segment", "doc_id").alias("dead"))
+    return _changed(held, dead.withColumn("fresh", F.lit(None).cast("struct<doc_id:bigint>")), lambda fresh: fresh, held.version, lambda docs: docs, tokens, {}, False)
+
+
+def delete_where(held: Index, condition: Column) -> Index:
+    """Take out the documents of the units that meet a condition, such as a folder's."""
+    return delete(held, held.units.filter(condition).select("doc_id").distinct())
+
+
+def _small(held: Index) -> list[str]:
+    """The segments to put together: all but those that are larger than all smaller ones in one; with many tombstones all."""
+    if held.n_gone > MOST_GONE * max(1, held.n):
+        return list(held.segments)
+    by_size = sorted(held.segments, key=held.segments.get)
+    total, take = 0, 1
+    for k, s in enumerate(by_size):
+        if held.segments[s] <= max(total, 1) * 2 or k == 0:
+            take = k + 1
+        total += held.segments[s]
+    return by_size[: max(2, take)]
+
+
+def merge(held: Index, segments: list[str] | None = None, n_read: int = 0) -> Index:
+    """Put segments (all by default) together as one without their dead rows; no text is read but the ``n_read`` of the update before."""
+    segments = segments or list(held.segments)
+    spark, segment = held.spark, _name(held.target)
+    names = {p.rstrip("/").rsplit("/", 1)[-1] for s in segments for p, _, _ in folders.children(spark, s)}
+    for name in sorted(names - {"postings", "blocks"}):
+        _write(held.tables(name, segments).drop("segment"), segment, name)
+    _sorted_postings(held.tables("postings", segments), segment)
+    rest = {s: n for s, n in held.segments.items() if s not in segments}
+    rest[segment] = spark.read.parquet(f"{segment}/units").count()
+    gone = []
+    if held.gone and len(rest) > 1:
+        left = held.tombstones().filter(F.col("__segment").isin(*[s for s in rest if s != segment]))
+        if not left.isEmpty():
+            gone = [f"{held.target}/changes/{uuid.uuid4().hex}-gone"]
+            left.select(F.col("__segment").alias("segment"), F.col("__doc").alias("doc_id")).write.parquet(gone[0])
+    return _publish(spark, held.target, held.generation, held.version, rest, gone, n_read)
+
+
+def fork(held: Index, target: str) -> Index:
+    """An index of its own at another place that begins with the same segments."""
+    return _publish(held.spark, target, 0, held.version, held.segments, held.gone, 0)
+
+
+def vacuum(spark: SparkSession, target: str, keep: int = 2) -> list[str]:
+    """Take away the segments, tombstones and generations that the newest ``keep`` generations don't name; returns what went.
+
+    Readers of older generations and forks that still use these files lose them.
+    """
+    rows = sorted(spark.read.parquet(f"{target}/generations").collect(), key=lambda r: r["gen"])
+    kept = [r for r in rows if r["format"] == FORMAT][-keep:]
+    used = {s["path"].rsplit("/", 1)[-1] for r in kept for s in r["segments"]} | {g.rsplit("/", 1)[-1] for r in kept for g in r["gone"]} | {f"gen={r['gen']}" for r in kept}
+    newest = {f"gen={r['gen']}" for r in rows if not kept or r["gen"] > kept[-1]["gen"]}
+    gone = [p for part in ("segments", "changes", "generations") for p, _, _ in folders.children(spark, f"{target}/{part}") if p.rsplit("/", 1)[-1] not in used | newest and not p.rsplit("/", 1)[-1].startswith("_")]
+    for path in gone:
+        folders.remove(spark, path)
+    return gone
+
+
+def build(units: DataFrame, target: str, words: Words = tokens) -> Index:
+    """Write the index of ``units`` (doc_id, text, with or without ordinal, and any other columns) to the folder ``target``."""
+    return sync(units, target, words=words)

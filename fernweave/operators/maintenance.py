@@ -73,8 +73,10 @@ def orphans(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     return vectors.join(chunks, "text_hash", "left_anti")
 
 
-def newest(rows: DataFrame, key: str, order: str, keep: int) -> DataFrame:
-    """The newest ``keep`` rows of each key."""
+def newest(rows: DataFrame, key: str | None, order: str, keep: int) -> DataFrame:
+    """The newest ``keep`` rows of each key, or of all without one, which takes no task that sees all rows."""
+    if key is None:
+        return rows.orderBy(F.desc(order), "event_id").limit(keep)
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), "event_id"))
     return rows.withColumn("__n", place).filter(F.col("__n") <= keep).drop("__n")
 

@@ -14,8 +14,8 @@ def folders(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
-def wanted(path: Column, filename: Column, extension: Column, size: Column, extensions: list[str], globs: list[str], most_size: int) -> Column:
-    return filters.has_extension(extension, extensions) & ~filters.excluded(path, filename, globs) & (size <= most_size)
+def wanted(path: Column, extension: Column, size: Column, extensions: list[str], globs: list[str], most_size: int) -> Column:
+    return filters.has_extension(extension, extensions) & ~filters.excluded(path, globs) & (size <= most_size)
 
 
 def reject_reason(path: Column, roots: list[str], is_link: Column, follow_links: bool, target: Column, is_folder: Column, is_offline: Column) -> Column:
@@ -25,9 +25,9 @@ def reject_reason(path: Column, roots: list[str], is_link: Column, follow_links:
     return F.coalesce(F.when(outside, "outside roots"), link, F.when(is_folder, "folder"), F.when(is_offline, "offline"))
 
 
-def allowed(status: Column, path: Column, filename: Column, extension: Column, roots: list[str], globs: list[str], within: list[str] | None = None, extensions: list[str] | None = None) -> Column:
+def allowed(status: Column, path: Column, extension: Column, roots: list[str], globs: list[str], within: list[str] | None = None, extensions: list[str] | None = None) -> Column:
     """What a hit must still be when it is shown: there, in the index's roots, not excluded, and inside the query's own filters. Without roots nothing is."""
-    out = (status != "missing") & filters.under_any(path, roots) & ~filters.excluded(path, filename, globs)
+    out = (status != "missing") & filters.under_any(path, roots) & ~filters.excluded(path, globs)
     if within:
         out = out & filters.under_any(path, within)
     if extensions:
@@ -49,7 +49,7 @@ def out_of_scope(docs: DataFrame, roots: list[str], globs: list[str]) -> DataFra
     """Documents outside all roots or excluded. Without roots nothing is out of scope: an empty list is never a call to delete."""
     if not roots:
         return docs.limit(0)
-    return docs.filter(~filters.under_any(F.col("path"), roots) | filters.excluded(F.col("path"), F.col("filename"), globs))
+    return docs.filter(~filters.under_any(F.col("path"), roots) | filters.excluded(F.col("path"), globs))
 
 
 def merged(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -15,8 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` with root, path, filename, extension, size and mtime, all made from the row itself."""
-    docs = table(spark, sf_dir, "documents")
+    """``documents`` as files, see ``as_files``."""
+    return as_files(table(spark, sf_dir, "documents"))
+
+
+def as_files(docs: DataFrame) -> DataFrame:
+    """The documents with root, path, filename, extension, size and mtime, all made from the row itself."""
     ext = F.element_at(F.array(*(F.lit(e) for e in EXTENSIONS)), (F.pmod("doc_id", F.lit(len(EXTENSIONS))) + 1).cast("int"))
     docs = docs.withColumns({"extension": ext, "root": F.concat(F.lit("/corpus/"), "source"), "size": F.col("n_chars"), "mtime": F.lit(1.7e9) + F.col("doc_id")})
     docs = docs.withColumn("filename", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), "extension"))

@@ -25,7 +25,7 @@ def inventory(spark: SparkSession, root: str, globs: list[str] | None = None, si
     mtime = F.unix_micros("modificationTime") / 1e6
     columns = [path.alias("path"), name.alias("filename"), T.file_extension(name).alias("extension"), F.col("length").alias("size"), mtime.alias("mtime")]
     found = files.select(*columns, *(["content"] if content else []))
-    return found.filter(~filters.excluded(F.col("path"), F.col("filename"), globs)) if globs else found
+    return found.filter(~filters.excluded(F.col("path"), globs)) if globs else found
 
 
 def covers(docs: DataFrame, root: str) -> bool:

@@ -28,16 +28,6 @@ def watch_events(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", F.concat(F.lit("/watched/"), F.col("user_id").cast("string")).alias("path"), action_of(F.col("event_type")).alias("action"))
 
 
-def fold_jobs(events: DataFrame) -> DataFrame:
-    """One job a path: the last action decides the operation, priority is the least asked for, enqueued_at the first time."""
-    op = F.when(F.col("last_action") == "removed", "vanish").otherwise("index")
-    return (
-        events.groupBy("path")
-        .agg(F.max_by("action", F.struct("ts", "event_id")).alias("last_action"), F.min(F.when(F.col("action") == "removed", 1).otherwise(2)).alias("priority"), F.min("ts").alias("enqueued_at"), F.count(F.lit(1)).alias("n_requests"))
-        .select("path", op.alias("op"), "priority", "enqueued_at", "n_requests")
-    )
-
-
 def streaks(events: DataFrame, action: str, least: int) -> DataFrame:
     """Runs of at least so many consecutive events of one action on a path."""
     order = Window.partitionBy("path").orderBy("ts", "event_id")
