@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stem
-from ..operators import chunking, index, substring
+from ..operators import chunking, index, pivots, substring
 from ..sources import folders
 from ..sources.corpus import corpus, shared_dir, table
 
@@ -83,3 +83,14 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_fork(spark: SparkSession, held: index.Index) -> index.Index:
     """A fork of an index at a new place in the shared folder."""
     return index.fork(held, f"{shared_dir(spark).rstrip('/')}/fork-{uuid.uuid4().hex}")
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> pivots.Pivots:
+    """The embeddings around pivots. Of two jobs that build it at once, both find what they need, as each writes a folder of its own first."""
+    root = f"{shared_dir(spark).rstrip('/')}/vectors-1-{_version(spark, sf_dir)}"
+    for place, _, _ in folders.children(spark, root):
+        if (found := pivots.load(spark, place)) is not None:
+            return found
+    place = f"{root}/{uuid.uuid4().hex}"
+    pivots.build(table(spark, sf_dir, "embeddings"), place)
+    return pivots.load(spark, place)

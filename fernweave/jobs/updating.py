@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import batch_search, filters, fusion, globs, index, lexical, maintenance, substring, vectors
+from ..operators import batch_search, filters, fusion, globs, index, lexical, maintenance, pivots, substring, vectors
 from ..sources.corpus import as_files, corpus, table
 from .indexing import _ASKED, _items
-from .queries import _CORPUS, TERMS, _any, _bm25_sql, known_items, query
-from .store import document_index, document_sides, hashed, scratch_fork
+from .queries import _CORPUS, _SIMS, TERMS, _any, _bm25_sql, known_items, query
+from .store import document_index, document_sides, hashed, scratch_fork, vector_index
 
 COMMON_AND_RARE = ["the", "ering", "thnt", "of"]
 GLOBS = [f"*_{k}[0-4]?.[!cp]*" for k in range(1000)]
@@ -147,3 +147,16 @@ def terminal_text(spark, sf_dir):
 def error_log(spark, sf_dir):
     """The newest 500 errors of all."""
     return maintenance.newest(table(spark, sf_dir, "events").filter("event_type = 'error'"), None, "ts", 500).select("event_id", "ts")
+
+
+@query(f"SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM ({_SIMS}) QUALIFY rank <= 10")
+def knn_pivots(spark, sf_dir):
+    """The ten nearest vectors of each query, by the bounds of clusters."""
+    return pivots.nearest(vector_index(spark, sf_dir), table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0"))[0]
+
+
+@query(f"SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM ({_SIMS}) WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'fr') QUALIFY rank <= 10")
+def knn_masked_pivots(spark, sf_dir):
+    """The same among the vectors of French documents alone."""
+    allowed = table(spark, sf_dir, "documents").filter("lang = 'fr'").select(F.col("doc_id").alias("vec_id"))
+    return pivots.nearest(vector_index(spark, sf_dir), table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0"), allowed=allowed)[0]

@@ -4,11 +4,13 @@ import fnmatch
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fernweave.functions import text as T
-from fernweave.operators import batch_search, filters, globs, index, lexical, maintenance, substring
+from fernweave.operators import batch_search, filters, globs, index, lexical, maintenance, pivots, substring
+from fernweave.operators import vectors as plain_vectors
 
 SHAPE = "doc_id long, text string, path string"
 WORDS = ["red", "fox", "dog", "blue", "green", "the", "a", "sea"]
@@ -191,3 +193,29 @@ def test_marks_of_direction(spark):
 def test_newest_of_all(spark):
     df = spark.createDataFrame([(k, k % 3, k % 5) for k in range(20)], "event_id long, kind long, ts long")
     assert [r.event_id for r in maintenance.newest(df, None, "ts", 5).collect()] == [4, 9, 14, 19, 3]
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_pivots(spark, tmp_path, spread):
+    """The rows of a full scan, for vectors of any length; clustered ones are mostly left out."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8))
+    data = [(k, (centres[k % 12] + spread * rng.normal(size=8)).tolist()) for k in range(600)] + [(600, None)] + [(601 + k, centres[0].tolist()) for k in range(15)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    pivots.build(df, f"{tmp_path}/pivots")
+    held = pivots.load(spark, f"{tmp_path}/pivots")
+    asked = df.filter("vec_id % 25 = 0")
+    best, seen = pivots.nearest(held, asked, 7)
+    assert {tuple(r) for r in best.collect()} == {tuple(r) for r in plain_vectors.nearest(df, asked, 7).collect()}
+    share = sum(r.n_seen for r in seen.collect()) / (615 * 24)
+    assert share <= 1 and (spread > 0.5 or share < 0.4)
+    allowed = df.filter("vec_id % 7 = 3").select("vec_id")
+    masked, _ = pivots.nearest(held, asked, 7, allowed)
+    assert {tuple(r) for r in masked.collect()} == {tuple(r) for r in plain_vectors.nearest(df.join(allowed, "vec_id", "left_semi"), asked, 7).collect()}
+
+
+def test_pivots_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    pivots.build(none, f"{tmp_path}/pivots")
+    held = pivots.load(spark, f"{tmp_path}/pivots")
+    assert pivots.nearest(held, none)[0].isEmpty() and pivots.load(spark, f"{tmp_path}/none") is None
