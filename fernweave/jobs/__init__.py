@@ -1 +1 @@
-from . import extracting, indexing, keeping, queries, serving, updating  # noqa: F401  (all register queries)
+from . import extracting, indexing, keeping, queries, repairing, serving, updating  # noqa: F401  (all register queries)
