@@ -1,6 +1,7 @@
 """Operator 9: license scan, DataFrame functions only.
 
-Templates are known notices. A document's words are laid out in windows that
+Templates are known notices and whole license texts, those of this module or a
+table of the user's own. A document's words are laid out in windows that
 overlap by half; a template of at most W / 2 words lies wholly within a window
 of W words, and each template goes with the smallest such W. Windows and
 templates meet where one of BANDS min-hashes of their five-word shingles is
@@ -11,7 +12,8 @@ A window that holds that much of a template has a Jaccard similarity of at
 least 0.1 to it by these sizes, so the bands retrieve it with a probability of
 1 - 0.9**64, over 0.998. Only windows with an anchor word are hashed: without
 its shingles that hold an anchor word no template has CONTAINMENT left, which
-``check_templates`` proves for the list.
+``check_templates`` proves for the list. Windows that have fewer words than the
+share of their smallest template aren't hashed either.
 
 Results for odd input: null and wordless texts have no license; each row is
 scanned by itself, even if doc_ids repeat or are null; other columns are
@@ -21,6 +23,8 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from importlib import resources
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 BANDS = 64
 CONTAINMENT = 0.8
+#: Bytes of a table of templates, which are broadcast as hashes and shingles.
+MOST_BYTES = 8 << 20
 
 #: License notices and whole license texts as they are published.
 WARRANTY_BSD = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
@@ -59,15 +65,41 @@ TEMPLATES = {
     "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
     "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
-ANCHORS = ["license", "licensed", "software", "copyright", "permission", "permitted", "redistribution", "redistributions", "conditions", "distribute", "distributed", "sublicense", "warranty", "warranties", "merchantability", "liability"]
+ANCHORS = ["license", "licensed", "software", "copyright", "permission", "permitted", "redistribution", "redistributions", "conditions", "distribute", "distributed", "sublicense", "warranty", "warranties", "merchantability", "liability", "gnu", "works", "work", "covered", "terms", "version", "program", "library", "source", "affirmer", "waiver"]
 WORD = "[a-z0-9]+"
 
 
+def known_templates() -> dict[str, str]:
+    """The notices above and the whole texts that are kept beside this module."""
+    folder = resources.files(__package__) / "license_texts"
+    return TEMPLATES | {f"{x.name.removesuffix('.txt')}-whole": x.read_text("utf-8") for x in folder.iterdir() if x.name.endswith(".txt")}
+
+
+def templates_of(table: DataFrame) -> dict[str, str]:
+    """Templates from a table (license, text) of at most MOST_BYTES; a license of several rows has several templates."""
+    rows = table.select(F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text")).filter("license is not null and text is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"templates have {size} bytes, over {MOST_BYTES}: scan with parts of the table")
+    out: dict[str, str] = {}
+    for r in rows.orderBy("license", "text").collect():
+        name, k = r["license"], 1
+        while name in out:
+            k += 1
+            name = f"{r['license']} ({k})"
+        out[name] = r["text"]
+    return out
+
+
+def _distinct_shingles(words: list[str]) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+
+
 def check_templates(templates: dict[str, str]) -> None:
     """Every template must have a shingle, and must lose too much of itself without its shingles that hold an anchor word."""
     for name, text in templates.items():
         words = re.findall(WORD, text.lower())
-        shingles = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+        shingles = _distinct_shingles(words)
         if not shingles or sum(not set(s) & set(ANCHORS) for s in shingles) >= CONTAINMENT * len(shingles):
             raise ValueError(f"template {name} needs {SHINGLE} words and an anchor word in over {1 - CONTAINMENT:.0%} of its shingles")
 
@@ -103,11 +135,19 @@ def template_bands(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return table.select("license", "size", "template", F.posexplode(_bands(F.col("template"))).alias("band", "value"))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """Per row: doc_id, licenses (names found, sorted), and containment (the best match of any template, 0 without one)."""
-    templates = TEMPLATES if templates is None else templates
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """Per row: doc_id, licenses (names found, sorted), and containment (the best match of any template, 0 without one).
+
+    ``templates`` are names with texts, or a table (license, text); by default those of ``known_templates``.
+    """
+    templates = known_templates() if templates is None else templates_of(templates) if isinstance(templates, DataFrame) else templates
     check_templates(templates)
-    sizes = sorted({window_of(len(re.findall(WORD, t.lower()))) for t in templates.values()})
+    # of each size of window the least words that can hold enough of a template
+    needed: dict[int, int] = {}
+    for words in (re.findall(WORD, t.lower()) for t in templates.values()):
+        least = ceil(CONTAINMENT * len(_distinct_shingles(words))) + SHINGLE - 1
+        needed[window_of(len(words))] = min(needed.get(window_of(len(words)), least), least)
+    sizes = sorted(needed)
     anchors = F.array(*(F.lit(a) for a in ANCHORS))
     text = F.col("text").cast("string")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike("(?i)" + "|".join(ANCHORS)), _words(text)).alias("words"))
@@ -123,12 +163,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         """Those that begin in the stretch's first half; the next stretch has the others."""
         step = size // 2
         around = lambda i: F.array(F.greatest(F.floor(i / step) - 1, F.lit(0)), F.floor(i / step))
-        chosen = F.filter(F.array_distinct(F.flatten(F.transform(F.col("at"), around))), lambda k: k * step < half)
-        return F.transform(chosen, lambda k: F.struct(F.lit(size).alias("size"), (k * step + 1).cast("int").alias("first")))
+        chosen = F.filter(F.array_distinct(F.flatten(F.transform(F.col("at"), around))), lambda k: (k * step < half) & (F.size("words") - k * step >= needed[size]))
+        # each with its own words, so that no row carries the whole stretch along
+        return F.transform(chosen, lambda k: F.struct(F.lit(size).alias("size"), F.slice("words", (k * step + 1).cast("int"), size).alias("words")))
 
-    held = rows.select("row", "doc_id", "words", F.explode_outer(F.concat(*(windows(s) for s in sizes))).alias("w"))
-    held = held.select("row", "doc_id", "w.size", F.when(F.col("w").isNotNull(), F.slice("words", F.col("w.first"), F.col("w.size"))).alias("words"))
-    held = held.select("row", "doc_id", "size", F.when(F.col("words").isNotNull(), _shingles(F.col("words"))).alias("shingles"))
+    held = rows.select("row", "doc_id", F.explode_outer(F.concat(*(windows(s) for s in sizes))).alias("w")) if sizes else rows.select("row", "doc_id", F.lit(None).cast("struct<size:int,words:array<string>>").alias("w"))
+    held = held.select("row", "doc_id", "w.size", F.when(F.col("w").isNotNull(), _shingles(F.col("w.words"))).alias("shingles"))
     keyed = held.select("row", "doc_id", "size", "shingles", F.posexplode_outer(F.when(F.size("shingles") > 0, _bands(F.col("shingles")))).alias("band", "value"))
     # a row a template and band: as many as the list of templates has, whatever the input
     met = keyed.join(F.broadcast(template_bands(docs.sparkSession, templates)), ["size", "band", "value"], "left")

@@ -134,19 +134,14 @@ def op8_spans(text, kinds, scope):
     return ",".join(f"{p[3]}:{p[0]}:{p[2]}" for p in sorted(kept))
 
 
-def op9(docs, templates, anchors, window_of):
-    """Licenses by every window that holds an anchor word, without min-hashes."""
+def op9(docs, templates):
+    """Licenses of which the whole text holds enough, without windows, anchors and min-hashes."""
     shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    known = [(name, shingles(w), window_of(len(w))) for name, w in ((n, re.findall("[a-z0-9]+", t.lower())) for n, t in templates.items())]
+    known = [(name, shingles(re.findall("[a-z0-9]+", t.lower()))) for name, t in templates.items()]
     out = []
     for d, text in docs:
-        words, found = re.findall("[a-z0-9]+", (text or "").lower()), set()
-        for size in {size for _, _, size in known} if set(words) & set(anchors) else ():
-            for a in range(0, len(words), size // 2):
-                if set(window := words[a : a + size]) & set(anchors):
-                    has = shingles(window)
-                    found |= {name for name, s, n in known if n == size and len(s & has) >= 0.8 * len(s)}
-        out.append((d, tuple(sorted(found))))
+        has = shingles(re.findall("[a-z0-9]+", (text or "").lower()))
+        out.append((d, tuple(sorted(name for name, s in known if len(s & has) >= 0.8 * len(s)))))
     return out
 
 

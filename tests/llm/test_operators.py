@@ -290,15 +290,25 @@ def test_op9_against_brute_force(spark):
     rng = random.Random(9)
     filler = [w for _, t in pairs(spark, SMALL) if t for w in t.split()][:5000]
     docs = []
-    for name, text in licenses.TEMPLATES.items():
+    for name, text in licenses.known_templates().items():
         words = text.split()
-        for share in (0, 0.05, 0.12, 0.3):
+        for share in (0, 0.05, 0.12, 0.3) if len(words) < 1000 else (0, 0.08, 0.4):
             kept = [w if rng.random() >= share / 5 else rng.choice(filler) for w in words]
             head, tail = rng.randint(0, 900), rng.randint(0, 500)
             docs.append((len(docs), " ".join([*rng.choices(filler, k=head), *kept, *rng.choices(filler, k=tail)])))
     docs += pairs(spark, SMALL)
     found = Counter((r.doc_id, tuple(r.licenses)) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect())
-    assert found == Counter(brute.op9(docs, licenses.TEMPLATES, licenses.ANCHORS, licenses.window_of))
+    assert found == Counter(brute.op9(docs, licenses.known_templates()))
+
+
+def test_op9_templates_as_a_table(spark):
+    own = "this software license lets friends of the house get the software copied and its license terms sent to nobody else"
+    table = spark.createDataFrame([("house", own), ("house", own), ("house", own.replace("copied", "sold")), ("none", None)], "license string, text string")
+    docs = spark.createDataFrame([(1, "see " + own + " end"), (2, licenses.TEMPLATES["mit-text"]), (3, own.replace("copied", "sold"))], "doc_id long, text string")
+    assert {r.doc_id: r.licenses for r in licenses.scan(docs, table).collect()} == {1: ["house"], 2: [], 3: ["house (2)"]}
+    assert {tuple(r.licenses) for r in licenses.scan(docs, {}).collect()} == {()}
+    with pytest.raises(ValueError, match="anchor"):
+        licenses.scan(docs, {"x": "one two three four five six"})
 
 
 def test_op10(spark, folder):
