@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
@@ -99,10 +100,17 @@ def folded(text: str) -> str:
 
 
 def words_of(text: str | None) -> list[str]:
-    return [stem(w) for w in WORD.findall(folded(text or ""))]
+    return _stemmed([text])[0]
+
+
+def _stemmed(texts: Iterable[str | None]) -> list[list[str]]:
+    """The stemmed words of some texts; each distinct word of them is stemmed once."""
+    found = [WORD.findall(folded(t or "")) for t in texts]
+    stems = {w: stem(w) for w in set().union(*found)}
+    return [[stems[w] for w in words] for words in found]
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def index_words(text: pd.Series) -> pd.Series:
     """The stemmed words of each text, in order; none for null."""
-    return text.map(words_of)
+    return pd.Series(_stemmed(text), index=text.index, dtype=object)

@@ -14,7 +14,7 @@ from ..sources import folders
 from ..sources.corpus import corpus, shared_dir, table
 
 #: Change with what a kind of index makes of its documents.
-RULES = {"documents": 1, "stems": 1, "lines": 1, "chunks": 1}
+RULES = {"documents": "1", "stems": "1", "lines": "1", "chunks": chunking.identity().replace(":", "_")}
 
 
 def _version(spark: SparkSession, sf_dir: str) -> str:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import batch_search, filters, fusion, globs, index, lexical, maintenance, pivots, substring, vectors
+from ..operators import batch_search, filters, fusion, globs, index, lexical, maintenance, pivots, scope, substring, vectors
 from ..sources.corpus import as_files, corpus, table
 from .indexing import _ASKED, _items
-from .queries import _CORPUS, _SIMS, TERMS, _any, _bm25_sql, known_items, query
+from .queries import _CORPUS, _HYBRID, _SIMS, EXCLUDES, EXTENSIONS, TERMS, _candidates, _any, _bm25_sql, known_items, query
 from .store import document_index, document_sides, hashed, scratch_fork, vector_index
 
 COMMON_AND_RARE = ["the", "ering", "thnt", "of"]
@@ -160,3 +160,30 @@ def knn_masked_pivots(spark, sf_dir):
     """The same among the vectors of French documents alone."""
     allowed = table(spark, sf_dir, "documents").filter("lang = 'fr'").select(F.col("doc_id").alias("vec_id"))
     return pivots.nearest(vector_index(spark, sf_dir), table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0"), allowed=allowed)[0]
+
+
+@query(f"WITH {_CORPUS} SELECT doc_id, CASE WHEN filename GLOB '*.json' OR path GLOB '/corpus/src3/*' OR filename GLOB 'doc_1?.md' THEN 'excluded' WHEN extension NOT IN ('.md', '.txt') THEN 'extension ' || extension || ' isn''t listed' END AS reason FROM corpus")
+def policy_reasons(spark, sf_dir):
+    """Why the policy refuses each file."""
+    return corpus(spark, sf_dir).select("doc_id", scope.policy_reason(F.col("path"), F.col("extension"), EXTENSIONS, EXCLUDES).alias("reason"))
+
+
+@query("""SELECT 'ok' AS state, (SELECT count(*) FROM embeddings) AS n_vectors UNION ALL SELECT 'reset', 0 UNION ALL SELECT 'created', (SELECT count(*) FROM embeddings WHERE vec_id < 0)""")
+def model_binding(spark, sf_dir):
+    """A store's vectors as they may be used: with their own model, with another one, and where there are none."""
+    vecs = table(spark, sf_dir, "embeddings").withColumn("model", F.lit("given:64"))
+    mixed = vecs.withColumn("model", F.when(F.col("vec_id") % 2 == 0, "older:64").otherwise(F.col("model")))
+    found = [maintenance.bound(v, "given:64", 64, True) for v in (vecs, mixed, vecs.filter("vec_id < 0"))]
+    rows = [held.agg(F.count(F.lit(1)).alias("n_vectors")).select(F.lit(state).alias("state"), "n_vectors") for state, held in found]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(_HYBRID + """ SELECT h.doc_id, '{"path":"' || path || '","score":' || printf('%.6f', convex) || ',"match_type":"' || match_type || '","file_type":"' || ltrim(extension, '.') || '","size":' || size || ',"scores":{"semantic":' || coalesce(printf('%.6f', semantic), 'null')
+ || ',"lexical":' || coalesce(printf('%.6f', lexical), 'null') || ',"semantic_rank":' || coalesce(semantic_rank::VARCHAR, 'null') || ',"lexical_rank":' || coalesce(lexical_rank::VARCHAR, 'null') || '}}' AS hit FROM h JOIN corpus USING (doc_id)""")
+def hit_reports(spark, sf_dir):
+    """Hybrid hits as JSON, with the components of their scores inside; what a hit doesn't have is null."""
+    hits = fusion.fuse(_candidates(spark, sf_dir)).join(document_index(spark, sf_dir).units.select("doc_id", "path", "extension", "size"), "doc_id")
+    places = lambda c: F.round(c, 6).cast("decimal(12,6)")  # noqa: E731 (never as an exponent)
+    scores = F.struct(*(places(c).alias(c) for c in ("semantic", "lexical")), "semantic_rank", "lexical_rank")
+    whole = F.struct("path", places("convex").alias("score"), "match_type", F.ltrim("extension", F.lit(".")).alias("file_type"), "size", scores.alias("scores"))
+    return hits.select("doc_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("hit"))

@@ -41,6 +41,15 @@ class Limits:
     most_chunks: int | None = None
 
 
+#: Changes with the rules by which texts are cut.
+VERSION = 1
+
+
+def identity(limits: Limits = Limits()) -> str:
+    """What decides how a text is cut, apart from the text: indexes of another identity must be made anew."""
+    return f"v{VERSION}:{limits.target}:{limits.longest}:{limits.overlap}:{limits.shortest}:{limits.most_chunks or 'all'}"
+
+
 Span = tuple[int, int]
 
 

@@ -18,6 +18,13 @@ def wanted(path: Column, extension: Column, size: Column, extensions: list[str],
     return filters.has_extension(extension, extensions) & ~filters.excluded(path, globs) & (size <= most_size)
 
 
+def policy_reason(path: Column, extension: Column, extensions: list[str], globs: list[str]) -> Column:
+    """Why the policy refuses a file, the first reason that holds; null if it doesn't. It holds for every way in which a file comes up."""
+    listed = filters.has_extension(extension, extensions)
+    none = F.coalesce(F.nullif(extension, F.lit("")), F.lit("(none)"))
+    return F.when(filters.excluded(path, globs), "excluded").when(~F.coalesce(listed, F.lit(False)), F.concat(F.lit("extension "), none, F.lit(" isn't listed")))
+
+
 def reject_reason(path: Column, roots: list[str], is_link: Column, follow_links: bool, target: Column, is_folder: Column, is_offline: Column) -> Column:
     """Why a path isn't indexed, the first reason that holds; null if it is. A followed link must lead into a root."""
     outside = ~filters.under_any(path, roots)

@@ -219,3 +219,12 @@ def test_pivots_of_nothing(spark, tmp_path):
     pivots.build(none, f"{tmp_path}/pivots")
     held = pivots.load(spark, f"{tmp_path}/pivots")
     assert pivots.nearest(held, none)[0].isEmpty() and pivots.load(spark, f"{tmp_path}/none") is None
+
+
+def test_no_moves_of_files_that_are_still_there(spark):
+    """A hard link is a new file, not a move: its first name is there; a copy that changed isn't a move either."""
+    shape = "path string, size long, mtime double, content_hash string, file_id string"
+    old = spark.createDataFrame([("/a", 1, 1.0, "h1", "1"), ("/b", 1, 1.0, "h2", "2"), ("/c", 1, 1.0, "h3", "3")], shape)
+    new = spark.createDataFrame([("/a", 1, 1.0, "h1", "1"), ("/a_link", 1, 1.0, "h1", "1"), ("/b2", 1, 1.0, "h2", "2"), ("/c2", 2, 2.0, "h9", "3")], shape)
+    assert [tuple(r) for r in maintenance.moves(old, new).select("new_path", "old_path").collect()] == [("/b2", "/b")]
+    assert {r.path for r in maintenance.vanished(old, new).collect()} == {"/b", "/c"}
