@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .live import exactly, run_once
 
+#: Microseconds of a root's reports that are put in order together.
+SLICE = 3_600_000_000
 BURST = "path string, action string, old_path string, started timestamp, n_events long"
 
 
@@ -30,10 +32,19 @@ def reported(events: DataFrame) -> DataFrame:
 
 
 def paired(reports: DataFrame) -> DataFrame:
-    """event_id, ts, path, action and old_path: the two halves of a rename as one change. Only renames are put in order."""
-    order = Window.partitionBy("root").orderBy("ts", "event_id")
-    renames = reports.filter(F.col("action").isin("renamed_old", "renamed_new"))
-    renames = renames.withColumn("old_path", F.when(F.lag("action").over(order) == "renamed_old", F.lag("path").over(order))).filter("action = 'renamed_new'")
+    """event_id, ts, path, action and old_path: the two halves of a rename as one change.
+
+    Only renames are put in order, those of a root and an hour in one task; the
+    last one of an hour is handed on to the root's next hour that has any.
+    """
+    renames = reports.filter(F.col("action").isin("renamed_old", "renamed_new")).withColumn("slice", F.floor(F.unix_micros("ts") / SLICE))
+    last = renames.groupBy("root", "slice").agg(F.max_by(F.struct("action", "path"), F.struct("ts", "event_id")).alias("last"))
+    # a row for each hour of a root
+    handed = last.select("root", "slice", F.lag("last").over(Window.partitionBy("root").orderBy("slice")).alias("handed"))
+    order = Window.partitionBy("root", "slice").orderBy("ts", "event_id")
+    before = F.coalesce(F.lag(F.struct("action", "path")).over(order), F.col("handed"))
+    renames = renames.join(handed, ["root", "slice"]).withColumn("before", before).filter("action = 'renamed_new'")
+    renames = renames.withColumn("old_path", F.when(F.col("before.action") == "renamed_old", F.col("before.path")))
     others = reports.filter(~F.col("action").isin("renamed_old", "renamed_new"))
     none = F.lit(None).cast("string")
     return others.select("event_id", "ts", "path", "action", none.alias("old_path")).unionByName(renames.select("event_id", "ts", "path", F.lit("renamed").alias("action"), "old_path"))
