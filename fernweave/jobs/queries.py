@@ -375,15 +375,17 @@ def line_offsets(spark, sf_dir):
     return lines.select("doc_id", "line_no", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("start"), F.length("line").alias("size"))
 
 
-def known_items(spark, sf_dir) -> DataFrame:
-    """(item_id, doc_id) where a document holds an item's text, in any case; an empty text is held by none.
+def known_items(spark, sf_dir, any_case: bool = False) -> DataFrame:
+    """(item_id, doc_id) where a document holds an item's text word for word, or in any case of letters; an empty text is held by none.
 
     An item's words but the first and last stand in such a document as whole
     words, so the postings of the rarest of them name the candidates. The few
     items with no such word are held against all documents, in blocks of a
     checked size.
     """
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("needle")).filter("needle <> ''")
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", F.col("text")), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")).filter("needle <> ''")
+    if any_case:
+        docs, items = docs.withColumn("text", F.lower("text")), items.withColumn("needle", F.lower("needle"))
     words = T.tokens(F.col("needle"))
     items = items.select("item_id", "needle", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))).alias("inner"))
     postings = document_index(spark, sf_dir).postings.select("term", "doc_id")
@@ -399,8 +401,8 @@ def known_items(spark, sf_dir) -> DataFrame:
     return reduce(DataFrame.unionByName, parts, found)
 
 
-@query("""WITH m AS (SELECT item_id, doc_id, length(b.text) AS n FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)))
+@query("""WITH m AS (SELECT item_id, doc_id, length(b.text) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text))
 SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM m GROUP BY item_id""")
 def labels_by_containment(spark, sf_dir):
-    """Which documents hold a query's text, in any case: the labels of a known-item evaluation."""
+    """Which documents hold a query's text word for word: the labels of a known-item evaluation."""
     return known_items(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))

@@ -130,7 +130,7 @@ def evaluation_by_mode(spark, sf_dir):
     items = _items(spark, sf_dir)
     ranked = batch_search.by_mode(batch_search.hybrid_all(document_index(spark, sf_dir), items, _near(spark, sf_dir)))
     kinds = items.select("query_id", F.when(F.size(T.tokens(F.col("text"))) < 20, "short").otherwise("long").alias("kind"))
-    return batch_search.evaluate_modes(ranked, known_items(spark, sf_dir).withColumnRenamed("item_id", "query_id"), kinds)
+    return batch_search.evaluate_modes(ranked, known_items(spark, sf_dir, any_case=True).withColumnRenamed("item_id", "query_id"), kinds)
 
 
 _MARKS = "‮⁦\x07"
@@ -187,3 +187,10 @@ def hit_reports(spark, sf_dir):
     scores = F.struct(*(places(c).alias(c) for c in ("semantic", "lexical")), "semantic_rank", "lexical_rank")
     whole = F.struct("path", places("convex").alias("score"), "match_type", F.ltrim("extension", F.lit(".")).alias("file_type"), "size", scores.alias("scores"))
     return hits.select("doc_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("hit"))
+
+
+@query("""WITH m AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)))
+SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM m GROUP BY item_id""")
+def labels_in_any_case(spark, sf_dir):
+    """Which documents hold a query's text, whatever the case of letters."""
+    return known_items(spark, sf_dir, any_case=True).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))

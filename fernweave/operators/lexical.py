@@ -45,8 +45,10 @@ def without_common(df: dict[str, int], n: int, terms: list[str]) -> list[str]:
     ladder = sorted((count, t) for t, count in df.items() if count and t in set(terms))
     # the rungs up to the common ones
     rungs = bisect_right(ladder, COMMON * n, key=lambda rung: rung[0])
-    chosen = {t for _, t in ladder[: rungs or 2]}
-    return [t for t in terms if t in chosen] if chosen else terms
+    if not rungs:
+        return [t for _, t in ladder[:2]] or terms
+    chosen = {t for _, t in ladder[:rungs]}
+    return [t for t in terms if t in chosen]
 
 
 def top(rows: DataFrame, k: int) -> DataFrame:
