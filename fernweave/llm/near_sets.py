@@ -8,9 +8,10 @@ of both, and groups are the components of the verified links.
 
 Skew: a key that more than HOT nodes share is not paired out. The nodes of such
 keys are joined by their rarest shingles instead, which is exact: two sets of
-that similarity share one of the first n - ceil(0.8 n) + 1 shingles of both when
-these are ordered by how many of the nodes hold them, and the places of the
-first shared one bound how many they can share at all. What a copy has alone
+that similarity share one of the first n - ceil(0.8 n) + 1 shingles of both in
+any order that all nodes keep, here by how many of the nodes hold them (counted
+in a fixed number of cells, so that two shingles may share a count), and the
+places of the first shared one bound how many they can share at all. What a copy has alone
 comes first in that order, so copies that are too far from all others drop out
 at once, however large their group is. Where more than HOT nodes share a rare
 shingle too, each is verified against the key's two heads; then the nodes that
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -43,6 +44,8 @@ ROWS, BANDS = 4, 20
 #: A key with more nodes than this is not paired out.
 HOT = 16
 BLOCK = 4096
+#: Cells by whose counts shingles are ordered, a byte each, and how many of them one task puts together.
+CELLS, PAGE = 1 << 22, 1 << 17
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,13 +114,53 @@ def _paired(shared: DataFrame) -> DataFrame:
     return _side(cold, "a").join(_side(cold, "b"), "key").filter((F.col("node_a") < F.col("node_b")) & _fits()).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
+def _counters(sets: DataFrame) -> np.ndarray:
+    """In how many sets the shingles of each of CELLS cells stand, up to 255; a shingle's own number is no greater than its cell's."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, n = np.unique(_cell(batch.column("of").flatten().to_numpy()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((cells // PAGE).astype(np.int32)), pa.array((cells % PAGE).astype(np.int32)), pa.array(n)], ["page", "cell", "n"])
+
+    def page(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.bincount(table.column("cell").to_numpy(), table.column("n").to_numpy(), PAGE)
+        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
+
+    pages = sets.select("of").mapInArrow(count, "page int, cell int, n long").groupBy("page").applyInArrow(page, "page int, counts binary")
+    out = np.zeros(CELLS, np.uint8)
+    for r in pages.collect():  # CELLS bytes together
+        out[r["page"] * PAGE : (r["page"] + 1) * PAGE] = np.frombuffer(r["counts"], np.uint8)
+    return out
+
+
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles.view(np.uint64)) % np.uint64(CELLS)).astype(np.int64)
+
+
 def _rare(sets: DataFrame) -> DataFrame:
-    """node, n, key, after: the shingles one of which a partner shares, rarest first; those of one node alone only move the others' places."""
-    each = sets.select("node", F.size("of").alias("n"), F.explode("of").alias("key"))
-    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    node = Window.partitionBy("node")
-    after = F.count(F.lit(1)).over(node) - F.row_number().over(node.orderBy("df", "key"))
-    return each.join(side(counts), "key").select("node", "n", "key", after.alias("after")).filter(F.expr(f"after >= ({PERCENT} * n + 99) div 100 - 1"))
+    """node, n, key, after: the shingles one of which a partner shares, rarest first; those of one node alone only move the others' places.
+
+    Any order that is the same for all nodes will do, so rarity is told by the cells' counts.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_counters(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, keys, places = [], [], [], []
+            for node, of in zip(batch.column("node").to_pylist(), batch.column("of"), strict=True):
+                hashes = of.values.to_numpy()
+                counts = shared.value[_cell(hashes)]
+                n, some = len(hashes), counts > 1
+                ordered = hashes[some][np.lexsort((hashes[some], counts[some]))]
+                first = max(0, len(ordered) - (PERCENT * n + 99) // 100 + 1)
+                nodes += [node] * first
+                sizes += [n] * first
+                keys.append(ordered[:first])
+                places.append(len(ordered) - 1 - np.arange(first))
+            flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(flat(keys), pa.int64()), pa.array(flat(places), pa.int64())], ["node", "n", "key", "after"])
+
+    return sets.mapInArrow(run, "node long, n int, key long, after long")
 
 
 def _starred(crowded: DataFrame) -> DataFrame:
