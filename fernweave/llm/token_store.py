@@ -30,7 +30,6 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import Memo, coded_parts, cut, id_text_columns, list_array, scratch_dir, small_batches, stretches
+from .common import Memo, coded_parts, cut, id_text_columns, list_array, scratch_dir, small_batches
 
 MAX_BITS = 18
 CHECKPOINT = 64
@@ -64,9 +63,11 @@ def default_path() -> str:
 class WordEncoder:
     """Ids of texts by the library, with a bounded memo of what stands between ASCII white space.
 
-    White space ends every piece, so such parts are encoded by themselves. A
-    part of simple letters is cut into its pieces here and each piece is given
-    to the library's model; any other part goes through the whole library.
+    White space ends every piece, so such parts are encoded by themselves. The
+    simple parts of a batch that the memo doesn't hold are cut into their pieces
+    in one go, and each new piece is given to the library's model; its last token
+    is marked as the end of a word, which tells the pieces' ids apart. Any other
+    part goes through the whole library.
     """
 
     def __init__(self, path: str, memo: int = 450_000):
@@ -76,33 +77,30 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.kind = id_kind(path)
-        self.letter = {b: c for c, b in byte_letters().items()}
+        self.letter = {b: c for c, b in byte_letters().items() if b != 10}
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(WORDS)
+        self.pieces = regex.compile(rf"\n|{WORDS}")
         # characters that NFC leaves alone and that have one plain lower-case form
         self.simple = regex.compile(r"[!-~¡-¬®-ÿĀ-įıĲ-ſ]+")
-        self.by_piece = Memo(self._piece, 20_000)
+        vocab = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.by_part = Memo(self._part, memo)
 
-    def _ids(self, ids: list[int]) -> bytes:
-        return array("H" if self.kind == "<u2" else "I", ids).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letter.__getitem__, piece.encode()))
-        return self._ids([t.id for t in self.model.tokenize(letters)])
-
     def _part(self, text: str) -> bytes:
-        if (text.isascii() and text.isprintable()) or (self.simple.fullmatch(text) and "İ" not in text):
-            # a word, or a word and a sign, are their own pieces
-            if text.isalpha():
-                low = text.lower()
-                return self._piece(low) if low == text else self.by_part[low]
-            last = text[-1]
-            if text[:-1].isalpha() and not last.isalnum():
-                return self.by_part[text[:-1].lower()] + self.by_piece[last]
-            if not any(s in text for s in self.special):
-                return b"".join(map(self.by_piece.__getitem__, self.pattern.findall(text.lower())))
-        return self._ids(self.whole.encode(text, add_special_tokens=False).ids)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of lower-case pieces of simple characters."""
+        letters = "\n".join(pieces).encode().decode("latin-1").translate(self.letter).split("\n")
+        token = self.model.tokenize
+        ids = np.array([t.id for x in letters for t in token(x)], np.int64)
+        width = np.dtype(self.kind).itemsize
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+        if len(cuts) != len(pieces):  # not a model that marks ends
+            return [self._part(x) for x in pieces]
+        raw = ids.astype(self.kind).tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has; each distinct part of the batch is encoded once."""
@@ -111,8 +109,44 @@ class WordEncoder:
         return coded_parts(parts, self._parts, [b""] * len(texts), np.dtype(self.kind))
 
     def _parts(self, found: list[str]) -> list[bytes]:
-        held = self.by_part.get
-        return [ids if (ids := held(x)) is not None else self.by_part[x] if x else b"" for x in found]
+        out, old = list(map(self.by_part.get, found)), self.by_part.old.get
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            out[k] = old(found[k])
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        if missing:
+            new = self._missing([found[k] for k in missing])
+            for k in missing:
+                out[k] = new[found[k]]
+            self.by_part.take_in(new)
+        return out
+
+    def _missing(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of parts that the memo doesn't hold, and of their pieces that it doesn't hold."""
+        fits, special = self.simple.fullmatch, self.special
+        words, others, new = [], [], {}
+        for x in parts:
+            if not ((x.isascii() and x.isprintable() and x) or fits(x)) or ("<" in x and any(s in x for s in special)):
+                new[x] = self._part(x) if x else b""
+            elif x.islower() and x.isalpha():
+                words.append(x)
+            else:
+                others.append(x)
+        new.update(zip(words, self._pieces(words), strict=True))
+        if others:
+            pieces = self.pieces.findall("\n".join(others).lower())
+            known = {x: new.get(x) or self.by_part.get(x) or self.by_part.old.get(x) for x in set(pieces)}
+            known["\n"] = b""
+            unknown = [x for x, ids in known.items() if ids is None]
+            first = dict(zip(unknown, self._pieces(unknown), strict=True))
+            known.update(first)
+            new.update(first)
+            # the pieces' ids one after another, cut where a part ends
+            coded = [known[x] for x in pieces]
+            ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+            cuts = [*ends[[k for k, x in enumerate(pieces) if x == "\n"]].tolist(), int(ends[-1])]
+            raw = b"".join(coded)
+            new.update((x, raw[a:b]) for x, a, b in zip(others, [0, *cuts], cuts, strict=False))
+        return new
 
 
 @lru_cache(maxsize=1)
@@ -221,36 +255,44 @@ class Code:
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id and its ids with the end id, as little-endian integers of ``id_kind``."""
+    """doc_id, its ids with the end id, as little-endian integers of ``id_kind``, their CRC-32 ``sum``, and ``tally``.
+
+    One row of a batch has the counts of all its ids: the ids that occur, then
+    how often each does, 32 bits each. So counting reads this column alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in small_batches(batches, "text", 4 << 20):
             ids, lengths = code.encode(batch.column("text"))
             ends = np.cumsum(lengths)
-            raw = memoryview(np.insert(ids, ends, end_id).tobytes())
+            ids = np.insert(ids, ends, end_id)
+            seen = np.bincount(ids)
+            some = np.flatnonzero(seen)
+            raw = memoryview(ids.tobytes())
             cuts = ((ends + np.arange(1, len(ends) + 1)) * ids.itemsize).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], pa.binary())], ["doc_id", "ids"])
+            each = [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+            tally = [np.concatenate((some, seen[some])).astype("<u4").tobytes()] + [None] * (len(each) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(each, pa.binary()), pa.array(list(map(zlib.crc32, each)), pa.int64()), pa.array(tally, pa.binary())], ["doc_id", "ids", "sum", "tally"])
 
-    return id_text_columns(docs).mapInArrow(run, "doc_id long, ids binary")
+    return id_text_columns(docs).mapInArrow(run, "doc_id long, ids binary, sum long, tally binary")
 
 
-def _counts(coded: DataFrame, kind: str) -> DataFrame:
-    """(id, n): counted in each task, then summed; at most one row for each id of the vocabulary and task."""
+def _counts(coded: DataFrame) -> DataFrame:
+    """(id, n): the batches' counts, summed in each task and then over all; at most one row for each id of the vocabulary and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            values = batch.column("ids")
-            for a, b in stretches(pc.binary_length(values).to_numpy(), 8 << 20):
-                seen = np.bincount(np.frombuffer(b"".join(values.slice(a, b - a).to_pylist()), kind))
-                if len(seen) > len(total):
-                    total = np.concatenate((total, np.zeros(len(seen) - len(total), np.int64)))
-                total[: len(seen)] += seen
+            for tally in batch.column("tally"):
+                some, n = np.frombuffer(tally.as_py(), "<u4").reshape(2, -1)
+                if some[-1] >= len(total):
+                    total = np.concatenate((total, np.zeros(int(some[-1]) + 1 - len(total), np.int64)))
+                total[some] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["id", "n"])
 
-    return coded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return coded.select("tally").filter("tally is not null").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _by_id(rows: list, value: str) -> np.ndarray:
@@ -268,7 +310,8 @@ def write(docs: DataFrame, target: str, path: str | None = None, end_id: int = 1
     kind = id_kind(path)
     width = np.dtype(kind).itemsize
     coded = cut(encode(docs, path, end_id))
-    lengths = code_lengths(_by_id(_counts(coded, kind).collect(), "n"))  # one row for each id of the vocabulary
+    counts = _by_id(_counts(coded).collect(), "n")  # one row for each id of the vocabulary
+    lengths = code_lengths(counts)
     code = Code(lengths)
     some = np.flatnonzero(lengths).tolist()
     spark.createDataFrame([(i, int(lengths[i])) for i in some], "id int, bits int").coalesce(1).write.parquet(f"{target}/code")
@@ -301,10 +344,9 @@ def write(docs: DataFrame, target: str, path: str | None = None, end_id: int = 1
             yield flush()
 
     # ranges, so that parts follow each other
-    size = coded.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids"))).first()
-    parts = max(1, -(-size[0] // PART_ROWS), -(-(size[1] or 0) // PART_BYTES))
+    parts = max(1, -(-coded.count() // PART_ROWS), -(-int(counts.sum()) * width // PART_BYTES))
     order = (F.col("doc_id").asc_nulls_first(), F.col("sum"), F.col("at"))
-    ordered = coded.withColumns({"sum": F.crc32("ids"), "at": F.monotonically_increasing_id()}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = coded.select("doc_id", "ids", "sum", F.monotonically_increasing_id().alias("at")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered.select("doc_id", "ids").mapInArrow(run, "part int, block int, doc_ids array<long>, sizes array<int>, payload binary, checkpoints array<long>").write.option("compression", "none").parquet(f"{target}/blocks")
 
 
