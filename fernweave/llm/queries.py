@@ -63,7 +63,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    # a short row a document: an eighth of the shuffle's partitions is enough, else the table is many tiny files
+    found = licenses.scan(_table(spark, sf_dir, "documents")).coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), F.round("containment", 6).alias("containment"))
 
 
