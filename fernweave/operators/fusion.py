@@ -87,17 +87,18 @@ def over_chunks(lexical: DataFrame, chunks: DataFrame) -> DataFrame:
     return a.join(best.select("doc_id", F.col("b.score").alias("semantic"), F.col("b.ordinal").alias("semantic_ordinal")), "doc_id", "full_outer")
 
 
-def shown(candidates: DataFrame, units: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, width: int) -> DataFrame:
+def shown(candidates: DataFrame, units: DataFrame, texts: DataFrame | Callable[[DataFrame], DataFrame], k: int, width: int) -> DataFrame:
     """doc_id, path, score, ordinal and the first ``width`` characters of what is shown of the k best candidates that ``units`` (doc_id, path) knows.
 
     The piece of the stronger component is shown, of equal ones the nearest chunk;
-    ``texts`` gives the pieces (doc_id, ordinal, text) of the documents that it is
-    asked for, and a piece that is gone shows nothing.
+    ``texts`` are pieces (doc_id, ordinal, text), or gives those of the documents that
+    it is asked for; a piece that is gone shows nothing.
     """
     ordinal = F.when(F.col("semantic").isNotNull() & (F.col("semantic") >= F.coalesce("lexical", F.lit(0.0))), F.col("semantic_ordinal")).otherwise(F.coalesce("lexical_ordinal", "semantic_ordinal"))
     hits = fuse(candidates).select("doc_id", F.col("convex").alias("score"), ordinal.alias("ordinal")).join(units.select("doc_id", "path"), "doc_id")
     best = hits.orderBy(F.desc("score"), "doc_id").limit(k)
-    pieces = texts(best.select("doc_id")).select("doc_id", "ordinal", F.substring("text", 1, width).alias("shown"))
+    found = texts(best.select("doc_id")) if callable(texts) else texts
+    pieces = found.select("doc_id", "ordinal", F.substring("text", 1, width).alias("shown"))
     return best.join(pieces, ["doc_id", "ordinal"], "left").select("doc_id", "path", "score", "ordinal", "shown").orderBy(F.desc("score"), "doc_id")
 
 

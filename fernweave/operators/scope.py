@@ -32,8 +32,11 @@ def reject_reason(path: Column, roots: list[str], is_link: Column, follow_links:
     return F.coalesce(F.when(outside, "outside roots"), link, F.when(is_folder, "folder"), F.when(is_offline, "offline"))
 
 
-def allowed(status: Column, path: Column, extension: Column, roots: list[str], globs: list[str], within: list[str] | None = None, extensions: list[str] | None = None) -> Column:
-    """What a hit must still be when it is shown: there, in the index's roots, not excluded, and inside the query's own filters. Without roots nothing is."""
+def allowed(status: Column, path: Column, filename: Column, extension: Column, roots: list[str], globs: list[str], within: list[str] | None = None, extensions: list[str] | None = None) -> Column:
+    """What a hit must still be when it is shown: there, in the index's roots, not excluded, and inside the query's own filters. Without roots nothing is.
+
+    Exclusions go by the whole path; ``filename`` is its last part and adds nothing.
+    """
     out = (status != "missing") & filters.under_any(path, roots) & ~filters.excluded(path, globs)
     if within:
         out = out & filters.under_any(path, within)
