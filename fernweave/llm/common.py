@@ -104,6 +104,11 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def binary_array(raw: bytes, cuts: np.ndarray) -> pa.Array:
+    """The values of ``raw`` between n + 1 cuts. It holds ``raw`` itself; pyarrow never frees what memoryviews given to pa.array view."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.array(cuts, pa.int32()).buffers()[1], pa.py_buffer(raw)])
+
+
 def coded_parts(parts: pa.ListArray, code: Callable[[list[str]], list[bytes]], own: list[bytes], kind: np.dtype | type) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all lists of strings one after another, and how many each list has; every distinct string is coded once.
 

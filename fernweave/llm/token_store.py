@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import Memo, coded_parts, cut, id_text_columns, list_array, scratch_dir, small_batches
+from .common import Memo, binary_array, coded_parts, cut, id_text_columns, list_array, scratch_dir, small_batches
 
 MAX_BITS = 18
 CHECKPOINT = 64
@@ -50,6 +50,8 @@ CHECKPOINT = 64
 BLOCK_IDS = 200_000
 #: Documents and bytes of ids of one part (file) on average, at most.
 PART_ROWS, PART_BYTES = 20_000, 64 << 20
+#: Characters of a part that the memo keeps; texts without white space are one long part each, and hardly come again.
+KEPT_CHARS = 64
 #: Fixed value: what a word of the vocabulary is, of lower-case text in NFC.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -117,7 +119,7 @@ class WordEncoder:
             new = self._missing([found[k] for k in missing])
             for k in missing:
                 out[k] = new[found[k]]
-            self.by_part.take_in(new)
+            self.by_part.take_in({x: ids for x, ids in new.items() if len(x) <= KEPT_CHARS})
         return out
 
     def _missing(self, parts: list[str]) -> dict[str, bytes]:
@@ -254,6 +256,21 @@ class Code:
         return grid[np.arange(CHECKPOINT) < left[:, None]]
 
 
+def coded_batch(code: WordEncoder, batch: pa.RecordBatch, end_id: int) -> pa.RecordBatch:
+    """The rows that ``encode`` makes of a batch's doc_id and text."""
+    ids, lengths = code.encode(batch.column("text"))
+    ends = np.cumsum(lengths)
+    ids = np.insert(ids, ends, end_id)
+    seen = np.bincount(ids)
+    some = np.flatnonzero(seen)
+    raw = ids.tobytes()
+    cuts = np.concatenate(([0], (ends + np.arange(1, len(ends) + 1)) * ids.itemsize))
+    view, at = memoryview(raw), cuts.tolist()
+    sums = [zlib.crc32(view[a:b]) for a, b in zip(at, at[1:], strict=False)]
+    tally = [np.concatenate((some, seen[some])).astype("<u4").tobytes()] + [None] * (len(sums) - 1)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), binary_array(raw, cuts), pa.array(sums, pa.int64()), pa.array(tally, pa.binary())], ["doc_id", "ids", "sum", "tally"])
+
+
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, its ids with the end id, as little-endian integers of ``id_kind``, their CRC-32 ``sum``, and ``tally``.
 
@@ -264,16 +281,7 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in small_batches(batches, "text", 4 << 20):
-            ids, lengths = code.encode(batch.column("text"))
-            ends = np.cumsum(lengths)
-            ids = np.insert(ids, ends, end_id)
-            seen = np.bincount(ids)
-            some = np.flatnonzero(seen)
-            raw = memoryview(ids.tobytes())
-            cuts = ((ends + np.arange(1, len(ends) + 1)) * ids.itemsize).tolist()
-            each = [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-            tally = [np.concatenate((some, seen[some])).astype("<u4").tobytes()] + [None] * (len(each) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(each, pa.binary()), pa.array(list(map(zlib.crc32, each)), pa.int64()), pa.array(tally, pa.binary())], ["doc_id", "ids", "sum", "tally"])
+            yield coded_batch(code, batch, end_id)
 
     return id_text_columns(docs).mapInArrow(run, "doc_id long, ids binary, sum long, tally binary")
 

@@ -1,5 +1,6 @@
 """Operator 4's encoder: pieces of a batch given to the library once, and counts that come with the ids."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -28,3 +29,22 @@ def test_tally(spark):
     found = {r["id"]: r["n"] for r in token_store._counts(rows).collect()}
     assert found == Counter(i for r in rows.collect() for i in np.frombuffer(r["ids"], "<u2").tolist())
     assert rows.selectExpr("bool_and(sum = crc32(ids))").first()[0]
+
+
+def test_batches_are_let_go():
+    code, held = token_store.WordEncoder(token_store.default_path()), []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["word " * 2_000] * 50)], ["doc_id", "text"])
+    tracemalloc.start()
+    for _ in range(12):
+        size = token_store.coded_batch(code, batch, 1).column("ids").nbytes
+        held.append(tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert size > 200_000 and held[-1] - held[1] < size
+
+
+def test_long_parts_are_not_kept():
+    code = token_store.WordEncoder(token_store.default_path())
+    for text in ("x" * 5_000, "日本語" * 5_000, "a-b" * 5_000 + " word"):
+        ids, _ = code.encode(pa.array([text]))
+        assert ids.tolist() == code.whole.encode(text, add_special_tokens=False).ids
+    assert "word" in code.by_part and max(map(len, code.by_part)) <= token_store.KEPT_CHARS
