@@ -32,6 +32,7 @@ import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,8 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.by_part = Memo(self._part, memo)
+        # hashes of parts that the memo didn't hold; most never come again
+        self.met, self.marks = np.zeros(1 << 22, bool), 0
 
     def _part(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -119,9 +122,22 @@ class WordEncoder:
             new = self._missing([found[k] for k in missing])
             for k in missing:
                 out[k] = new[found[k]]
-            self.by_part.take_in({x: ids for x, ids in new.items() if len(x) <= KEPT_CHARS})
+            self.by_part.take_in(self._kept(new))
         return out
 
+    def _kept(self, new: dict[str, bytes]) -> dict[str, bytes]:
+        """Those of newly coded parts that the memo takes: short ones, and once it has been full only such as were met before."""
+        names = list(new)
+        if self.by_part.old:
+            at = np.fromiter(map(hash, names), np.int64, len(names)) & (len(self.met) - 1)
+            again = self.met[at]
+            self.met[at] = True
+            self.marks += len(names) - int(again.sum())
+            if self.marks > len(self.met) // 4:
+                self.met[:], self.marks = False, 0
+            names = compress(names, again.tolist())
+        return {x: new[x] for x in names if len(x) <= KEPT_CHARS}
+
     def _missing(self, parts: list[str]) -> dict[str, bytes]:
         """The ids of parts that the memo doesn't hold, and of their pieces that it doesn't hold."""
         fits, special = self.simple.fullmatch, self.special

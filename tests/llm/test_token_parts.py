@@ -48,3 +48,11 @@ def test_long_parts_are_not_kept():
         ids, _ = code.encode(pa.array([text]))
         assert ids.tolist() == code.whole.encode(text, add_special_tokens=False).ids
     assert "word" in code.by_part and max(map(len, code.by_part)) <= token_store.KEPT_CHARS
+
+
+def test_full_memo_takes_what_comes_again():
+    code = token_store.WordEncoder(token_store.default_path(), 4)
+    for text, held in (("one two three", True), ("four five six", True), ("seven", False), ("seven", True), ("eight", False)):
+        ids, _ = code.encode(pa.array([text]))
+        assert ids.tolist() == code.whole.encode(text, add_special_tokens=False).ids
+        assert (text.split()[-1] in code.by_part) == held
