@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import decode
 from ..functions import text as T
-from ..operators import batch_search, filters, fusion, lexical, maintenance, vectors
+from ..operators import batch_search, chunking, filters, fusion, lexical, maintenance, vectors
 from ..sources.corpus import corpus, shared_dir, table
 from ..streaming import live
-from .store import chunk_index, chunk_texts, document_index
+from .store import chunk_index, document_index
 from .queries import _CORPUS, _POOLS, _SNAPSHOTS, _WATCH, TERMS, _snapshots, known_items, query
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -21,8 +21,8 @@ MOST_SIZE = 20_000
 
 @query()
 def chunk_table(spark, sf_dir):
-    """All chunks of the corpus; tested against the rules' properties, which SQL can't fold."""
-    return chunk_texts(spark, sf_dir).withColumn("text", F.md5(F.col("text").cast("binary"))).withColumnRenamed("text", "text_md5")
+    """All chunks of the corpus; tested against the rules' properties, which SQL can't fold. No words are asked for, so no index is built."""
+    return chunking.chunked(corpus(spark, sf_dir).select("doc_id", "text", "extension")).withColumn("text", F.md5(F.col("text").cast("binary"))).withColumnRenamed("text", "text_md5")
 
 
 @query()

@@ -9,8 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernweave.functions import stem
+from fernweave.jobs import store
+from fernweave.jobs.queries import QUERIES
 from fernweave.operators import index, lexical
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def test_stems_of_many_texts_take_little_memory(monkeypatch):
     """The words of all texts of a batch are never Python's at once, whatever the batch's size."""
@@ -40,6 +44,14 @@ def test_stemmed_search_splits_texts_in_slices(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in lexical.search(whole, ["run", "naiv"]).collect()] == [tuple(r) for r in lexical.search(cut, ["run", "naiv"]).collect()]
 
 
+def test_chunk_table_builds_no_index(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("the table of chunks needs no index")
+
+    monkeypatch.setattr(store, "chunk_index", none)
+    assert QUERIES["chunk_table"](spark, FOLDER).count() > 0
+
+
 @pytest.mark.parametrize("slices", [1, 3])
 def test_slices_of_a_segment(spark, tmp_path, monkeypatch, slices):
     """Postings, blocks and frequencies are those of a plain count; units of one doc_id and length are one, null ids too."""
