@@ -19,6 +19,8 @@ from .live import exactly, run_once
 
 #: Microseconds of a root's reports that are put in order together.
 SLICE = 3_600_000_000
+#: The actions of a rename, and renames that a worker gives back at a time.
+HALVES, AT_ONCE = pd.CategoricalDtype(["renamed_old", "renamed_new"]), 100_000
 BURST = "path string, action string, old_path string, started timestamp, n_events long"
 
 
@@ -63,33 +65,32 @@ def coalesced(changes: DataFrame, quiet: str = "1 hour") -> DataFrame:
 def coalesced_stream(spark: SparkSession, reports_path: str, folder: str, quiet: pd.Timedelta = pd.Timedelta(hours=1), late: str = "0 seconds") -> DataFrame:
     """``coalesced(paired(...))`` of the events at ``reports_path`` as a stream; bursts whose end the watermark hasn't passed aren't written.
 
-    Two queries, since each has a state by another key: the first writes paired
-    changes, the second reads them. ``folder`` keeps both checkpoints: a later run
-    goes on from there, and one that fails has not moved them.
+    Three queries: the first two write paired changes and all others, which need
+    no state and so pass through no worker; the last, with a state by path, reads
+    both. ``folder`` keeps the checkpoints: a later run goes on from there, and one
+    that fails has not moved them.
     """
     place = folder.rstrip("/")
     schema = spark.read.parquet(reports_path).schema
     reports = reported(spark.readStream.schema(schema).parquet(exactly(reports_path)))
 
     def pair(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        """One root's reports of a batch; the state is the old name that waits for its new one."""
-        old = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.action == "renamed_old":
-                old = r.path
-            elif r.action == "renamed_new":
-                out.append((r.event_id, r.ts, r.path, "renamed", old))
-                old = None
-            else:
-                out.append((r.event_id, r.ts, r.path, r.action, None))
-        state.update((old,))
-        yield pd.DataFrame(out, columns=["event_id", "ts", "path", "action", "old_path"])
+        """One root's renames of a batch, as columns; the state is the old name that waits for its new one."""
+        waits = state.get[0] if state.exists else None
+        rows = pd.concat([b[["event_id", "ts", "path", "action"]].astype({"action": HALVES}) for b in batches], ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
+        olds = rows["action"] == "renamed_old"
+        rows["old_path"] = rows["path"].where(olds).shift(fill_value=waits)  # of the report just before, where that is an old name
+        state.update((rows["path"].iloc[-1] if olds.iloc[-1] else None,))
+        rows["action"] = "renamed"
+        for at in range(0, len(rows), AT_ONCE):
+            yield rows.iloc[at : at + AT_ONCE][~olds.iloc[at : at + AT_ONCE]].astype({"old_path": object}).replace({"old_path": {float("nan"): None}})
 
     shape = "event_id long, ts timestamp, path string, action string, old_path string"
-    run_once(spark, reports.groupBy("root").applyInPandasWithState(pair, shape, "old string", "append", "NoTimeout"), f"{place}/changes")
-    changes = spark.readStream.schema(shape).parquet(f"{place}/changes/rows").withWatermark("ts", late)
+    halves = F.col("action").isin(*HALVES.categories)
+    run_once(spark, reports.filter(halves).groupBy("root").applyInPandasWithState(pair, shape, "old string", "append", "NoTimeout"), f"{place}/changes")
+    run_once(spark, reports.filter(~halves).select("event_id", "ts", "path", "action", F.lit(None).cast("string").alias("old_path")), f"{place}/others")
+    written = [spark.readStream.schema(shape).parquet(f"{place}/{name}/rows") for name in ("changes", "others")]
+    changes = written[0].unionByName(written[1]).withWatermark("ts", late)
 
     def settle(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         """One path's open burst (action, old_path, started, last, n) and its changes of a batch."""

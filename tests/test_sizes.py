@@ -12,6 +12,7 @@ from fernweave.functions import stem
 from fernweave.jobs import store
 from fernweave.jobs.queries import QUERIES
 from fernweave.operators import index, lexical
+from fernweave.streaming import pairing
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -75,3 +76,13 @@ def test_slices_of_a_segment(spark, tmp_path, monkeypatch, slices):
         mine = [e for e in expected if e[0] == r.term and block(e[1]) == r.block]
         assert (r.tf, r.dl, r.n) == (max(e[3] for e in mine), min(e[2] for e in mine), len(mine))
     assert len(bounds) == len({(e[0], block(e[1])) for e in expected})
+
+
+def test_only_renames_go_through_the_state_by_root(spark, tmp_path):
+    pairing.coalesced_stream(spark, f"{FOLDER}/events.parquet", f"{tmp_path}/s")
+    reports = pairing.reported(spark.read.parquet(f"{FOLDER}/events.parquet"))
+    renames = reports.filter("action like 'renamed%'").count()
+    assert spark.read.parquet(f"{tmp_path}/s/others/rows").count() == reports.count() - renames
+    paired = pairing.paired(reports).filter("action = 'renamed'").select("event_id", "path", "old_path")
+    kept = spark.read.parquet(f"{tmp_path}/s/changes/rows").select("event_id", "path", "old_path")
+    assert kept.count() and {tuple(r) for r in kept.collect()} == {tuple(r) for r in paired.collect()}
