@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import filters, fusion, lexical, maintenance, vectors
 from ..sources.corpus import corpus, table
 from ..streaming import changes
-from .store import document_index
+from .store import document_index, kept
 
 TERMS = ["ering", "thnt", "ndat", "thnt"]
 PAIR = ["ering", "thnt"]
@@ -21,6 +21,8 @@ ROOTS = ["/corpus/src1", "/corpus/src7"]
 EXTENSIONS = ["md", ".TXT"]
 EXCLUDES = ["*.json", "/corpus/src3/**", "DOC_1?.md"]
 NOW = 1.7e9 + 10_000
+#: Candidates whose ids are sent to every executor at most, about 16 bytes each.
+MOST_IDS = 500_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -393,8 +395,12 @@ def known_items(spark, sf_dir, any_case: bool = False) -> DataFrame:
     df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # a word of no document rules its item out
     rarest = asked.join(df, "term", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).filter("r.df > 0").select("item_id", F.col("r.term").alias("term"))
-    candidates = postings.join(rarest, "term").select("item_id", "doc_id").join(items.select("item_id", "needle"), "item_id")
-    found = candidates.join(docs, "doc_id").filter(F.contains("text", "needle")).select("item_id", "doc_id")
+    pairs = kept(postings.join(rarest, "term").select("item_id", "doc_id"))
+    candidates = pairs.join(items.select("item_id", "needle"), "item_id")
+    ids = pairs.select("doc_id").filter("doc_id is not null").distinct()
+    # texts of candidates alone are shuffled, where their ids aren't too many for every executor
+    met = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= MOST_IDS else docs
+    found = candidates.join(met, "doc_id").filter(F.contains("text", "needle")).select("item_id", "doc_id")
     short = items.filter(F.size("inner") == 0)
     n = max(1, -(-(short.agg(F.sum(F.octet_length("needle"))).first()[0] or 0) // (4 << 20)))
     parts = [docs.join(F.broadcast(short.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)), F.contains("text", "needle")).select("item_id", "doc_id") for k in range(n)]

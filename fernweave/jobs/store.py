@@ -85,6 +85,13 @@ def scratch_fork(spark: SparkSession, held: index.Index) -> index.Index:
     return index.fork(held, f"{shared_dir(spark).rstrip('/')}/fork-{uuid.uuid4().hex}")
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, for what is read more than once: it is made once, and its shuffles can go."""
+    place = f"{shared_dir(rows.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
+
+
 def vector_index(spark: SparkSession, sf_dir: str) -> pivots.Pivots:
     """The embeddings around pivots. Of two jobs that build it at once, both find what they need, as each writes a folder of its own first."""
     root = f"{shared_dir(spark).rstrip('/')}/vectors-1-{_version(spark, sf_dir)}"

@@ -10,7 +10,7 @@ from ..operators import batch_search, filters, fusion, globs, index, lexical, ma
 from ..sources.corpus import as_files, corpus, table
 from .indexing import _ASKED, _items
 from .queries import _CORPUS, _HYBRID, _SIMS, EXCLUDES, EXTENSIONS, TERMS, _candidates, _any, _bm25_sql, known_items, query
-from .store import document_index, document_sides, hashed, scratch_fork, vector_index
+from .store import document_index, document_sides, hashed, kept, scratch_fork, vector_index
 
 COMMON_AND_RARE = ["the", "ering", "thnt", "of"]
 GLOBS = [f"*_{k}[0-4]?.[!cp]*" for k in range(1000)]
@@ -128,7 +128,7 @@ SELECT mode, coalesce(kind, 'all') AS kind, count(*) AS n_queries, round(avg(coa
 def evaluation_by_mode(spark, sf_dir):
     """Known-item evaluation of literal, semantic and hybrid search, by kind of query and over all."""
     items = _items(spark, sf_dir)
-    ranked = batch_search.by_mode(batch_search.hybrid_all(document_index(spark, sf_dir), items, _near(spark, sf_dir)))
+    ranked = kept(batch_search.by_mode(batch_search.hybrid_all(document_index(spark, sf_dir), items, _near(spark, sf_dir))))
     kinds = items.select("query_id", F.when(F.size(T.tokens(F.col("text"))) < 20, "short").otherwise("long").alias("kind"))
     return batch_search.evaluate_modes(ranked, known_items(spark, sf_dir, any_case=True).withColumnRenamed("item_id", "query_id"), kinds)
 

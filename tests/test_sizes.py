@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernweave.functions import stem
-from fernweave.jobs import store
+from fernweave.jobs import queries, store, updating
 from fernweave.jobs.queries import QUERIES
 from fernweave.operators import index, lexical
 from fernweave.streaming import pairing
@@ -86,3 +86,24 @@ def test_only_renames_go_through_the_state_by_root(spark, tmp_path):
     paired = pairing.paired(reports).filter("action = 'renamed'").select("event_id", "path", "old_path")
     kept = spark.read.parquet(f"{tmp_path}/s/changes/rows").select("event_id", "path", "old_path")
     assert kept.count() and {tuple(r) for r in kept.collect()} == {tuple(r) for r in paired.collect()}
+
+
+def test_rankings_are_made_once(spark, monkeypatch):
+    """What a query reads twice is a written table by then, with the rows that it had."""
+    seen = []
+
+    def written(rows):
+        seen.append((sorted(rows.collect()), store.kept(rows)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(updating, "kept", written)
+    assert QUERIES["evaluation_by_mode"](spark, FOLDER).count() and QUERIES["hybrid_batch"](spark, FOLDER).count()
+    assert len(seen) == 2 and all(rows and rows == sorted(table.collect()) for rows, table in seen)
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_labels_by_sent_or_shuffled_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(queries, "MOST_IDS", most)
+    found = {tuple(r) for r in queries.known_items(spark, FOLDER).collect()}
+    texts, items = (spark.read.parquet(f"{FOLDER}/{name}.parquet").collect() for name in ("documents", "benchmark"))
+    assert found == {(b.item_id, d.doc_id) for b in items for d in texts if d.text and b.text and b.text in d.text}
