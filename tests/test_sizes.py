@@ -107,3 +107,18 @@ def test_labels_by_sent_or_shuffled_ids(spark, monkeypatch, most):
     found = {tuple(r) for r in queries.known_items(spark, FOLDER).collect()}
     texts, items = (spark.read.parquet(f"{FOLDER}/{name}.parquet").collect() for name in ("documents", "benchmark"))
     assert found == {(b.item_id, d.doc_id) for b in items for d in texts if d.text and b.text and b.text in d.text}
+
+
+def test_a_merge_shuffles_no_postings(spark, tmp_path):
+    """Segments are put together without their dead rows, in the order of their files; null ids may be dead too."""
+    docs = [(k, f"red fox {k}", f"/p/{k}") for k in range(40)] + [(None, "red sea", "/n")]
+    held = index.build(spark.createDataFrame(docs, "doc_id long, text string, path string"), f"{tmp_path}/i")
+    held = index.delete(held, spark.createDataFrame([(3,), (None,)], "doc_id long"))
+    held = index.upsert(held, spark.createDataFrame([(5, "blue", "/p/5")], "doc_id long, text string, path string"))
+    (old, *_) = held.segments
+    rows = held.alive(old, "postings")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan.replace("Exchange hashpartitioning(doc_id", "", 1)
+    assert {r.doc_id for r in rows.collect()} == {*range(40)} - {3, 5}
+    merged = index.merge(held)
+    assert len(merged.segments) == 1 and {r.doc_id for r in merged.postings.collect()} == {*range(40)} - {3}
