@@ -116,7 +116,7 @@ byrank AS (SELECT mode, query_id, doc_id, score, row_number() OVER (PARTITION BY
 @query(f"{_FUSED} SELECT b.query_id, b.doc_id, b.score, b.rank, h.match_type FROM byrank b JOIN h USING (query_id, doc_id) WHERE mode = 'hybrid'")
 def hybrid_batch(spark, sf_dir):
     """The ten best documents of every benchmark item by words and vectors together."""
-    fused = batch_search.hybrid_all(document_index(spark, sf_dir), _items(spark, sf_dir), _near(spark, sf_dir))
+    fused = kept(batch_search.hybrid_all(document_index(spark, sf_dir), _items(spark, sf_dir), _near(spark, sf_dir)))
     best = batch_search.by_mode(fused).filter("mode = 'hybrid'").drop("mode")
     return best.join(fused.select("query_id", "doc_id", "match_type"), ["query_id", "doc_id"])
 
