@@ -71,15 +71,10 @@ def line_index(spark: SparkSession, sf_dir: str) -> index.Index:
 
 
 def chunk_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """Chunks of the documents; their units keep where a chunk stands, and their texts are in ``chunk_texts``."""
+    """Chunks of the documents; their units keep where a chunk stands, and their texts are in ``texts``."""
     return _of(spark, sf_dir, "chunks", lambda: corpus(spark, sf_dir).select("doc_id", "text", "extension"), split=chunking.chunked, keep_texts=True)
 
 
-def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, ordinal, start, end, text, truncated) of all chunks, as they were written with the chunk index."""
-    return chunk_index(spark, sf_dir).tables("texts").drop("segment")
-
-
 def scratch_fork(spark: SparkSession, held: index.Index) -> index.Index:
     """A fork of an index at a new place in the shared folder."""
     return index.fork(held, f"{shared_dir(spark).rstrip('/')}/fork-{uuid.uuid4().hex}")
