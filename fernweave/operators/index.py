@@ -10,7 +10,7 @@ documents. Postings are sorted by term and then document over the files of a sli
 MOST_SLICES at most, so a query reads the pages of its own terms, and those of a very
 common term are spread over several files. A unit's postings are made where its text
 is read, and of a large segment one slice after another is shuffled, so that no more
-than a slice's shuffle takes disk beside the index.
+than the shuffles of two slices take disk beside the index.
 
 An update writes a segment of the new and changed documents alone, and a table
 of tombstones (segment, doc_id) for what was changed or deleted before; both
